@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Registered queries and the statements they are checked against."""
