@@ -16,19 +16,25 @@ TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a scratch folder only where none is configured (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or os.environ.get("TABSIFT_SCRATCH", "/tmp/tabsift")
+    """This application's folder below the cluster's checkpoint folder; a scratch folder only where none is set."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TABSIFT_SCRATCH", "/tmp/tabsift")
+    return f"{configured.rstrip('/')}/tabsift-{spark.sparkContext.applicationId}"
 
 
-def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back, so lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{folder or shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application wrote with :func:`cut_lineage`, once its results have been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_row_id(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Number the rows once and keep the numbering on shared storage; it is never computed twice."""
     return cut_lineage(df.withColumn(row_id, F.monotonically_increasing_id()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["functions", "profiling", "accuracy", "reuse", "triage"]
+MODULES = ["functions", "profiling", "accuracy", "reuse", "triage", "files"]
 
 
 def collect() -> tuple[dict, dict]:

@@ -74,15 +74,16 @@ def sniff_separator(text: Column, name: Column) -> Column:
     def outside_quotes(line):
         return F.regexp_replace(line, '"[^"]*"', "")
 
-    tests = []
-    for rank, sep in enumerate(SEPARATORS):
+    def candidate(rank, sep):
         header = width(outside_quotes(F.try_element_at(lines, F.lit(1))), sep)
-        widest = F.array_max(F.transform(lines, lambda s, sep=sep: width(outside_quotes(s), sep)))
-        even = F.size(F.filter(lines, lambda s, sep=sep, header=header: width(s, sep) == header)) / F.greatest(F.size(lines), F.lit(1))
+        widest = F.array_max(F.transform(lines, lambda line: width(outside_quotes(line), sep)))
+        even = F.size(F.filter(lines, lambda line: width(line, sep) == header)) / F.greatest(F.size(lines), F.lit(1))
         allowed = (header > 1) & (widest <= header)
         if sep != "\t":
             allowed = allowed & (extension(name) != ".tsv")
-        tests.append(F.when(allowed, F.struct(header.alias("columns"), even.alias("even"), F.lit(-rank).alias("rank"), F.lit(sep).alias("sep"))))
+        return F.when(allowed, F.struct(header.alias("columns"), even.alias("even"), F.lit(-rank).alias("rank"), F.lit(sep).alias("sep")))
+
+    tests = [candidate(rank, sep) for rank, sep in enumerate(SEPARATORS)]
     best = F.array_max(F.array_compact(F.array(*tests)))
     return F.coalesce(best["sep"], F.lit(","))
 

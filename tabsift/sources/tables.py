@@ -12,6 +12,7 @@ def write_table(df: DataFrame, base: str, table: str, fmt: str = "parquet") -> s
     """One directory per dataset; only the partitions present in ``df`` are replaced."""
     path = f"{base}/{table}"
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .partitionBy("dataset").format(fmt).save(path))
     return path
 
