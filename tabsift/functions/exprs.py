@@ -120,10 +120,13 @@ def dot(a: Column, b: Column) -> Column:
                        lambda acc, v: acc + v)
 
 
-def unit(a: Column) -> Column:
-    """The vector divided by its length; a zero vector stays zero."""
-    norm = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+def length(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(unit_vector: Column, a: Column, norm: Column) -> Column:
+    """Cosine of a unit vector with ``a`` whose length is ``norm``; 0 for a zero vector."""
+    return F.when(norm > 0, dot(unit_vector, a) / norm).otherwise(0.0)
 
 
 def assemble_documentation(fields: dict[str, Column], descriptions: Column | None = None) -> Column:

@@ -95,14 +95,16 @@ def score_column(spark, forest: list[np.ndarray], size: int, columns: list[str])
     @F.pandas_udf("double")
     def score(*values: pd.Series) -> pd.Series:
         feature, threshold, left, right, path = shared.value
-        x = np.column_stack([v.to_numpy(dtype="float64") for v in values])
-        rows, total = np.arange(len(x)), np.zeros(len(x))
+        x = np.ascontiguousarray(np.column_stack([v.to_numpy(dtype="float64") for v in values]))
+        flat, base, total = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
         for t in range(len(feature)):
-            node = np.zeros(len(x), dtype="int32")
+            leaf = feature[t] < 0                 # a leaf leads back to itself
+            axis = np.where(leaf, 0, feature[t]).astype(np.intp)
+            child = np.stack([left[t], right[t]], axis=1).astype(np.intp)
+            child[leaf] = np.flatnonzero(leaf)[:, None]
+            child, cut, node = child.ravel(), threshold[t], np.zeros(len(x), dtype=np.intp)
             for _ in range(depth):
-                f = feature[t, node]
-                go_left = x[rows, np.maximum(f, 0)] <= threshold[t, node]
-                node = np.where(f < 0, node, np.where(go_left, left[t, node], right[t, node]))
+                node = child[2 * node + (flat[base + axis[node]] > cut[node])]
             total += path[t, node]
         return pd.Series(np.power(2.0, -total / len(feature) / norm))
 

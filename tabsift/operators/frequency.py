@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabsift.config import BINARY_SETS, DATE_FORMATS
-from tabsift.dataset import TEMPORAL, Dataset
+from tabsift.dataset import NUMERIC, TEMPORAL, Dataset
 from tabsift.functions import exprs as X
 
 
@@ -35,13 +35,17 @@ def value_counts(ds: Dataset, columns: list[str] | None = None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("freq")))
 
 
-def _strict(ds: Dataset) -> Column:
-    value = F.col("value")
-    flags = ds.columns_of(T.BooleanType)
-    if not flags:
-        return X.number(value)
-    return F.when(F.col("column").isin(flags), F.when(value == "true", 1.0).when(value == "false", 0.0)) \
-        .otherwise(X.number(value))
+def _numbers(ds: Dataset) -> tuple[Column, Column]:
+    """Strict and comma-tolerant number of each value; natively numeric columns need no grammar check."""
+    value, column = F.col("value"), F.col("column")
+    native, flags = ds.columns_of(NUMERIC), ds.columns_of(T.BooleanType)
+    strict, loose = X.number(value), X.number_comma(value)
+    if flags:
+        strict = F.when(column.isin(flags), F.when(value == "true", 1.0).when(value == "false", 0.0)).otherwise(strict)
+    if native:
+        cast = value.try_cast("double")
+        strict, loose = F.when(column.isin(native), cast).otherwise(strict), F.when(column.isin(native), cast).otherwise(loose)
+    return strict, loose
 
 
 def ordinals(columns: list[str]) -> Column:
@@ -62,10 +66,12 @@ def column_measures(ds: Dataset) -> DataFrame:
     is_temporal = F.col("column").isin(temporal) if temporal else F.lit(False)
     present = value.isNotNull()
 
+    strict, loose = _numbers(ds)
+    native = ds.columns_of(NUMERIC)
+    worded = ~F.col("column").isin(native) if native else F.lit(True)
     per_value = (value_frequency(ds)
                  .withColumn("norm", norm)
-                 .withColumn("strict", _strict(ds))
-                 .withColumn("num", X.number_comma(value)))
+                 .withColumn("strict", strict).withColumn("num", loose))
     formats = range(len(DATE_FORMATS))
     hits = X.date_hits(value)
     measures = [
@@ -76,7 +82,7 @@ def column_measures(ds: Dataset) -> DataFrame:
         F.sum(F.when(F.col("norm").isin(markers), freq).otherwise(0)).alias("marker_count"),
     ]
     measures += [F.min(F.when(present, F.col("norm").isin(s))).alias(f"binary_{i}") for i, s in enumerate(BINARY_SETS)]
-    measures += [F.sum(F.when(is_temporal & present, freq).otherwise(freq * hits[i])).alias(f"date_{i}") for i in formats]
+    measures += [F.sum(F.when(is_temporal & present, freq).when(worded, freq * hits[i]).otherwise(0)).alias(f"date_{i}") for i in formats]
     carried = ["freq", "missing_count", "distinct_count", "strict_count", "marker_count"] + [f"date_{i}" for i in formats]
     binaries = [f"binary_{i}" for i in range(len(BINARY_SETS))]
 
@@ -103,15 +109,26 @@ def column_measures(ds: Dataset) -> DataFrame:
         X.safe_div(F.greatest(*[F.col(f"date_{i}") for i in formats]), filled).alias("date_rate"))
 
 
+HEAD_ROWS = 200
+
+
 def first_values(ds: Dataset, k: int, columns: list[str] | None = None) -> DataFrame:
     """The first ``k`` non-missing values of each column in row order, repeats included.
 
-    Each branch is a top-k over two pruned columns, so no column is sorted as a whole.
+    One top-k over the first rows settles every column that is reasonably filled; each of the others gets
+    its own top-k over two pruned columns. No column is sorted as a whole.
     """
-    row = F.col(f"`{ds.row_id}`")
+    columns, row = columns or ds.columns, F.col(f"`{ds.row_id}`")
+    head = ds.df.select(row.alias("row_id"), *[ds.text(c).alias(c) for c in columns]).orderBy("row_id").limit(HEAD_ROWS).collect()
+    settled = {c: [r[c] for r in head if r[c] is not None][:k] for c in columns}
+    whole = len(head) < HEAD_ROWS
+    rows = [(c, i + 1, v) for c in columns if whole or len(settled[c]) == k for i, v in enumerate(settled[c])]
+    found = ds.df.sparkSession.createDataFrame(rows, "column string, position long, value string")
+    sparse = [c for c in columns if not whole and len(settled[c]) < k]
+    if not sparse:
+        return found
     branches = [
         ds.df.select(F.lit(c).alias("column"), row.alias("row_id"), ds.text(c).alias("value"))
-        .where(F.col("value").isNotNull()).orderBy("row_id").limit(k)
-        for c in (columns or ds.columns)]
+        .where(F.col("value").isNotNull()).orderBy("row_id").limit(k) for c in sparse]
     rank = F.row_number().over(Window.partitionBy("column").orderBy("row_id"))
-    return reduce(DataFrame.unionByName, branches).select("column", rank.cast("long").alias("position"), "value")
+    return found.unionByName(reduce(DataFrame.unionByName, branches).select("column", rank.cast("long").alias("position"), "value"))

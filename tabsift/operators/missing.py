@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabsift.dataset import Dataset
 from tabsift.functions import exprs as X
@@ -63,7 +63,9 @@ def sentinel_map(ds: Dataset, measures: list | None = None) -> dict[str, list[st
 
 
 def unusable(ds: Dataset, column: str, sentinels: dict[str, list[str]]) -> Column:
-    """True where a present cell is a semantic marker or one of the column's codes."""
+    """True where a present cell is a semantic marker or one of the column's codes; both are words."""
+    if not isinstance(ds.dtype(column), T.StringType):
+        return F.lit(False)
     tokens = {m.strip().lower() for m in ds.config["missingness"]["semantic_markers"]} | set(sentinels.get(column, []))
     return F.coalesce(X.normalize(ds.text(column)).isin(sorted(tokens)), F.lit(False))
 

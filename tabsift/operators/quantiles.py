@@ -8,6 +8,7 @@ enough rows are left. Every round is a scan with constant-size partial results a
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,54 +27,83 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[floa
     sizes = values.agg(*[f(f"x{i}").alias(f"{k}{i}") for i in range(len(names))
                          for k, f in (("n", F.count), ("d", F.approx_count_distinct))]).first()
     small = [i for i in range(len(names)) if sizes[f"d{i}"] <= distinct_limit]
-    result: dict[str, list[float | None]] = {}
+    result: dict[int, list[float | None]] = {}
     if small:
         row = values.agg(*[F.percentile(f"x{i}", list(shares)).alias(f"q{i}") for i in small]).first()
-        result.update({names[i]: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(shares) for i in small})
-    for i in range(len(names)):
-        if i not in small:
-            result[names[i]] = _by_rank(values.select(F.col(f"x{i}").alias("x")).where("x is not null"),
-                                        sizes[f"n{i}"], shares, final_rows)
-    return result
+        result.update({i: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(shares) for i in small})
+    large = {i: sizes[f"n{i}"] for i in range(len(names)) if i not in small}
+    if large:
+        wanted = {(i, r) for i, n in large.items() for s in shares for r in (math.floor((n - 1) * s), math.ceil((n - 1) * s))}
+        found = order_statistics(values, large, sorted(wanted), final_rows)
+        for i, n in large.items():
+            places = [((n - 1) * s, found[i, math.floor((n - 1) * s)], found[i, math.ceil((n - 1) * s)]) for s in shares]
+            result[i] = [low if low == high else low + (high - low) * (p - math.floor(p)) for p, low, high in places]
+    return {n: result[i] for i, n in enumerate(names)}
 
 
-def _by_rank(values: DataFrame, n: int, shares: list[float], final_rows: int) -> list[float]:
-    ranks = sorted({r for s in shares for r in (math.floor((n - 1) * s), math.ceil((n - 1) * s))})
-    found = {r: _order_statistic(values, n, r, final_rows) for r in ranks}
-    result = []
-    for s in shares:
-        place = (n - 1) * s
-        low, high = found[math.floor(place)], found[math.ceil(place)]
-        result.append(low if low == high else low + (high - low) * (place - math.floor(place)))
-    return result
+@dataclass
+class Search:
+    """The interval of column ``x{i}`` that still holds the value at 0-based ``rank``."""
 
+    column: int
+    rank: int
+    inside: int
+    below: int = 0
+    low: float = -math.inf
+    high: float = math.inf
+    open_low: bool = False
+    open_high: bool = False
+    answer: float | None = None
 
-def _order_statistic(values: DataFrame, n: int, rank: int, final_rows: int) -> float:
-    """The value at 0-based ``rank``: narrow an open interval (low, high) around it."""
-    low, high = -math.inf, math.inf          # closed bounds of the interval still searched
-    open_low = open_high = False             # True: the bound itself has been ruled out
-    below, inside = 0, n                     # rows left of the interval, rows within it
-    while inside > final_rows:
-        x = F.col("x")
-        current = values.where((x > low if open_low else x >= low) & (x < high if open_high else x <= high))
-        share, slack = (rank - below + 0.5) / inside, 2.0 / ACCURACY
-        a, b = current.agg(F.percentile_approx("x", [max(0.0, share - slack), min(1.0, share + slack)], ACCURACY).alias("p")).first()["p"]
-        c = current.agg(F.count_if(x < a).alias("lt_a"), F.count_if(x == a).alias("eq_a"),
-                        F.count_if((x > a) & (x < b)).alias("mid"), F.count_if((x == b) & (x > a)).alias("eq_b")).first()
-        k = rank - below
-        if k < c["lt_a"]:
-            high, open_high, inside = a, True, c["lt_a"]
-        elif k < c["lt_a"] + c["eq_a"]:
-            return a
-        elif k < c["lt_a"] + c["eq_a"] + c["mid"]:
-            below += c["lt_a"] + c["eq_a"]
-            low, high, open_low, open_high, inside = a, b, True, True, c["mid"]
-        elif k < c["lt_a"] + c["eq_a"] + c["mid"] + c["eq_b"]:
-            return b
+    def condition(self) -> Column:
+        x = F.col(f"x{self.column}")
+        left = x > self.low if self.open_low else x >= self.low
+        right = x < self.high if self.open_high else x <= self.high
+        return x.isNotNull() & left & right
+
+    def narrow(self, a: float, b: float, c: dict) -> None:
+        """Go on in the part around pivots a <= b that holds the rank; a hit on a pivot is the answer."""
+        k, parts = self.rank - self.below, [c["lt"], c["eq_a"], c["mid"], c["eq_b"]]
+        edge = [sum(parts[:j + 1]) for j in range(4)]
+        if k < edge[0]:
+            self.high, self.open_high, self.inside = a, True, parts[0]
+        elif k < edge[1]:
+            self.answer = a
+        elif k < edge[2]:
+            self.below, self.inside = self.below + edge[1], parts[2]
+            self.low, self.high, self.open_low, self.open_high = a, b, True, True
+        elif k < edge[3]:
+            self.answer = b
         else:
-            skipped = c["lt_a"] + c["eq_a"] + c["mid"] + c["eq_b"]
-            below += skipped
-            low, open_low, inside = b, True, inside - skipped
-    x = F.col("x")
-    last = values.where((x > low if open_low else x >= low) & (x < high if open_high else x <= high))
-    return last.agg(F.element_at(F.sort_array(F.collect_list("x")), rank - below + 1).alias("x")).first()["x"]
+            self.below, self.inside = self.below + edge[3], self.inside - edge[3]
+            self.low, self.open_low = b, True
+
+
+def order_statistics(values: DataFrame, sizes: dict[int, int], wanted: list[tuple[int, int]], final_rows: int) -> dict[tuple[int, int], float]:
+    """The values at the wanted (column, rank) places.
+
+    All searches share their scans: a round is one aggregation for pivots and one for counts, whatever the
+    number of columns and ranks. Each round leaves a few thousandths of the rows inside an interval.
+    """
+    searches = [Search(i, r, sizes[i]) for i, r in wanted]
+    while active := [s for s in searches if s.answer is None and s.inside > final_rows]:
+        slack = 2.0 / ACCURACY
+        pivots = values.agg(*[
+            F.percentile_approx(F.when(s.condition(), F.col(f"x{s.column}")),
+                                [max(0.0, (s.rank - s.below + 0.5) / s.inside - slack), min(1.0, (s.rank - s.below + 0.5) / s.inside + slack)],
+                                ACCURACY).alias(f"p{j}") for j, s in enumerate(active)]).first()
+        counts = []
+        for j, s in enumerate(active):
+            x, (a, b), here = F.col(f"x{s.column}"), pivots[f"p{j}"], s.condition()
+            tests = {"lt": x < a, "eq_a": x == a, "mid": (x > a) & (x < b), "eq_b": (x == b) & (x > a)}
+            counts += [F.count_if(here & t).alias(f"{k}{j}") for k, t in tests.items()]
+        row = values.agg(*counts).first()
+        for j, s in enumerate(active):
+            s.narrow(*pivots[f"p{j}"], {k: row[f"{k}{j}"] for k in ("lt", "eq_a", "mid", "eq_b")})
+    left = [s for s in searches if s.answer is None]
+    if left:
+        row = values.agg(*[F.element_at(F.sort_array(F.collect_list(F.when(s.condition(), F.col(f"x{s.column}")))), s.rank - s.below + 1)
+                           .alias(f"v{j}") for j, s in enumerate(left)]).first()
+        for j, s in enumerate(left):
+            s.answer = row[f"v{j}"]
+    return {(s.column, s.rank): s.answer for s in searches}

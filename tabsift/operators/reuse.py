@@ -17,6 +17,7 @@ from tabsift.config import AMBIGUOUS_ROLES, DOCUMENTATION_COMPONENTS, STANDARDIS
 from tabsift.dataset import Dataset
 from tabsift.functions import exprs as X
 from tabsift.operators.accuracy import issue_columns
+from tabsift.operators.roles import unit_literals
 
 FACETS = {"documentation": DOCUMENTATION_COMPONENTS, "standardisation": STANDARDISATION_COMPONENTS}
 
@@ -80,10 +81,10 @@ def text_scores(documents: DataFrame, components: dict, config: dict) -> DataFra
 def embedding_scores(documents: DataFrame, vector: str, prompts: dict[str, list[float]], config: dict) -> DataFrame:
     """Cosine of document vectors with prompt vectors; the prompt set is a bounded literal."""
     low, high = config["reuse"]["embedding_range"]
-    table = F.array(*[F.struct(F.lit(c).alias("component"), X.unit(F.array(*[F.lit(float(x)) for x in v])).alias("v"))
-                      for c, v in prompts.items()])
-    scored = F.transform(table, lambda p: F.struct(p["component"].alias("component"), X.dot(p["v"], F.col("u")).alias("text_similarity")))
-    return (documents.select("doc_id", X.unit(F.col(vector)).alias("u")).select("doc_id", F.inline(scored))
+    scored = F.transform(unit_literals(prompts, "component"), lambda p: F.struct(
+        p["component"].alias("component"), X.cosine(p["v"], F.col("vector"), F.col("norm")).alias("text_similarity")))
+    return (documents.select("doc_id", F.col(vector).alias("vector")).withColumn("norm", X.length(F.col("vector")))
+            .select("doc_id", F.inline(scored))
             .select("doc_id", "component", "text_similarity", X.minmax_similarity(F.col("text_similarity"), low, high).alias("text_score"),
                     F.lit("embedding_cosine_similarity").alias("text_method")))
 

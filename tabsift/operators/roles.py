@@ -137,19 +137,24 @@ def rule_role(stats: DataFrame, metadata: dict, config: dict) -> DataFrame:
             .select("column", "v.role", "v.role_confidence", "v.notes"))
 
 
+def unit_literals(vectors: dict[str, list[float]], name: str) -> Column:
+    """A bounded set of named vectors, scaled to length 1, as one constant array."""
+    entries = []
+    for key, v in vectors.items():
+        size = sum(x * x for x in v) ** 0.5 or 1.0
+        entries.append(F.struct(F.lit(key).alias(name), F.lit([float(x) / size for x in v]).alias("v")))
+    return F.array(*entries)
+
+
 def embedding_role(vectors: DataFrame, key: str, vector: str, prototypes: dict[str, list[float]], config: dict) -> DataFrame:
     """Nearest role prototype by cosine; below the minimum similarity the evidence is withheld.
 
     The prototype set is one vector per role of the closed vocabulary and travels as a literal.
     """
-    def as_literal(role, v):
-        length = sum(x * x for x in v) ** 0.5 or 1.0
-        return F.struct(F.lit(role).alias("role"), F.array(*[F.lit(float(x) / length) for x in v]).alias("v"))
-
-    table = F.array(*[as_literal(r, v) for r, v in prototypes.items()])
-    scored = F.transform(table, lambda p: F.struct(X.dot(p["v"], F.col("unit_vector")).alias("sim"), p["role"].alias("role")))
-    best = (vectors.select(key, X.unit(F.col(vector)).alias("unit_vector"))
-            .select(key, F.array_max(scored).alias("best")))
+    table = unit_literals(prototypes, "role")
+    scored = F.transform(table, lambda p: F.struct(X.cosine(p["v"], F.col("vector"), F.col("norm")).alias("sim"), p["role"].alias("role")))
+    best = (vectors.select(key, F.col(vector).alias("vector")).withColumn("norm", X.length(F.col("vector")))
+            .select(key, F.explode(F.array(F.array_max(scored))).alias("best")))
     kept = F.col("best.sim") >= config["roles"]["embedding_min_similarity"]
     return best.select(key, F.when(kept, F.col("best.role")).alias("embedding_role"),
                        F.col("best.sim").alias("similarity"),

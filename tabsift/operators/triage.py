@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabsift.config import DEFAULT_REASON, DIMENSION_WORDS, ISSUE_REASONS
-from tabsift.dataset import Dataset
+from tabsift.dataset import Dataset, small_table
 from tabsift.functions import exprs as X
 from tabsift.operators.ranking import global_position, seeded_key
 
@@ -74,25 +74,29 @@ def review_sample(ds: Dataset, flags: DataFrame | None) -> DataFrame:
     """Anomalous, then incomplete, then seeded control rows, none twice.
 
     Control rows come from all rows not yet taken, so their tags follow the row, not the stratum. Each
-    stratum is a bounded top-k; the strata sizes also bound how many hashes have to be looked at.
+    stratum is a top-k of configured size over keys and tags; the row contents are fetched last, for the
+    chosen keys only.
     """
     sizes = ds.config["review"]
-    row = F.col(f"`{ds.row_id}`")
+    row = F.col(f"`{ds.row_id}`").alias("row_id")
     incomplete = F.exists(F.array(*[F.col(f"`{c}`").isNull() for c in ds.columns]), lambda x: x)
-    rows = ds.df.select(row.alias("row_id"), incomplete.alias("incomplete"), X.row_json(ds.columns).alias("row_values_json"))
     if flags is None:
-        tagged = rows.withColumn("anomalous", F.lit(False))
+        tagged = ds.df.select(row, incomplete.alias("incomplete"), F.lit(False).alias("anomalous"))
     else:
         hits = flags.where("ensemble_flag").select("row_id", F.lit(True).alias("anomalous"))
-        tagged = rows.join(hits, "row_id", "left").withColumn("anomalous", F.coalesce("anomalous", F.lit(False)))
-    first = tagged.where("anomalous").orderBy("row_id").limit(sizes["anomaly_rows"])
-    taken = first.select("row_id")
-    second = (tagged.where("incomplete").join(F.broadcast(taken), "row_id", "left_anti")
-              .orderBy("row_id").limit(sizes["incomplete_rows"]))
-    taken = taken.unionByName(second.select("row_id"))
-    third = (tagged.join(F.broadcast(taken), "row_id", "left_anti").withColumn("key", seeded_key(F.col("row_id"), ds.config["random_seed"]))
-             .orderBy("key").limit(sizes["control_rows"]).drop("key"))
+        tagged = (ds.df.select(row, incomplete.alias("incomplete")).join(hits, "row_id", "left")
+                  .withColumn("anomalous", F.coalesce("anomalous", F.lit(False))))
+
+    def untaken(taken):
+        return tagged.join(F.broadcast(taken.select("row_id")), "row_id", "left_anti")
+
+    first = small_table(tagged.where("anomalous").orderBy("row_id").limit(sizes["anomaly_rows"]))
+    second = small_table(untaken(first).where("incomplete").orderBy("row_id").limit(sizes["incomplete_rows"]))
+    third = small_table(untaken(first.unionByName(second)).withColumn("key", seeded_key(F.col("row_id"), ds.config["random_seed"]))
+                        .orderBy("key").limit(sizes["control_rows"]).drop("key"))
     chosen = reduce(DataFrame.unionByName, [first, second, third])
+    values = ds.df.select(row, X.row_json(ds.columns).alias("row_values_json"))
+    chosen = values.join(F.broadcast(chosen), "row_id")
     source = F.concat_ws("+", F.when(F.col("anomalous"), "semantic_ai_anomaly_candidate"), F.when(F.col("incomplete"), "incomplete_record"))
     return chosen.select(F.col("row_id").alias("row_index"), F.when(source == "", "control_record").otherwise(source).alias("candidate_source"),
                          "row_values_json", F.lit("").alias("manual_decision"),
