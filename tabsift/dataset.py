@@ -48,6 +48,22 @@ def small_table(df: DataFrame, limit: int = 100_000) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that arrives in fewer pieces than there are cores.
+
+    A file with a single row group is one task however many cores there are. Inputs with enough pieces, which
+    is every large one, and tiny inputs are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def blank_markers(df: DataFrame, columns: list[str], markers: list[str]) -> DataFrame:
     """Technical missing markers in string columns become NULL, NaN in floating columns too."""
     known = sorted({m.strip().lower() for m in markers})
@@ -85,7 +101,7 @@ class Dataset:
         if complex_columns:
             raise ValueError(f"a dataset is a flat table; nested or binary columns: {complex_columns}")
         columns = [c for c in df.columns if c != row_id]
-        clean = blank_markers(df, columns, config["missingness"]["technical_markers"])
+        clean = blank_markers(spread(df), columns, config["missingness"]["technical_markers"])
         return cls(name, clean, row_id, merge_metadata(metadata), config, encoding_note)
 
     @property

@@ -20,6 +20,11 @@ def anomaly_matrix(ds: Dataset, columns: list[str], sentinels: dict[str, list[st
     return ds.df.select(F.col(f"`{ds.row_id}`").alias("row_id"), *[usable_number(ds, c, sentinels).alias(c) for c in columns])
 
 
+def stored_matrix(ds: Dataset, columns: list[str], sentinels: dict[str, list[str]]) -> DataFrame:
+    """The matrix parsed once and kept on shared storage: quantiles, moments and flags scan it many times."""
+    return cut_lineage(anomaly_matrix(ds, columns, sentinels))
+
+
 def quantile_table(matrix: DataFrame, columns: list[str]) -> dict[str, dict[str, float | None]]:
     """q1, median, q3, q99 and median absolute deviation per column, exact, NULL ignored."""
     quartiles = exact_quantiles(matrix, {c: F.col(f"`{c}`") for c in columns}, [0.25, 0.5, 0.75, 0.99])
@@ -121,7 +126,7 @@ def detect(ds: Dataset, columns: list[str], sentinels: dict[str, list[str]], pro
     n = ds.df.count() if n_rows is None else n_rows
     if len(columns) < rule["min_columns"] or n < rule["min_rows"]:
         return Detection(columns, n, None)
-    matrix = anomaly_matrix(ds, columns, sentinels)
+    matrix = stored_matrix(ds, columns, sentinels)
     centres = quantile_table(matrix, columns)
     limits = rule["proposed" if proposed else "baseline"]
     flags = matrix.withColumn("iqr", iqr_flag(columns, centres, limits["iqr_multiplier"])) \

@@ -49,7 +49,8 @@ def inject_errors(ds: Dataset, columns: list[str], n_rows: int, rate: float) ->
     if not columns or not n_rows:
         return ds, ds.df.select(F.col(f"`{ds.row_id}`").alias("row_id"), F.lit("").alias("column"), F.lit("").alias("error_type")).limit(0)
     plan = cut_lineage(injection_plan(ds, columns, n_rows, rate))
-    tails = exact_quantiles(ds.df, {c: ds.strict_number(c) for c in columns}, [0.99])
+    numbers = cut_lineage(ds.df.select(*[ds.strict_number(c).alias(c) for c in columns]))
+    tails = exact_quantiles(numbers, {c: F.col(f"`{c}`") for c in columns}, [0.99])
     kind = F.col("_error")
 
     def corrupted(c):

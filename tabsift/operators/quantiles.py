@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-DISTINCT_LIMIT = 2_000_000
+DISTINCT_LIMIT = 1_000_000
 FINAL_ROWS = 50_000
 ACCURACY = 2_000
 

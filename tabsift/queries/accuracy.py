@@ -174,8 +174,14 @@ def matrix(s, d):
     return anomaly.anomaly_matrix(T.measures(s, d), M_COLS, {})
 
 
+def measured(s, d):
+    """The stored matrix and its quantiles."""
+    m = anomaly.stored_matrix(T.measures(s, d), M_COLS, {})
+    return m, anomaly.quantile_table(m, M_COLS)
+
+
 def centres(s, d):
-    return anomaly.quantile_table(matrix(s, d), M_COLS)
+    return measured(s, d)[1]
 
 
 add("column_quantiles", m_sql(QUANT, select=S.finish('SELECT "column", q1, median, q3, q99 FROM quant', "q1 median q3 q99")),
@@ -200,6 +206,11 @@ def c_number(c):
 add("anomaly_matrix", over("cohort", select=S.finish("SELECT row_id, " + ", ".join(f"{c_number(c)} AS {c}" for c in C_COLS) + " FROM cohort", " ".join(C_COLS))), _cohort_matrix)
 
 
+def filled(s, d):
+    m, c = measured(s, d)
+    return anomaly.median_fill(m, M_COLS, c)
+
+
 def q(c, f):
     return f"(SELECT {f} FROM quant WHERE \"column\" = '{c}')"
 
@@ -216,23 +227,23 @@ FLAGS = f"flags AS (SELECT row_id, {iqr_sql(3.0)} AS iqr, {z_sql(4.5)} AS modifi
 
 
 def _iqr(s, d):
-    c = centres(s, d)
-    return matrix(s, d).select("row_id", anomaly.iqr_flag(M_COLS, c, 3.0).alias("proposed"), anomaly.iqr_flag(M_COLS, c, 1.5).alias("baseline"))
+    m, c = measured(s, d)
+    return m.select("row_id", anomaly.iqr_flag(M_COLS, c, 3.0).alias("proposed"), anomaly.iqr_flag(M_COLS, c, 1.5).alias("baseline"))
 
 
 def _z(s, d):
-    c = centres(s, d)
-    return matrix(s, d).select("row_id", anomaly.modified_z_flag(M_COLS, c, 4.5).alias("proposed"), anomaly.modified_z_flag(M_COLS, c, 3.5).alias("baseline"))
+    m, c = measured(s, d)
+    return m.select("row_id", anomaly.modified_z_flag(M_COLS, c, 4.5).alias("proposed"), anomaly.modified_z_flag(M_COLS, c, 3.5).alias("baseline"))
 
 
 add("iqr_flags", m_sql(QUANT, FLAGS, select="SELECT row_id, iqr AS proposed, iqr_loose AS baseline FROM flags"), _iqr)
 add("modified_z_flags", m_sql(QUANT, FLAGS, select="SELECT row_id, modified_z AS proposed, modified_z_loose AS baseline FROM flags"), _z)
 
 FILLED = "filled AS (SELECT row_id, " + ", ".join(f"coalesce({c}, {q(c, 'median')}, 0) AS {c}" for c in M_COLS) + " FROM measures)"
-add("median_fill", m_sql(QUANT, FILLED, select=S.finish("SELECT * FROM filled", " ".join(M_COLS))), lambda s, d: anomaly.median_fill(matrix(s, d), M_COLS, centres(s, d)))
+add("median_fill", m_sql(QUANT, FILLED, select=S.finish("SELECT * FROM filled", " ".join(M_COLS))), lambda s, d: filled(s, d))
 add("standard_scale", m_sql(QUANT, FILLED, select=S.finish("SELECT row_id, " + ", ".join(
     f"({c} - (SELECT avg({c}) FROM filled)) / coalesce(nullif((SELECT stddev_pop({c}) FROM filled), 0), 1) AS {c}" for c in M_COLS) + " FROM filled", " ".join(M_COLS))),
-    lambda s, d: anomaly.standard_scale(anomaly.median_fill(matrix(s, d), M_COLS, centres(s, d)), M_COLS))
+    lambda s, d: anomaly.standard_scale(filled(s, d), M_COLS))
 add("imputation_footprint", m_sql(select=S.finish(" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS imputed_cells, {S.div(f'count(*) - count({c})', 'count(*)')} AS imputed_rate FROM measures" for c in M_COLS), "imputed_rate", "imputed_cells")),
     lambda s, d: anomaly.imputation_footprint(matrix(s, d), M_COLS))
@@ -268,7 +279,7 @@ add("anomaly_policy_comparison", m_sql(QUANT, FLAGS, ENS, select=S.finish(POLICY
 
 
 def _scaled(s, d):
-    return cut_lineage(anomaly.standard_scale(anomaly.median_fill(matrix(s, d), M_COLS, centres(s, d)), M_COLS))
+    return cut_lineage(anomaly.standard_scale(filled(s, d), M_COLS))
 
 
 add("isolation_forest", None, lambda s, d: anomaly.isolation_scores(_scaled(s, d), M_COLS, CONFIG).select("row_id", "isolation_score"))
