@@ -206,7 +206,7 @@ def load_file(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 def assess_folder(spark: SparkSession, data_dir: str, metadata_dir: str | None, output: str, config: dict | None = None) -> DataFrame:
     """Assess every accepted file of a folder, write all tables, and answer one status row per dataset."""
     config = config or CONFIG
-    found = files.list_datasets(files.file_rows(spark, data_dir, content=False), cap=config["max_datasets"]).collect()
+    found = files.list_datasets(files.folder_listing(spark, data_dir), cap=config["max_datasets"]).collect()
     stems = {row["name"].rsplit(".", 1)[0]: row["path"] for row in found}
     metadata = attached_metadata(spark, list(stems), metadata_dir) if metadata_dir else {}
 

@@ -30,11 +30,18 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
-def file_rows(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
-    """One row per file; without ``content`` only the listing is read."""
+def file_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per file with its bytes; meant for documentation and metadata, not for data files."""
     files = spark.read.format("binaryFile").load(folder)
-    wanted = ["path", file_name(F.col("path")).alias("name"), "length"] + (["content"] if content else [])
-    return files.select(*wanted)
+    return files.select("path", file_name(F.col("path")).alias("name"), "length", "content")
+
+
+def folder_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, length) of a folder's files; unlike a scan it also shows empty files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    rows = [(f.getPath().toString(), f.getPath().getName(), f.getLen()) for f in found if f.isFile()]
+    return spark.createDataFrame(rows, "path string, name string, length long")
 
 
 def list_datasets(files: DataFrame, extensions: list[str] | None = None, cap: int | None = None) -> DataFrame:
