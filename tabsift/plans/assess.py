@@ -84,8 +84,11 @@ def readiness(p: Profiled, confirmed: DataFrame | None = None) -> dict[str, Data
             "k_anonymity": small_table(privacy.k_anonymity(ds.df, ds.metadata["quasi_identifiers"], config))}
 
 
-def assess(ds: Dataset, evidence: DataFrame | None = None, confirmed: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every result table of one dataset, keyed by table name and labelled with the dataset."""
+def assess(ds: Dataset, evidence: DataFrame | None = None, confirmed: DataFrame | None = None, evaluate: bool = True) -> dict[str, DataFrame]:
+    """Every result table of one dataset, keyed by table name and labelled with the dataset.
+
+    ``evaluate=False`` leaves out the error injection and the routing ablation, which no score depends on.
+    """
     spark, config = ds.df.sparkSession, ds.config
     p = profile(ds, evidence)
     ds = p.ds
@@ -97,8 +100,11 @@ def assess(ds: Dataset, evidence: DataFrame | None = None, confirmed: DataFrame
     c_components = small_table(missing.completeness_components(ds, p.sentinels))
     a_issues, a_scores = accuracy_issues(p)
     generic = anomaly.detect(ds, p.policies["uniform_dtype_routing"], p.sentinels, False, n_rows)
-    ablation = injection.ablation_detections(ds, p.policies, p.sentinels, n_rows)
-    semantic = ablation["transformer_augmented_routing"]
+    if evaluate:
+        ablation = injection.ablation_detections(ds, p.policies, p.sentinels, n_rows)
+        semantic = ablation["transformer_augmented_routing"]
+    else:
+        semantic = anomaly.detect(ds, p.policies["transformer_augmented_routing"], p.sentinels, True, n_rows)
     policies = anomaly.policy_comparison(spark, generic, semantic)
     ready = readiness(p, confirmed)
 
@@ -118,12 +124,6 @@ def assess(ds: Dataset, evidence: DataFrame | None = None, confirmed: DataFrame
                                                 anomaly.anomaly_issue(spark, semantic), ready["issues"]]))
     register = triage.triage_register(issues, p.semantic, ds.metadata, config, ds.name)
 
-    def reprofile(other: Dataset):
-        again = profile(other, evidence, infer=False)
-        return column_measures(other).collect(), again.sentinels, again.policies
-
-    controlled = injection.controlled_error_baseline(ds, reprofile, n_rows, {"generic": generic, "semantic": semantic})
-    burden = injection.ablation_burden(ds, ablation)
     k = ready["k_anonymity"].first()
     limits = config["scoring"]["thresholds"]
     with_composite = scores.select("*", scoring.composite_index(config).alias("composite"))
@@ -148,13 +148,12 @@ def assess(ds: Dataset, evidence: DataFrame | None = None, confirmed: DataFrame
         "anomaly_baseline_comparison": policies, "reuse_facets": ready["reuse_facets"],
         "reuse_component_detail": ready["reuse_component_detail"], "reuse_baseline_comparison": ready["reuse_baseline_comparison"],
         "issues_all": issues, "hitl_triage_register": register.drop("dataset"), "hitl_triage_summary": triage.triage_summary(issues),
-        "hitl_validation_sample": triage.review_sample(ds, semantic.flags), "controlled_error_baseline": controlled,
-        "routing_ablation": burden,
-        "routing_ablation_controlled_errors": injection.ablation_errors(ds, ablation, column_measures(ds).collect(), p.sentinels),
-        "routing_ablation_contrasts": injection.ablation_contrasts(burden), "weight_sensitivity": scoring.weight_sensitivity(scores, config),
+        "hitl_validation_sample": triage.review_sample(ds, semantic.flags), "weight_sensitivity": scoring.weight_sensitivity(scores, config),
         "rq2_semantic_vs_uniform": scoring.semantic_vs_uniform(comparison, policies, miss, ready["reuse_baseline_comparison"]),
         "rq3_quality_profile": quality,
     }
+    if evaluate:
+        result.update(evaluation(p, evidence, n_rows, generic, ablation))
     if generic.flags is not None:
         result["generic_anomaly_flags"] = generic.flags
     if semantic.flags is not None:
@@ -165,6 +164,23 @@ def assess(ds: Dataset, evidence: DataFrame | None = None, confirmed: DataFrame
     return {name: df.select(F.lit(ds.name).alias("dataset"), "*") for name, df in result.items()}
 
 
+def evaluation(p: Profiled, evidence: DataFrame | None, n_rows: int, generic: anomaly.Detection,
+               ablation: dict[str, anomaly.Detection]) -> dict[str, DataFrame]:
+    """Controlled errors and routing ablation: how well the checks themselves work."""
+    ds = p.ds
+
+    def reprofile(other: Dataset):
+        again = profile(other, evidence, infer=False)
+        return column_measures(other).collect(), again.sentinels, again.policies
+
+    before = {"generic": generic, "semantic": ablation["transformer_augmented_routing"]}
+    burden = injection.ablation_burden(ds, ablation)
+    return {"controlled_error_baseline": injection.controlled_error_baseline(ds, reprofile, n_rows, before),
+            "routing_ablation": burden,
+            "routing_ablation_controlled_errors": injection.ablation_errors(ds, ablation, column_measures(ds).collect(), p.sentinels),
+            "routing_ablation_contrasts": injection.ablation_contrasts(burden)}
+
+
 def write_results(result: dict[str, DataFrame], base: str) -> None:
     for name, df in result.items():
         tables.write_table(df, base, name)

@@ -399,3 +399,13 @@ add("ablation_contrasts", CONTRAST_SQL, contrasts)
 add("join_policy_contrast", over("cohort", extra=(CM, CQ, BURDEN), select=S.finish(
     f"SELECT contrast, column_count_delta, flagged_rows_delta FROM ({CONTRAST})", ints="column_count_delta flagged_rows_delta")),
     lambda s, d: contrasts(s, d).select("contrast", "column_count_delta", "flagged_rows_delta"))
+
+
+def _burden(s, d):
+    p, found = _ablation(s, d, learned=False)
+    return injection.ablation_burden(p.ds, found).select("policy", "n_columns", "flagged_rows", "flagged_rate", "iqr_multiplier", "modified_z_threshold", "parameter_lock")
+
+
+add("ablation_burden_statistical", over("cohort", extra=(CM, CQ, BURDEN), select=S.finish(
+    "SELECT policy, n_columns, flagged_rows, flagged_rate, 3.0 AS iqr_multiplier, 4.5 AS modified_z_threshold, 'semantic_hitl_fixed_v1' AS parameter_lock FROM burden",
+    "flagged_rate iqr_multiplier modified_z_threshold", "n_columns flagged_rows")), _burden)

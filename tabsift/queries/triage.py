@@ -235,7 +235,7 @@ add("catalog_profiles", over("cohort", "visits", extra=(*QP.MISS_CTES, QP.SCORE_
 
 
 def _quality(s, d):
-    return assess(T.cohort(s, d))["rq3_quality_profile"]
+    return assess(T.cohort(s, d), evaluate=False)["rq3_quality_profile"]
 
 
 add("quality_profile", None, _quality)
