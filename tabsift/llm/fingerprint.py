@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from tabsift.llm.common import col, cut_lineage
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SUBSETS, DIGITS = 128, 8
+#: Three families of 64 subsets with a 64th, a 512th and a 4096th of the lexicon, for short, middling and long texts.
+FAMILY, SUBSETS, DIGITS = 64, 192, 8
 #: Shares of documents that a term must lie in. A lexicon has at most (mean distinct terms of a document) / LOW terms at any corpus size.
 LOW, HIGH = 0.001, 0.2
 #: Lexicons of at most so many terms are broadcast; larger ones are shuffled.
@@ -19,16 +20,18 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), SEPARATORS), ""))
 
 
-def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH, subsets: int = SUBSETS) -> DataFrame:
+def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """(term, subset): the terms of a (text) table whose share of documents lies in the band, dealt at random into subsets; stored."""
     n = texts.count()
     counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    subset = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(subsets)).cast("int")
-    band = cut_lineage(counts.filter((F.col("df") >= low * n) & (F.col("df") <= high * n)).select("term", subset.alias("subset")))
+    draw = F.conv(F.substring(F.md5("term"), 1, 12), 16, 10).cast("long")
+    member = lambda k: F.pmod(F.floor(draw / FAMILY ** (2 * k + 1)), F.lit(8 ** k)) == 0
+    subset = F.array_compact(F.array(*(F.when(member(k), F.pmod(F.floor(draw / FAMILY ** (2 * k)), F.lit(FAMILY)) + FAMILY * k) for k in range(3))))
+    band = cut_lineage(counts.filter((F.col("df") >= low * n) & (F.col("df") <= high * n)).select("term", F.explode(subset.cast("array<int>")).alias("subset")))
     return F.broadcast(band) if band.count() <= BROADCAST_ROWS else band
 
 
-def fingerprints(texts: DataFrame, keys: list[str], meta: Column, band: DataFrame, subsets: int = SUBSETS) -> DataFrame:
+def fingerprints(texts: DataFrame, keys: list[str], meta: Column, band: DataFrame) -> DataFrame:
     """(keys, meta, hashes) of a table with unique ``keys`` and ``text``: for each subset a hash of the text's terms in it, or null.
 
     With a small lexicon, a table that is partitioned by one of the keys is not shuffled.
@@ -41,7 +44,7 @@ def fingerprints(texts: DataFrame, keys: list[str], meta: Column, band: DataFram
                                              F.first("meta", ignorenulls=True).alias("meta"))
     entry = F.when(F.col("subset").isNotNull(), F.struct("subset", "h"))
     whole = parts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.first("meta", ignorenulls=True).alias("meta"))
-    return whole.select(*keys, "meta", F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda s: F.try_element_at("m", s)).alias("hashes"))
+    return whole.select(*keys, "meta", F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.try_element_at("m", s)).alias("hashes"))
 
 
 def render(hashes: Column, text_digest: Column) -> Column:
@@ -80,32 +83,31 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return both.select("part", F.row_number().over(order).alias("place"), "extra", "id", "text", F.lead("text").over(order).alias("next_text"))
 
 
-def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH,
-                          subsets: int = SUBSETS) -> DataFrame:
+def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """(id, fingerprint) per document. Null texts count as empty; equal texts have equal fingerprints; repeated rows repeat the result."""
     rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     once = rows.select("text", F.md5("text").alias("own")).distinct()
-    prints = fingerprints(once, ["own"], F.lit(0), lexicon(rows.select("text"), low, high, subsets), subsets)
+    prints = fingerprints(once, ["own"], F.lit(0), lexicon(rows.select("text"), low, high))
     return (rows.select("id", F.md5("text").alias("own")).join(prints, "own")
             .select(F.col("id").alias(id_col), render(F.col("hashes"), F.col("own")).alias("fingerprint")))
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH,
-                        subsets: int = SUBSETS) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """Fingerprints of every text and of the text whose second half is replaced by the start of the next document.
 
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The next document is that of
     :func:`with_next`. Null texts count as empty. Equal texts have equal fingerprints, so rows that repeat an id and text repeat
     these, while what follows a row is its own. Other columns are ignored. No rows give no rows.
     """
-    band = lexicon(docs.select(F.coalesce(col(text_col), F.lit("")).alias("text")), low, high, subsets)
+    band = lexicon(docs.select(F.coalesce(col(text_col), F.lit("")).alias("text")), low, high)
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.char_length("text") - half), F.substr("next_text", F.lit(1), half))
     versions = F.when(F.col("extra"), F.array("text")).otherwise(F.array(F.col("text"), edited))
     rows = with_next(docs, id_col, text_col)
     rows = rows.select("part", "place", "extra", "id", F.char_length("text").cast("long").alias("n_chars"), F.posexplode(versions).alias("which", "text"))
-    meta = F.struct("id", "extra", "n_chars", F.md5("text").alias("own"), F.sha2("text", 256).alias("sha"))
-    prints = fingerprints(rows, ["part", "place", "which"], meta, band, subsets)
+    kept = {"id": F.col("id"), "extra": F.col("extra"), "n_chars": F.col("n_chars"), "own": F.md5("text"), "sha": F.sha2("text", 256)}
+    meta = F.named_struct(*(x for name, value in kept.items() for x in (F.lit(name), value)))
+    prints = fingerprints(rows, ["part", "place", "which"], meta, band)
     pick = lambda k, c: F.first(F.when(F.col("which") == k, F.col(c)), ignorenulls=True)
     pairs = prints.groupBy("part", "place").agg(pick(0, "meta").alias("a"), pick(1, "meta").alias("b"), pick(0, "hashes").alias("x"), pick(1, "hashes").alias("y"))
     order = W.partitionBy("part").orderBy("place")

@@ -11,6 +11,7 @@ from tabsift.llm.minhash import near_duplicate_groups
 from tabsift.llm.packing import packed_documents
 from tabsift.llm.substring_dedup import remove_repeats
 from tabsift.llm.token_counts import token_counts
+from tabsift.llm.warc import archive_path, captured_payloads, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -30,6 +31,14 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("n_removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), chars.cast("long").alias("removed_chars"))
 
 
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = table(spark, sf_dir, "pages"), archive_path(spark)
+    write_archives(pages, path)
+    kind = pages.schema["page_id"].dataType
+    out = captured_payloads(spark, path)
+    return out.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir))
 
@@ -57,6 +66,7 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": repeats,
+    "op3_warc_transactions": archived,
     "op4_bbit_minhash": near_duplicates,
     "op5_positional_index": benchmark_hits,
     "op6_imatch": edited,
