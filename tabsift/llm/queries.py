@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabsift.llm.decontaminate import contamination
 from tabsift.llm.fingerprint import edited_fingerprints
+from tabsift.llm.langid import identify
 from tabsift.llm.line_dedup import remove_boilerplate
 from tabsift.llm.minhash import near_duplicate_groups
 from tabsift.llm.packing import packed_documents
 from tabsift.llm.substring_dedup import remove_repeats
 from tabsift.llm.token_counts import token_counts
+from tabsift.llm.toxicity import toxicity
 from tabsift.llm.warc import archive_path, captured_payloads, write_archives
 
 
@@ -31,6 +33,10 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("n_removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), chars.cast("long").alias("removed_chars"))
 
 
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, path = table(spark, sf_dir, "pages"), archive_path(spark)
     write_archives(pages, path)
@@ -55,6 +61,10 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir))
+
+
 def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_boilerplate(table(spark, sf_dir))
     return out.select("doc_id", "text", F.col("n_removed").cast("long").alias("n_removed"))
@@ -66,11 +76,13 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": repeats,
+    "op2_nnpu_toxicity": toxic,
     "op3_warc_transactions": archived,
     "op4_bbit_minhash": near_duplicates,
     "op5_positional_index": benchmark_hits,
     "op6_imatch": edited,
     "op7_linear_grouping": packed,
+    "op8_byte_cnn": languages,
     "op9_site_spread": boilerplate_lines,
     "op10_token_counts": counted,
 }
