@@ -1,13 +1,78 @@
-"""From raw documents to packed sequences: the stages that a training corpus passes, each over all that its predecessor kept."""
+"""From raw documents to packed sequences: the stages that a training corpus passes, each over all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Extra columns of the
+input that clash with an operator's result are dropped by the operator; the stages add none. Null, empty and letterless texts are rejected
+by the first stage; an empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tabsift.llm.common import cut_lineage
+from tabsift.llm.decontaminate import contamination
+from tabsift.llm.langid import UNKNOWN, identify
+from tabsift.llm.line_dedup import remove_boilerplate
+from tabsift.llm.minhash import near_duplicate_groups
+from tabsift.llm.packing import packed_documents
+from tabsift.llm.queries import vocabulary
+
+#: A text goes if no language was found, or if the best one has less than this mean probability.
+LEAST_SCORE = 0.3
+
+
+def _decided(docs: DataFrame, verdict: DataFrame, keep: str) -> DataFrame:
+    """The documents whose verdict says so. Verdicts have one row for each row of the documents; rows that share an id have one verdict."""
+    kept = verdict.filter(keep).select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that could be told (byte convolutional network, learned from their own languages)."""
+    return _decided(docs, identify(docs), f"lang_pred != '{UNKNOWN}' and score >= {LEAST_SCORE}")
+
+
+def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that stand on many sites; the first place of such a line stays."""
+    out = remove_boilerplate(docs, count_col="__removed")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop("__removed")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id."""
+    return _decided(docs, near_duplicate_groups(docs), "kept")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark passage."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _decided(docs, found, "not contaminated")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents with their place in sequences of a fixed length."""
+    return packed_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", boilerplate),
+    ("near_dedup", near_duplicates),
+    ("decontamination", benchmark),
+    ("packing", packing),
+]
+
+#: Trained networks, signatures and token ids aren't SQL; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what a stage returns is stored before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut_lineage(docs)
     return docs
