@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 from dataclasses import dataclass, field, replace
 
@@ -16,9 +18,18 @@ TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below the cluster's checkpoint folder; a scratch folder only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TABSIFT_SCRATCH", "/tmp/tabsift")
-    return f"{configured.rstrip('/')}/tabsift-{spark.sparkContext.applicationId}"
+    """This application's folder below the one that the cluster shares.
+
+    That is spark.checkpoint.dir, else the folder given to ``setCheckpointDir``. Only a local session, whose tasks all run on
+    this machine, may do without: its folder is TABSIFT_SCRATCH or a temporary one.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = os.environ.get("TABSIFT_SCRATCH") or os.path.join(tempfile.gettempdir(), "tabsift")
+    return f"{configured.rstrip('/')}/tabsift-{context.applicationId}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -40,28 +51,9 @@ def with_row_id(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     return cut_lineage(df.withColumn(row_id, F.monotonically_increasing_id()))
 
 
-def small_table(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Turn a table whose size follows the number of columns, not rows, into a local relation."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return cut_lineage(df)
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-SPREAD_BYTES = 4 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that arrives in fewer pieces than there are cores.
-
-    A file with a single row group is one task however many cores there are. Inputs with enough pieces, which
-    is every large one, and tiny inputs are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+def small_table(df: DataFrame) -> DataFrame:
+    """A local relation of a table whose size follows the number of columns, rules or issue types, or a report's length, never the rows."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def blank_markers(df: DataFrame, columns: list[str], markers: list[str]) -> DataFrame:
@@ -101,7 +93,7 @@ class Dataset:
         if complex_columns:
             raise ValueError(f"a dataset is a flat table; nested or binary columns: {complex_columns}")
         columns = [c for c in df.columns if c != row_id]
-        clean = blank_markers(spread(df), columns, config["missingness"]["technical_markers"])
+        clean = blank_markers(df, columns, config["missingness"]["technical_markers"])
         return cls(name, clean, row_id, merge_metadata(metadata), config, encoding_note)
 
     @property

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabsift.operators.ranking import global_position
+
 # Ship this module's functions with the tasks, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -26,13 +28,14 @@ def average_path(n: float) -> float:
 
 
 def training_pool(matrix: DataFrame, row_id: str, columns: list[str], size: int, seed: int) -> np.ndarray:
-    """A uniform sample without replacement: the ``size`` smallest seeded hashes of the row key.
+    """The method's training rows: a uniform sample without replacement, the ``size`` smallest seeded hashes of the row key.
 
-    A distributed top-k; ``size`` is trees x subsample whatever the number of rows.
+    ``size`` is trees x subsample, as the method fixes it for any number of rows. Only hash buckets that can hold these rows are ranked.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(f"`{row_id}`").cast("string")))
-    rows = matrix.select(key.alias("key"), *columns).orderBy("key").limit(size).drop("key").toPandas()
-    return rows.to_numpy(dtype="float64")
+    rows = matrix.select(key.alias("key"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(columns)])
+    pool = global_position(rows, "key", size).drop("key").toPandas().sort_values("position").drop(columns="position")
+    return pool.to_numpy(dtype="float64")
 
 
 def _grow(sample: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:

@@ -1,7 +1,7 @@
 """Exact k-nearest neighbours and local outlier factor (Breunig et al. 2000) without a cross join.
 
-Identical rows become one weighted point, so no group of copies can grow. The points are cut into boxes by
-splits learnt on a bounded sample. Each point finds its k nearest inside its own box, which bounds how far the
+Identical rows become one weighted point, so no group of copies can grow. The points are cut into boxes by splits
+learnt on samples, again and again until no box holds more points than wanted. Each point finds its k nearest inside its own box, which bounds how far the
 true neighbours can be, and then asks only the other boxes within that distance. Boxes with many questions
 are split into several groups.
 """
@@ -26,9 +26,11 @@ QUESTIONS_PER_GROUP = 4_000
 
 
 def weighted_points(matrix: DataFrame, columns: list[str]) -> DataFrame:
-    """(pid, weight, *columns): distinct points with their number of rows, numbered once."""
-    points = matrix.groupBy(*columns).agg(F.count(F.lit(1)).alias("weight"))
-    return cut_lineage(points.withColumn("pid", F.monotonically_increasing_id()))
+    """(pid, weight, x0, x1, ...): distinct points with their number of rows. Numbers follow the order of the coordinates, so that ties
+    between neighbours are broken alike however the points are partitioned."""
+    names = [f"x{i}" for i in range(len(columns))]
+    points = matrix.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(columns, names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("weight"))
+    return cut_lineage(points.orderBy(*names).withColumn("pid", F.monotonically_increasing_id()))
 
 
 def learn_splits(sample: np.ndarray, leaves: int) -> dict[str, np.ndarray]:
@@ -151,25 +153,70 @@ def coordinates(table: pa.Table, columns: list[str]) -> np.ndarray:
     return np.column_stack([table.column(c).to_numpy() for c in columns]).reshape(len(table), len(columns))
 
 
-def nearest_neighbours(points: DataFrame, columns: list[str], k: int, leaf_points: int = LEAF_POINTS,
-                       questions: int = QUESTIONS_PER_GROUP) -> DataFrame:
-    """(pid, neighbours): per point its nearest neighbours, whose weights add up to k."""
+def grafted(tree: dict, subtrees: dict[int, dict]) -> dict:
+    """The tree with some of its leaves replaced by trees of their own; leaves are numbered anew."""
+    parts = {k: [tree[k]] for k in ("axis", "cut", "left", "right", "leaf")}
+    size, leaves = len(tree["leaf"]), int(tree["n"][0])
+    top = {k: tree[k].copy() for k in parts}
+    for box, sub in subtrees.items():
+        node = int(np.flatnonzero(tree["leaf"] == box)[0])
+        move = lambda v: np.where(v >= 0, v - 1 + size, -1)  # noqa: E731  a root's children follow it, and the root takes the leaf's place
+        top["axis"][node], top["cut"][node], top["leaf"][node] = sub["axis"][0], sub["cut"][0], -1
+        top["left"][node], top["right"][node] = move(sub["left"][:1])[0], move(sub["right"][:1])[0]
+        parts["axis"].append(sub["axis"][1:])
+        parts["cut"].append(sub["cut"][1:])
+        parts["left"].append(move(sub["left"][1:]))
+        parts["right"].append(move(sub["right"][1:]))
+        parts["leaf"].append(np.where(sub["leaf"][1:] >= 0, sub["leaf"][1:] + leaves, -1))
+        size += len(sub["leaf"]) - 1
+        leaves += int(sub["n"][0])
+    out = {k: np.concatenate([top[k], *parts[k][1:]]) for k in parts}
+    own = out["leaf"] >= 0
+    out["leaf"][own] = np.arange(int(own.sum()))
+    return out | {"n": np.array([int(own.sum())])}
+
+
+def boxes(points: DataFrame, columns: list[str], leaf_points: int, sample_points: int) -> tuple[dict, DataFrame]:
+    """The tree, and the points with their box; every box holds at most twice ``leaf_points`` points.
+
+    Each round samples the boxes that hold more, by hash, about ``sample_points`` points in all, and splits them by that sample.
+    """
     spark = points.sparkSession
-    n = points.count()
-    keep = min(1.0, SAMPLE_POINTS / max(n, 1))
-    sample = points if keep >= 1 else points.where(F.pmod(F.xxhash64("pid"), F.lit(1_000_000)) < int(keep * 1_000_000))
-    learnt = sample.orderBy("pid").select(*columns).toPandas().to_numpy(dtype="float64")
-    leaves = min(max(1, round(n / leaf_points)), max(1, len(learnt) // 4))
-    tree = spark.sparkContext.broadcast(learn_splits(learnt, leaves))
     schema = ", ".join(f"`{c}` double" for c in columns)
+    tree = learn_splits(np.empty((0, len(columns))), 1)
+    turn = 0
+    while True:
+        shared = spark.sparkContext.broadcast(tree)
+
+        def place(batches, shared=shared):
+            for batch in batches:
+                yield batch.assign(box=assign(shared.value, batch[columns].to_numpy(dtype="float64")))
+
+        placed = points.select("pid", "weight", *columns).mapInPandas(place, f"pid long, weight long, {schema}, box int")
+        full = placed.groupBy("box").count().where(F.col("count") > 2 * leaf_points)
+        large = {r["box"]: r["count"] for r in full.collect()}          # one row per box that is still too large
+        if not large:
+            return tree, cut_lineage(placed)
+        share = min(1.0, sample_points / sum(large.values()))
+        draw = F.pmod(F.xxhash64("pid", F.lit(turn)), F.lit(1 << 53)) / float(1 << 53)
+        picked = placed.join(full.select("box"), "box", "left_semi").where(draw < share)
+        sample = picked.orderBy("box", "pid").select("box", *columns).toPandas()
+        subtrees = {}
+        for box, rows in sample.groupby("box"):
+            x = rows[columns].to_numpy(dtype="float64")
+            sub = learn_splits(x, min(max(2, round(large[box] / leaf_points)), max(2, len(x) // 4)))
+            if int(sub["n"][0]) > 1:
+                subtrees[int(box)] = sub
+        tree, turn = grafted(tree, subtrees), turn + 1
 
-    def place(batches):
-        for batch in batches:
-            x = batch[columns].to_numpy(dtype="float64")
-            yield batch.assign(box=assign(tree.value, x))
 
-    placed = cut_lineage(points.select("pid", "weight", *columns)
-                         .mapInPandas(place, f"pid long, weight long, {schema}, box int"))
+def nearest_neighbours(points: DataFrame, columns: list[str], k: int, leaf_points: int = LEAF_POINTS,
+                       questions: int = QUESTIONS_PER_GROUP, sample_points: int = SAMPLE_POINTS) -> DataFrame:
+    """(pid, neighbours): per point its nearest neighbours, whose weights add up to k; ties go to the smaller coordinates."""
+    spark = points.sparkSession
+    learnt, placed = boxes(points, columns, leaf_points, sample_points)
+    tree = spark.sparkContext.broadcast(learnt)
+    schema = ", ".join(f"`{c}` double" for c in columns)
 
     def inside(group: pa.Table) -> pa.Table:
         group = group.sort_by("pid")
@@ -193,7 +240,6 @@ def nearest_neighbours(points: DataFrame, columns: list[str], k: int, leaf_point
         inside, f"pid long, {schema}, radius double, candidates {CANDIDATES}, ask array<int>"))
     asked = own.select("pid", *columns, "radius", F.explode("ask").alias("box"))
     load = asked.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / questions).cast("int").alias("parts"))
-    load = F.broadcast(load)                      # one row per box; the number of boxes is bounded by the sample
     queries = asked.join(load, "box").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int")).drop("parts")
     data = (placed.join(load, "box").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
 
@@ -224,7 +270,8 @@ def nearest_neighbours(points: DataFrame, columns: list[str], k: int, leaf_point
 def local_outlier_factor(matrix: DataFrame, columns: list[str], k: int, **options) -> DataFrame:
     """(*columns, lof) for every distinct point of the matrix."""
     points = weighted_points(matrix, columns)
-    knn = cut_lineage(nearest_neighbours(points, columns, k, **options)
+    names = [f"x{i}" for i in range(len(columns))]
+    knn = cut_lineage(nearest_neighbours(points, names, k, **options)
                       .withColumn("k_distance", F.element_at("neighbours", -1)["distance"]))
     edges = knn.select("pid", F.inline("neighbours").alias("distance", "neighbour", "weight"))
     reach = knn.select(F.col("pid").alias("neighbour"), "k_distance")
@@ -234,4 +281,4 @@ def local_outlier_factor(matrix: DataFrame, columns: list[str], k: int, **option
     around = (edges.join(density.withColumnsRenamed({"pid": "neighbour", "density": "theirs"}), "neighbour").groupBy("pid")
               .agg((F.sum(F.col("weight") * F.col("theirs")) / F.sum("weight")).alias("theirs")))
     factor = around.join(density, "pid").select("pid", (F.col("theirs") / F.col("density")).alias("lof"))
-    return points.join(factor, "pid").select(*columns, "lof")
+    return points.join(factor, "pid").select(*[F.col(x).alias(c) for c, x in zip(columns, names)], "lof")

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsift.config import AMBIGUOUS_ROLES, DOCUMENTATION_COMPONENTS, STANDARDISATION_COMPONENTS, STOP_WORDS
+from tabsift.config import AMBIGUOUS_ROLES, DOCUMENTATION_COMPONENTS, DOCUMENTATION_KEYS, STANDARDISATION_COMPONENTS, STOP_WORDS
 from tabsift.dataset import Dataset
 from tabsift.functions import exprs as X
 from tabsift.operators.accuracy import issue_columns
@@ -173,8 +173,8 @@ def facet_issues(facet: DataFrame, name: str) -> DataFrame:
 def documentation_frame(ds: Dataset) -> DataFrame:
     """The dataset's own documentation text as a one-row table (doc_id = 0)."""
     m = ds.metadata
-    fields = {k: F.lit(str(m[k])) for k in m if isinstance(m.get(k), str) and m[k]}
-    described = {k: v for k, v in (m.get("variable_descriptions") or {}).items() if v}
+    fields = {k: F.lit(str(m[k])) for k in DOCUMENTATION_KEYS if m.get(k)}       # lists, numbers and true as Python writes them
+    described = {k: str(v) for k, v in (m.get("variable_descriptions") or {}).items() if v}
     text = X.assemble_documentation(fields, X.literal_map(described) if described else None)
     return ds.df.sparkSession.range(1).select(F.col("id").alias("doc_id"), text.alias("text"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabsift.config import CONFIG, DOCUMENTATION_COMPONENTS, STANDARDISATION_COMPONENTS
+from tabsift.config import CONFIG, DATA_EXTENSIONS, DOCUMENTATION_COMPONENTS, LOADABLE_EXTENSIONS, STANDARDISATION_COMPONENTS
 from tabsift.dataset import Dataset, small_table, with_row_id
 from tabsift.functions import exprs as X
 from tabsift.operators import accuracy, anomaly, injection, missing, privacy, reuse, roles, scoring, triage
@@ -189,75 +191,101 @@ def write_results(result: dict[str, DataFrame], base: str) -> None:
 STATUS = "dataset string, status string, error string"
 
 
-def run_each(spark: SparkSession, jobs: dict) -> tuple[DataFrame, dict]:
-    """Run named jobs one after the other; a failure is recorded and the others go on."""
-    status, results = [], {}
-    for name, job in jobs.items():
+def run_each(spark: SparkSession, jobs: dict, workers: int = 1) -> tuple[DataFrame, dict]:
+    """Run named jobs, up to ``workers`` at once; a failure is recorded with its message and the others go on."""
+    def attempt(job):
         try:
-            results[name] = job()
-            status.append((name, "ok", None))
+            return job(), None
         except Exception as problem:  # one dataset must not stop the rest
-            status.append((name, "failed", f"{type(problem).__name__}"))
-    return spark.createDataFrame(status, STATUS), results
+            return None, f"{type(problem).__name__}: {str(problem).strip().splitlines()[0] if str(problem).strip() else ''}".strip(": ")
+
+    with ThreadPoolExecutor(workers) as pool:
+        done = dict(zip(jobs, pool.map(attempt, jobs.values())))
+    status = [(name, "ok" if error is None else "failed", error) for name, (_, error) in done.items()]
+    return spark.createDataFrame(status, STATUS), {name: result for name, (result, error) in done.items() if error is None}
 
 
 def load_file(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """A delimited file as text columns plus its encoding note.
 
-    The separator comes from the first lines; one distributed pass over the lines settles encoding and
-    decimal mark, so no file has to fit into one task.
+    The separator comes from the first lines; one distributed pass over the lines settles encoding, decimal mark and whether a quoted
+    cell holds a line break. Only a file with such cells has to be read by one task.
     """
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    kind = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
+    if kind in DATA_EXTENSIONS and kind not in LOADABLE_EXTENSIONS:
+        raise ValueError(f"{name}: files of type {kind} can't be read")
     lines = spark.read.text(path)
     head = [r["value"] for r in lines.where(X.strip(F.col("value")) != "").take(files.SNIFF_LINES)]
-    sample = spark.createDataFrame([("\n".join(head), path.rsplit("/", 1)[-1])], "text string, name string")
+    sample = spark.createDataFrame([("\n".join(head), name)], "text string, name string")
     separator = sample.select(files.sniff_separator(F.col("text"), F.col("name")).alias("s")).first()["s"]
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     facts = lines.agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
-                      F.coalesce(F.bool_or(F.col("value").rlike(r"\d,\d")), F.lit(False)).alias("comma")).first()
+                      F.coalesce(F.bool_or(F.col("value").rlike(r"\d,\d")), F.lit(False)).alias("comma"),
+                      F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open")).first()
     note = "utf8_semicolon" if separator == ";" else "utf8"
     note = note if facts["utf8"] else "non_utf8_latin1_fallback"
     decimal = "," if separator != "," and facts["comma"] else "."
-    return files.read_delimited(spark, path, separator, decimal, "UTF-8" if facts["utf8"] else "ISO-8859-1"), note
+    return files.read_delimited(spark, path, separator, decimal, "UTF-8" if facts["utf8"] else "ISO-8859-1", facts["open"]), note
+
+
+#: Datasets of a folder that are assessed at once.
+WORKERS = 4
+
+
+def dataset_names(names: list[str]) -> dict[str, str]:
+    """A name for each file: its stem, or the whole file name where several files share one."""
+    stems = Counter(n.rsplit(".", 1)[0] for n in names)
+    return {n: n if stems[n.rsplit(".", 1)[0]] > 1 else n.rsplit(".", 1)[0] for n in names}
 
 
 def assess_folder(spark: SparkSession, data_dir: str, metadata_dir: str | None, output: str, config: dict | None = None) -> DataFrame:
-    """Assess every accepted file of a folder, write all tables, and answer one status row per dataset."""
+    """Assess every accepted file of a folder, write all tables, and answer one status row per file."""
     config = config or CONFIG
     found = files.list_datasets(files.folder_listing(spark, data_dir), cap=config["max_datasets"]).collect()
-    stems = {row["name"].rsplit(".", 1)[0]: row["path"] for row in found}
-    metadata = attached_metadata(spark, list(stems), metadata_dir) if metadata_dir else {}
+    called = dataset_names([row["name"] for row in found])
+    paths = {called[row["name"]]: row["path"] for row in found}
+    metadata = attached_metadata(spark, list(paths), metadata_dir) if metadata_dir else {}
 
     def job(name, path):
         def run():
             df, note = load_file(spark, path)
             ds = Dataset.of(name, with_row_id(df), "row_id", metadata.get(name), config, note)
             result = assess(ds)
-            write_results(result, output)
+            with WRITING:                           # result tables take one dataset after the other
+                write_results(result, output)
             return result["rq3_quality_profile"]
         return run
 
-    status, profiles = run_each(spark, {name: job(name, path) for name, path in stems.items()})
+    status, profiles = run_each(spark, {name: job(name, path) for name, path in paths.items()}, WORKERS)
     if profiles:
         tables.write_table(tables.union_profiles(list(profiles.values())), output, "all_dataset_quality_profiles")
     return status
 
 
+WRITING = Lock()
+
+
 def attached_metadata(spark: SparkSession, names: list[str], folder: str) -> dict[str, dict]:
-    """Metadata per dataset: merged JSON documents plus the text of related documentation."""
+    """Metadata per dataset: merged JSON documents plus the text of related documentation.
+
+    Documents of all datasets are read and kept once, under ``*``, and meet each dataset's own on the driver, where metadata lives.
+    """
     rows = files.file_rows(spark, folder)
     datasets = spark.createDataFrame([(n,) for n in names], "dataset string")
-    related = small_table(files.relate_documents(datasets, rows, len(names)))
-    own = reduce(DataFrame.unionByName, [related.where(F.col("dataset") != files.EVERY_DATASET)]
-                 + [related.where(F.col("dataset") == files.EVERY_DATASET).withColumn("dataset", F.lit(n)) for n in names]).distinct()
-    bodies = own.join(rows, "name").withColumn("body", files.decode_text(F.col("content")))
-    structured = files.merged_metadata(bodies.where(files.extension(F.col("name")) == ".json")).collect()
-    texts = files.documentation_text(own.join(rows, "name")).where(X.strip(F.col("text")) != "")
-    chunks = (texts.groupBy("dataset").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("name", "text"))), lambda r: F.concat(F.lit("["), r["name"], F.lit("]\n"), r["text"])), "\n\n").alias("text")))
-    documents = {r["dataset"]: r["text"] for r in chunks.collect()}
+    related = small_table(files.relate_documents(datasets, rows, len(names)).distinct()).join(rows, "name")
+    bodies = related.where(files.extension(F.col("name")) == ".json").withColumn("body", files.decode_text(F.col("content")))
+    structured, texts = defaultdict(list), defaultdict(list)
+    for r in files.merged_metadata(bodies).collect():
+        structured[r["dataset"]].append(r)
+    for r in files.documentation_text(related).where(X.strip(F.col("text")) != "").select("dataset", "name", "text").collect():
+        texts[r["dataset"]].append((r["name"], r["text"]))
     result = {}
     for name in names:
-        merged = files.metadata_dict([r for r in structured if r["dataset"] == name])
-        if name in documents:
-            merged["documentation_text"] = (str(merged["documentation_text"]) + "\n\n" + documents[name]).strip()
+        merged = files.metadata_dict(structured[files.EVERY_DATASET] + structured[name])
+        documents = sorted({*texts[name], *texts[files.EVERY_DATASET]})
+        if documents:
+            chunks = "\n\n".join(f"[{n}]\n{text}" for n, text in documents)
+            merged["documentation_text"] = (str(merged["documentation_text"]) + "\n\n" + chunks).strip()
         result[name] = merged
     return result

@@ -285,6 +285,23 @@ def _scaled(s, d):
 add("isolation_forest", None, lambda s, d: anomaly.isolation_scores(_scaled(s, d), M_COLS, CONFIG).select("row_id", "isolation_score"))
 add("local_outlier_factor", None, lambda s, d: anomaly.outlier_factors(_scaled(s, d), M_COLS, 35).select("row_id", "lof"))
 
+# The factor itself, over whole numbers with many equal distances: SQL compares all pairs, ties go to the smaller coordinates.
+BUYERS = """SELECT c_custkey AS row_id, CAST(floor(c_acctbal / 100) AS DOUBLE) AS balance, CAST(count(o_orderkey) AS DOUBLE) AS orders, CAST(floor(coalesce(max(o_totalprice), 0) / 10000) AS DOUBLE) AS largest
+ FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal"""
+B_COLS = ["balance", "orders", "largest"]
+LOF = (f"WITH x AS ({BUYERS}), pairs AS (SELECT a.row_id AS p, b.row_id AS o, sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in B_COLS) + ") AS d, " + ", ".join(f"b.{c}" for c in B_COLS)
+       + " FROM x a JOIN x b ON a.row_id <> b.row_id), near AS (SELECT p, o, d FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, " + ", ".join(B_COLS) + ", o) AS r FROM pairs) WHERE r <= 35), "
+       "reach AS (SELECT p, max(d) AS k FROM near GROUP BY p), dens AS (SELECT n.p, 1 / (avg(greatest(r.k, n.d)) + 1e-10) AS density FROM near n JOIN reach r ON r.p = n.o GROUP BY n.p) "
+       "SELECT n.p AS row_id, avg(o.density) / any_value(i.density) AS lof FROM near n JOIN dens o ON o.p = n.o JOIN dens i ON i.p = n.p GROUP BY n.p")
+
+
+def _buyers(s, d):
+    return s.sql(BUYERS.replace("FROM customer", "FROM {c}").replace("JOIN orders", "JOIN {o}"), c=T.table(s, d, "customer"), o=T.table(s, d, "orders"))
+
+
+add("local_outlier_factor_buyers", S.finish(LOF, "lof"),
+    lambda s, d: anomaly.outlier_factors(cut_lineage(_buyers(s, d)), B_COLS, 35, leaf_points=100).select("row_id", "lof"))
+
 
 def _full(s, d):
     p = profile(T.cohort(s, d))

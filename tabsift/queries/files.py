@@ -102,7 +102,7 @@ def _metadata(s, d):
 
 
 META = "SELECT 'nation_' || c_nationkey AS dataset, '{}' AS key, arg_max({}, c_custkey) AS value FROM customer WHERE c_custkey % 11 <> 0{} GROUP BY 1"
-add("src_metadata_json", " UNION ALL ".join([META.format("title", "c_name", ""), META.format("license", "c_mktsegment", " AND c_custkey % 3 = 0"),
+add("src_metadata_json", " UNION ALL ".join([META.format("title", "'\"' || c_name || '\"'", ""), META.format("license", "'\"' || c_mktsegment || '\"'", " AND c_custkey % 3 = 0"),
                                              META.format("id_fields", "'[\"k' || (c_custkey % 4) || '\"]'", "")]), _metadata)
 
 HINT = " OR ".join(f"contains(lower(regexp_replace(name, '\\.[^.]*$', '')), {S.quote(h)})" for h in DOC_NAME_HINTS)
@@ -179,4 +179,4 @@ def _status(s, d):
 
 
 add("catalog_status", "SELECT 'cohort' AS dataset, 'ok' AS status, NULL::VARCHAR AS error, (SELECT count(*) FROM customer) AS n_rows UNION ALL SELECT 'visits', 'ok', NULL, (SELECT count(*) FROM orders) "
-                      "UNION ALL SELECT 'unreadable', 'failed', 'ValueError', NULL", _status)
+                      "UNION ALL SELECT 'unreadable', 'failed', 'ValueError: unreadable dataset', NULL", _status)

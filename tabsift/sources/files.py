@@ -99,12 +99,31 @@ def decimal_mark(text: Column, separator: Column) -> Column:
     return F.when((separator != ",") & text.rlike(r"\d,\d"), ",").otherwise(".")
 
 
-def read_delimited(spark: SparkSession, paths: str | list[str], separator: str, decimal: str = ".", encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text; decimal commas become dots where a cell is such a number."""
-    df = spark.read.csv(paths, sep=separator, header=True, encoding=encoding, inferSchema=False)
-    if decimal == ".":
-        return df
-    return df.select(*[F.regexp_replace(F.col(f"`{c}`"), r"^(\s*[+-]?\d*),(\d+\s*)$", "$1.$2").alias(c) for c in df.columns])
+class RaggedFile(ValueError):
+    """A row has more cells than the header."""
+
+
+def read_delimited(spark: SparkSession, path: str, separator: str, decimal: str = ".", encoding: str = "UTF-8", breaks: bool = True) -> DataFrame:
+    """All columns as text; decimal commas become dots where a cell is such a number.
+
+    Quoted cells may hold separators, doubled quotes and, with ``breaks``, line breaks; such a file is read by one task, so ``breaks`` is for files
+    that have them. Rows with fewer cells end in nulls, a row with more raises :class:`RaggedFile`.
+    """
+    reader = spark.read.option("sep", separator).option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", breaks)
+    names = reader.csv(path).columns
+    if not names:
+        return spark.createDataFrame([], "`_c0` string").drop("_c0")
+    held = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    rows = reader.schema(held).csv(path)
+    extra = f"c{len(names)}"
+    if (over := rows.where(F.col(extra).isNotNull()).select("c0", extra).first()) is not None:
+        raise RaggedFile(f"{path.rsplit('/', 1)[-1]}: the row that starts with {over[0]!r} has more than {len(names)} cells")
+
+    def cell(i: int) -> Column:
+        value = F.col(f"c{i}")
+        return value if decimal == "." else F.regexp_replace(value, r"^(\s*[+-]?\d*),(\d+\s*)$", "$1.$2")
+
+    return rows.select(*[cell(i).alias(n) for i, n in enumerate(names)])
 
 
 def documentation_text(files: DataFrame) -> DataFrame:
@@ -153,18 +172,12 @@ def relate_documents(datasets: DataFrame, documents: DataFrame, n_datasets: int)
 
 
 def merged_metadata(bodies: DataFrame) -> DataFrame:
-    """(dataset, key, value): per key the value of the last file in name order; unreadable JSON is skipped."""
-    parsed = bodies.select("dataset", "name", F.explode(F.from_json("body", "map<string,string>")).alias("key", "value"))
-    return (parsed.where(F.col("key") != "_instructions").groupBy("dataset", "key")
+    """(dataset, key, value): per key the value, as JSON, of the last file in name order; unreadable JSON is skipped."""
+    parsed = bodies.select("dataset", "name", F.explode(F.from_json("body", "map<string,variant>")).alias("key", "value"))
+    return (parsed.where(F.col("key") != "_instructions").withColumn("value", F.to_json("value")).groupBy("dataset", "key")
             .agg(F.max_by("value", "name").alias("value")))
 
 
 def metadata_dict(rows: list) -> dict:
-    """Collected (key, value) rows of one dataset as a metadata dictionary with defaults."""
-    found = {}
-    for row in rows:
-        try:
-            found[row["key"]] = json.loads(row["value"]) if row["value"] is not None else None
-        except ValueError:
-            found[row["key"]] = row["value"]
-    return merge_metadata(found)
+    """Collected (key, JSON value) rows of one dataset as a metadata dictionary with defaults."""
+    return merge_metadata({r["key"]: json.loads(r["value"]) if r["value"] is not None else None for r in rows})

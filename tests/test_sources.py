@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tabsift.config import CONFIG, with_config
-from tabsift.plans.assess import assess_folder, attached_metadata, load_file
+from tabsift.plans.assess import assess_folder, attached_metadata, dataset_names, load_file
 from tabsift.sources import files, tables
 
 SHAPES = {
@@ -67,3 +67,30 @@ def test_assess_folder_end_to_end(spark, tmp_path):
     roles = {r["column"]: r["role"] for r in tables.read_table(spark, str(out), "schema_profile").collect()}
     assert roles["patient_id"] == "identifier" and roles["glucose"] == "continuous_measurement" and roles["sex"] == "binary"
     assert all(0 <= profile[c] <= 1 for c in ("C(D)", "A(D)", "R(D)", "composite_quality_index"))
+
+
+def test_quoted_cells_of_real_files(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('id,note,val\n1,"line one\nline two",5\n2,"say ""hi"", ok",6\n3,,\n4,short\n')
+    df, _ = load_file(spark, str(path))
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [("1", "line one\nline two", "5"), ("2", 'say "hi", ok', "6"), ("3", None, None), ("4", "short", None)]
+
+
+def test_ragged_and_unreadable_files_fail_with_a_message(spark, tmp_path):
+    data = tmp_path / "data"
+    data.mkdir()
+    (data / "ragged.csv").write_text("id,val\n" + "".join(f"{i},1\n" for i in range(80)) + "99,2,LOST\n")
+    (data / "book.xlsx").write_bytes(b"PK\x03\x04 not a table")
+    (data / "same.csv").write_text("id,val\n1,2\n2,3\n")
+    (data / "same.xls").write_bytes(b"\xd0\xcf\x11")
+    got = {r["dataset"]: (r["status"], r["error"]) for r in assess_folder(spark, str(data), None, str(tmp_path / "out")).collect()}
+    assert set(got) == {"ragged", "book", "same.csv", "same.xls"} and got["same.csv"] == ("ok", None)
+    assert got["ragged"][0] == "failed" and "ragged.csv" in got["ragged"][1] and "99" in got["ragged"][1]
+    assert got["book"] == ("failed", "ValueError: book.xlsx: files of type .xlsx can't be read") and got["same.xls"][0] == "failed"
+    assert dataset_names(["a.csv", "b.csv", "b.tsv"]) == {"a.csv": "a", "b.csv": "b.csv", "b.tsv": "b.tsv"}
+
+
+def test_metadata_keeps_json_types(spark, tmp_path):
+    (tmp_path / "clinic.json").write_text('{"versioning": "2.0", "license": "true", "standards": ["ICD-10", "LOINC"], "open": true, "title": "T"}')
+    m = attached_metadata(spark, ["clinic"], str(tmp_path))["clinic"]
+    assert m["versioning"] == "2.0" and m["license"] == "true" and m["standards"] == ["ICD-10", "LOINC"] and m["open"] is True
