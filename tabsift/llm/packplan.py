@@ -10,9 +10,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Lengths above this share of the capacity are grouped; the rest fill gaps.
-LARGE = 1 / 3
-GROUPS = 64
+#: Lengths above a share of the capacity are grouped, into so many groups at most; the rest fill gaps. The best of these plans is taken.
+SETTINGS = ((1 / 3, 64), (1 / 5, 64), (1 / 8, 48))
 
 
 @dataclass
@@ -118,14 +117,28 @@ class Gaps:
 def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     """Arrays size, first, last, sequence, offset, sorted by (size, first): the documents of a length with ranks in [first, last) go, one
     each, into the sequences from ``sequence`` on, at ``offset``. Every rank of every length is placed once."""
+    runs = min((grouped(histogram, capacity, *setting) for setting in SETTINGS), key=lambda runs: sum(r.count for r in runs))
+    rows, sequence = [], 0
+    for run in runs:
+        offset = 0
+        for size, first in run.slots:
+            rows.append((size, first, first + run.count, sequence, offset))
+            offset += size
+        sequence += run.count
+    table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+    return dict(zip(("size", "first", "last", "sequence", "offset"), table.T.copy()))
+
+
+def grouped(histogram: dict[int, int], capacity: int, large: float, groups: int) -> list[Run]:
+    """A packing by linear grouping of all lengths above ``large`` times the capacity."""
     lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), dtype=np.int64)
     counts = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
     used = {int(k): 0 for k in lengths}
     total = dict(zip(map(int, lengths), map(int, counts)))
-    gaps, whole = Gaps(), []
-    big = lengths > capacity * LARGE
+    gaps = Gaps()
+    big = lengths > capacity * large
     if big.any():
-        rounded = groups_of(lengths[big], counts[big], GROUPS)
+        rounded = groups_of(lengths[big], counts[big], groups)
         merged: dict[int, int] = {}
         for size, members in rounded:
             merged[size] = merged.get(size, 0) + members
@@ -201,13 +214,4 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
             rest -= run.count
             run.left -= size
             gaps.add(run)
-    whole = [r for runs in gaps.runs.values() for r in runs]
-    rows, sequence = [], 0
-    for run in whole:
-        offset = 0
-        for size, first in run.slots:
-            rows.append((size, first, first + run.count, sequence, offset))
-            offset += size
-        sequence += run.count
-    table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
-    return dict(zip(("size", "first", "last", "sequence", "offset"), table.T.copy()))
+    return [r for runs in gaps.runs.values() for r in runs]

@@ -60,7 +60,7 @@ def test_hits_on_odd_rows(spark, odd, none):
     assert len(empty) == odd.count() and not any(r.contaminated for r in empty)
 
 
-@pytest.mark.parametrize("slack,share,expected", [(0, 1.0, {0}), (1, 1.0, {0, 1}), (0, 0.75, {0, 2}), (2, 0.75, {0, 1, 2, 3})])
+@pytest.mark.parametrize("slack,share,expected", [(0, 1.0, {0}), (1, 1.0, {0, 1}), (0, 0.75, {0, 1, 2}), (2, 0.75, {0, 1, 2, 3})])
 def test_proximity_matches(spark, slack, share, expected):
     texts = ["q w e r", "q x w e r", "q w e z", "q x y w e"]
     docs = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "k1 long, k2 int, text string")
