@@ -12,8 +12,8 @@ from tabsift.llm.wordhash import chunks
 
 #: Bytes of a window, of a letter's embedding; filters of each width.
 WINDOW, DEPTH, FILTERS, WIDTHS = 256, 6, 16, (2, 3, 4)
-#: Training: about so many documents of each language, at most so many windows of each, so many passes.
-DOCUMENTS, WINDOWS, EPOCHS, RATE = 1500, 2, 6, 0.01
+#: Training: about so many documents of each language, at most so many windows of each, so many passes, so many steps at least.
+DOCUMENTS, WINDOWS, EPOCHS, STEPS, RATE = 1500, 2, 6, 400, 0.01
 #: Windows that go through the network at once.
 BATCH = 64
 UNKNOWN = "und"
@@ -98,7 +98,7 @@ def _samples(batches, each: int):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = DOCUMENTS,
-          windows: int = WINDOWS, epochs: int = EPOCHS) -> tuple[list[str], Network]:
+          windows: int = WINDOWS, epochs: int = EPOCHS, steps: int = STEPS) -> tuple[list[str], Network]:
     """(languages, network) from texts outside the held-out fold whose language is known: about ``documents`` of each language, drawn by hash."""
     rows = pick(docs, id=id_col, text=text_col, lang=lang_col).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = draw(rows.select(F.col("lang").cast("string").alias("lang"), "text"), "lang", documents)
@@ -109,17 +109,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return langs, network
     labels = np.searchsorted(langs, got["lang"].to_numpy().astype(str))
     x = np.frombuffer(b"".join(got["window"]), dtype=np.uint8).reshape(-1, WINDOW)
-    rng, state, step = np.random.default_rng(11), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.weights.items()}, 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(x))
-        for k in range(0, len(order), BATCH):
-            step += 1
-            part = order[k:k + BATCH]
-            for name, g in network.gradients(x[part], labels[part]).items():                # Adam
-                m, v = state[name]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                network.weights[name] -= np.float32(RATE * 0.6 ** epoch) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    rng, state = np.random.default_rng(11), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.weights.items()}
+    total = max(steps, epochs * -(-len(x) // BATCH))
+    order = np.concatenate([rng.permutation(len(x)) for _ in range(-(-total * BATCH // len(x)))])
+    for step in range(1, total + 1):
+        part = order[(step - 1) * BATCH:step * BATCH]
+        for name, g in network.gradients(x[part], labels[part]).items():                # Adam
+            m, v = state[name]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            network.weights[name] -= np.float32(RATE * 0.05 ** (step / total)) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     return langs, network
 
 

@@ -29,14 +29,14 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
     spread = cut_lineage(lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"),
                                                        F.min(place).alias("first")).filter(F.col("sites") >= min_sites - margin))
     near = spread.filter(F.col("sites") <= min_sites + margin)
-    exact = (lines.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
-             .groupBy("h1", "h2").agg(F.count("site").alias("exact")))
+    pairs = lines.select("h1", "h2", "site").distinct()          # a common line is as many rows as it has sites
+    exact = pairs.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("site").alias("exact"))
     return spread.join(exact, ["h1", "h2"], "left").filter(F.coalesce("exact", "sites") >= min_sites).select("h1", "h2", "first")
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                       min_sites: int = 10, lg_k: int = 12, keep_first: bool = True) -> DataFrame:
-    """The documents with all their columns, text without boilerplate lines, and n_removed (any such column is replaced).
+                       min_sites: int = 10, lg_k: int = 12, keep_first: bool = True, count_col: str = "n_removed") -> DataFrame:
+    """The documents with all their columns, text without boilerplate lines, and the number of lines that went (a column of that name is replaced).
 
     Lines are compared without the blanks around them; blank lines always stay. A line on ``min_sites`` sites or more is removed from
     every document, but for its first place (smallest id, then text digest and line number; null ids last) if ``keep_first``, so that no
@@ -48,10 +48,10 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if keep_first:
         hit = hit.filter("key != first.key or pos != first.pos")
     gone = hit.groupBy("key").agg(F.collect_set("pos").alias("gone"))
-    own, number = "__key", docs.columns
+    own = "__key"
     rows = docs.withColumn(own, F.unhex(row_key(col(id_col), col(text_col))))
     both = rows.join(gone.select(F.col("key").alias(own), F.col("gone").alias("__gone")), own, "left")
     text = F.when(F.col("__gone").isNull(), col(text_col)).otherwise(
         F.array_join(F.filter(F.split(col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
-    return both.select(*(text.alias(c) if c == text_col else col(c) for c in number if c != "n_removed"),
-                       F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
+    return both.select(*(text.alias(c) if c == text_col else col(c) for c in docs.columns if c != count_col),
+                       F.coalesce(F.size("__gone"), F.lit(0)).alias(count_col))

@@ -66,7 +66,7 @@ def test_languages_on_the_tables(documents):
 
 
 def test_languages_on_odd_rows(odd, none):
-    out = identify(odd, epochs=1).collect()
+    out = identify(odd, epochs=1, steps=20).collect()
     assert len(out) == odd.count() and identify(none).count() == 0
     by = {r.doc_id: r.lang_pred for r in out}
     assert [by[k] for k in (1, 2, 3, 8)] == ["und"] * 4 and by[4] in ("en", "fr")

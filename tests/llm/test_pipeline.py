@@ -57,5 +57,6 @@ def test_stages_on_odd_rows(spark, folder, odd, none):
         for name, stage in pipeline.STAGES:
             kept = stage(spark, docs, folder)
             if name != "packing":
-                assert kept.columns == docs.columns, name
-            assert kept.count() <= docs.count() + 40
+                assert kept.columns == docs.columns and kept.count() <= docs.count(), name
+            else:
+                assert kept.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
