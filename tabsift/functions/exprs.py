@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tabsift.config import DATE_FORMATS, DATE_LIKE, DOCUMENTATION_KEYS
+from tabsift.config import DATE_FORMATS, DATE_LENGTH, DATE_LIKE, DATE_SHAPE, DOCUMENTATION_KEYS
 
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -78,7 +78,7 @@ def date_like(x: Column) -> Column:
 def parse_date(x: Column, pattern: str) -> Column:
     """A timestamp, or NULL; the cheap shape test keeps long free text away from the parser."""
     t = strip(x)
-    return F.when(t.rlike(r"^\d{1,4}[-/]"), F.try_to_timestamp(t, F.lit(pattern)))
+    return F.when((F.length(t) <= DATE_LENGTH) & t.rlike(DATE_SHAPE), F.try_to_timestamp(t, F.lit(pattern)))
 
 
 def date_hits(x: Column) -> list[Column]:

@@ -36,7 +36,7 @@ def _non_numeric(s, d):
 
 add("present_non_numeric", over("visits", select=S.finish('SELECT "column", usable_count - loose_count AS non_numeric FROM visits_stats', ints="non_numeric")), _non_numeric)
 
-DUP = ["priority", "smoker_flag", "mixed_field"]
+DUP = S.DATASETS["visits"]["columns"]
 add("duplicate_rows", S.with_ctes(S.clean("visits"), select=S.finish(
     "SELECT (SELECT count(*) FROM visits) AS n_rows, count(*) AS distinct_rows, (SELECT count(*) FROM visits) - count(*) AS duplicate_rows "
     f"FROM (SELECT DISTINCT {', '.join(DUP)} FROM visits)", ints="n_rows distinct_rows duplicate_rows")),

@@ -49,18 +49,18 @@ def miss_of(ds):
 
 
 # --- markers and missingness ---------------------------------------------------------------------
-add("norm_technical_missing", S.with_ctes(S.clean("cohort"), select="SELECT row_id, age, visit_note, glucose, sex FROM cohort"),
-    lambda s, d: T.cohort(s, d).df.select("row_id", "age", "visit_note", "glucose", "sex"))
+add("norm_technical_missing", S.with_ctes(S.clean("cohort"), select=S.finish("SELECT row_id, " + ", ".join(S.DATASETS["cohort"]["columns"]) + " FROM cohort", "balance_value")),
+    lambda s, d: T.cohort(s, d).df.select("row_id", *S.DATASETS["cohort"]["columns"]))
 
 
 def _mask(s, d):
     ds = T.cohort(s, d)
     codes = missing.sentinel_map(ds)
-    return ds.df.select("row_id", *[missing.unusable(ds, c, codes).alias(c) for c in ("age", "glucose", "visit_note")])
+    return ds.df.select("row_id", *[missing.unusable(ds, c, codes).alias(c) for c in S.DATASETS["cohort"]["text"]])
 
 
 add("semantic_unusable_mask", over("cohort", select="SELECT row_id, " + ", ".join(
-    f"{S.unusable('cohort', c)} AS {c}" for c in ("age", "glucose", "visit_note")) + " FROM cohort"), _mask)
+    f"{S.unusable('cohort', c)} AS {c}" for c in S.DATASETS["cohort"]["text"]) + " FROM cohort"), _mask)
 
 add("value_counts", over("cohort", select=S.finish('SELECT "column", norm AS token, sum(freq) AS freq FROM cohort_val WHERE value IS NOT NULL '
                                                    "AND \"column\" <> 'balance_value' GROUP BY 1, 2", ints="freq")),
@@ -133,18 +133,20 @@ add("known_marker_difference", over("cohort", "visits", select=both(
     f'SELECT @ AS dataset, "column", token FROM $_codes WHERE token NOT IN {S.names(sorted({m.strip().lower() for m in S.TECHNICAL_MARKERS + S.SEMANTIC_MARKERS}))} '
     'AND "column" IN (SELECT "column" FROM $_accepted)')), labelled(lambda ds: missing.detect_sentinels(ds).select("column", "token")))
 
-add("antijoin_sentinel_values", over("cohort", select="SELECT row_id, 'glucose' AS \"column\", glucose AS value FROM cohort WHERE glucose IS NOT NULL AND "
-                                     f"{S.norm('glucose')} NOT IN (SELECT token FROM cohort_sentinels WHERE \"column\" = 'glucose')"),
-    lambda s, d: missing.without_sentinels(T.cohort(s, d), missing.detect_sentinels(T.cohort(s, d)), ["glucose"]).select("row_id", "column", "value"))
+add("antijoin_sentinel_values", over("cohort", select=" UNION ALL ".join(
+    f"SELECT row_id, '{c}' AS \"column\", {c} AS value FROM cohort WHERE {c} IS NOT NULL AND {S.norm(c)} NOT IN (SELECT token FROM cohort_sentinels WHERE \"column\" = '{c}')"
+    for c in S.DATASETS["cohort"]["text"])),
+    lambda s, d: missing.without_sentinels(T.cohort(s, d), missing.detect_sentinels(T.cohort(s, d)), S.DATASETS["cohort"]["text"]).select("row_id", "column", "value"))
 
+NUMBERS = [c for c in S.DATASETS["cohort"]["text"] if c not in ("subject_id", "sex", "grp", "visit_note", "segment")]
 add("fn_numeric_series", over("cohort", select="SELECT row_id, " + ", ".join(
     f"round(CASE WHEN {S.norm(c)} IN (SELECT token FROM cohort_sentinels WHERE \"column\" = '{c}') THEN NULL ELSE {S.loose(c)} END, 6) AS {c}"
-    for c in ("age", "glucose")) + " FROM cohort"), lambda s, d: _numeric(T.cohort(s, d)))
+    for c in NUMBERS) + " FROM cohort"), lambda s, d: _numeric(T.cohort(s, d)))
 
 
 def _numeric(ds):
     codes = missing.sentinel_map(ds)
-    return ds.df.select("row_id", *[missing.usable_number(ds, c, codes).alias(c) for c in ("age", "glucose")])
+    return ds.df.select("row_id", *[missing.usable_number(ds, c, codes).alias(c) for c in NUMBERS])
 
 
 W = CFG["scoring"]["C"]
@@ -219,7 +221,7 @@ add("metadata_role", over("cohort", select=S.finish(f'SELECT "column", {S.role_c
     lambda s, d: roles.rule_role(roles.column_stats(T.cohort(s, d, OVERRIDES))[0], T.cohort(s, d, OVERRIDES).metadata, CFG))
 
 ROLE_NAMES = ["identifier", "target_or_outcome", "continuous_measurement", "continuous_numeric", "ordinal_or_categorical", "categorical_nominal",
-              "binary", "date_time", "free_text"]
+              "binary", "date_time", "free_text", "continuous_measurement_high_missingness"]
 
 
 def prototypes(s, d):

@@ -114,8 +114,8 @@ NAMES = list(DOCUMENTATION_COMPONENTS)
 
 
 def prompt_vectors(s, d):
-    """Mean vector per label; the first labels stand for the components."""
-    rows = (T.table(s, d, "embeddings").where(F.col("label") < len(NAMES)).select("label", F.posexplode("embedding").alias("pos", "x"))
+    """Mean vector per component; labels are dealt out over the components."""
+    rows = (T.table(s, d, "embeddings").select((F.col("label") % len(NAMES)).alias("label"), F.posexplode("embedding").alias("pos", "x"))
             .groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x")).orderBy("label", "pos").collect())
     out: dict[str, list[float]] = {}
     for r in rows:
@@ -123,10 +123,10 @@ def prompt_vectors(s, d):
     return out
 
 
-EMB = f"""proto AS (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(CAST(embedding[pos] AS DOUBLE)) AS x FROM embeddings,
-  (SELECT unnest(range(1, 65)) AS pos) WHERE label < {len(NAMES)} GROUP BY 1, 2) GROUP BY label),
+EMB = f"""proto AS (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(CAST(embedding[pos] AS DOUBLE)) AS x FROM (SELECT embedding, label % {len(NAMES)} AS label FROM embeddings),
+  (SELECT unnest(range(1, 65)) AS pos) GROUP BY 1, 2) GROUP BY label),
 comp AS (SELECT unnest({NAMES}) AS component, unnest(range(0, {len(NAMES)})) AS label),
-embsim AS (SELECT vec_id AS doc_id, component, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS text_similarity FROM embeddings, proto JOIN comp USING (label))"""
+embsim AS (SELECT vec_id AS doc_id, component, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS text_similarity FROM embeddings, proto JOIN comp ON proto.label = comp.label)"""
 
 
 def embedded(s, d):

@@ -93,7 +93,7 @@ def statistics(name: str) -> str:
     d = DATASETS[name]
     markers = names([m.strip().lower() for m in SEMANTIC_MARKERS])
     binary = " OR ".join(f"coalesce(bool_and(CASE WHEN value IS NOT NULL THEN norm IN {names(s)} END), false)" for s in BINARY_SETS)
-    dates = ", ".join(f"sum(CASE WHEN value IS NOT NULL AND regexp_matches({strip('value')}, '^\\d{{1,4}}[-/]') AND "
+    dates = ", ".join(f"sum(CASE WHEN value IS NOT NULL AND length({strip('value')}) <= 40 AND regexp_matches({strip('value')}, '^\\d{{1,4}}[-/. ]') AND "
                       f"try_strptime({strip('value')}, '{fmt}') IS NOT NULL THEN freq ELSE 0 END)" for _, fmt in DATE_FORMATS)
     samples = " UNION ALL ".join(
         f"SELECT * FROM (SELECT {quote(c)} AS \"column\", row_id, CAST({c} AS VARCHAR) AS value, row_number() OVER (ORDER BY row_id) AS position "
