@@ -29,6 +29,51 @@ def test_lof_equals_brute_force(spark, copies, leaf, questions):
     assert np.allclose([got[i] for i in range(len(x))], brute_force_lof(x, 12), rtol=1e-9)
 
 
+def gridded(n):
+    """Few distinct values, so many neighbours are equally far."""
+    rng = np.random.default_rng(11)
+    return np.unique(np.column_stack([rng.integers(0, 12, n), rng.integers(0, 9, n), rng.integers(0, 7, n)]).astype(float), axis=0)
+
+
+def test_boxes_are_split_until_they_are_small(spark):
+    x = gridded(5000)
+    points = spark.createDataFrame([(i, 1, *map(float, r)) for i, r in enumerate(x)], "pid long, weight long, x0 double, x1 double, x2 double").repartition(4)
+    tree, placed = neighbours.boxes(points, ["x0", "x1", "x2"], 5, 60)                  # a sample of 60 can't split 700 points at once
+    counts = [r["count"] for r in placed.groupBy("box").count().collect()]
+    assert sum(counts) == len(x) and max(counts) <= 10 and len(counts) == tree["n"][0]
+    assert np.array_equal(np.sort(tree["leaf"][tree["leaf"] >= 0]), np.arange(len(counts)))
+
+
+def test_factors_do_not_depend_on_partitions(spark):
+    x = gridded(1500)
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, `a.b` double, b double, c double")
+    columns, got = ["a.b", "b", "c"], []
+    for parts, leaf in ((2, 30), (7, 200)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found = anomaly.outlier_factors(rows.repartition(parts), columns, 12, leaf_points=leaf, sample_points=50).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        got.append({r["row_id"]: r["lof"] for r in found})
+    assert got[0].keys() == got[1].keys() == set(range(len(x)))
+    assert np.allclose([got[0][i] for i in range(len(x))], [got[1][i] for i in range(len(x))], rtol=1e-12)
+    assert np.allclose([got[0][i] for i in range(len(x))], brute_force_lof(x, 12), rtol=1e-9)       # rows are in the order of coordinates, as ties are
+
+
+def test_columns_with_dots_reach_all_detectors(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(300, 2)))], "row_id long, `glu.x` double, `b c` double")
+    found = anomaly.detect(Dataset.of("t", df, "row_id"), ["glu.x", "b c"], {}, True)
+    assert found.flags.count() == 300 and set(found.methods) == {"iqr", "modified_z", "isolation_forest", "local_outlier_factor"}
+
+
+def test_nothing_runs_when_a_dataset_is_made(spark):
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    Dataset.of("t", df, "k")
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() == before
+
+
 @pytest.mark.parametrize("limit,final", [(10**9, 10**6), (1, 50), (1, 3)])
 def test_quantiles_match_numpy(spark, limit, final):
     rng = np.random.default_rng(5)
