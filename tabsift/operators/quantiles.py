@@ -1,8 +1,8 @@
 """Exact interpolated quantiles that never gather a column in one place.
 
-Few distinct values: Spark's ``percentile`` (its state is one counter per distinct value). Many: each
-wanted order statistic is bracketed by approximate percentiles, counted, and bracketed again until few
-enough rows are left. Every round is a scan with constant-size partial results and no shuffle of rows.
+Every wanted order statistic is bracketed by approximate percentiles and counted, and bracketed again inside the part that
+holds it, until a pivot is the value itself. Every round is two scans with constant-size partial results, shared by all columns and
+ranks, and no shuffle of rows. A round leaves about a thousandth of the rows, so a few rounds do for any table.
 """
 
 from __future__ import annotations
@@ -12,33 +12,26 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-DISTINCT_LIMIT = 1_000_000
-FINAL_ROWS = 50_000
 ACCURACY = 2_000
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], distinct_limit: int = DISTINCT_LIMIT,
-                    final_rows: int = FINAL_ROWS) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of each expression, NULL ignored."""
     names = list(columns)
     if not names:
         return {}
     values = df.select(*[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
-    sizes = values.agg(*[f(f"x{i}").alias(f"{k}{i}") for i in range(len(names))
-                         for k, f in (("n", F.count), ("d", F.approx_count_distinct))]).first()
-    small = [i for i in range(len(names)) if sizes[f"d{i}"] <= distinct_limit]
-    result: dict[int, list[float | None]] = {}
-    if small:
-        row = values.agg(*[F.percentile(f"x{i}", list(shares)).alias(f"q{i}") for i in small]).first()
-        result.update({i: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(shares) for i in small})
-    large = {i: sizes[f"n{i}"] for i in range(len(names)) if i not in small}
-    if large:
-        wanted = {(i, r) for i, n in large.items() for s in shares for r in (math.floor((n - 1) * s), math.ceil((n - 1) * s))}
-        found = order_statistics(values, large, sorted(wanted), final_rows)
-        for i, n in large.items():
-            places = [((n - 1) * s, found[i, math.floor((n - 1) * s)], found[i, math.ceil((n - 1) * s)]) for s in shares]
-            result[i] = [low if low == high else low + (high - low) * (p - math.floor(p)) for p, low, high in places]
-    return {n: result[i] for i, n in enumerate(names)}
+    sizes = values.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(names))]).first()
+    filled = {i: sizes[f"n{i}"] for i in range(len(names)) if sizes[f"n{i}"]}
+    wanted = {(i, r) for i, n in filled.items() for s in shares for r in (math.floor((n - 1) * s), math.ceil((n - 1) * s))}
+    found = order_statistics(values, filled, sorted(wanted), accuracy)
+
+    def interpolated(i: int, share: float) -> float:
+        place = (filled[i] - 1) * share
+        low, high = found[i, math.floor(place)], found[i, math.ceil(place)]
+        return low if low == high else low + (high - low) * (place - math.floor(place))
+
+    return {n: [interpolated(i, s) for s in shares] if i in filled else [None] * len(shares) for i, n in enumerate(names)}
 
 
 @dataclass
@@ -55,6 +48,14 @@ class Search:
     open_high: bool = False
     answer: float | None = None
 
+    def interval(self) -> tuple:
+        return self.column, self.low, self.high, self.open_low, self.open_high
+
+    def shares(self, accuracy: int) -> list[float]:
+        """Where to look for pivots: around the rank, or, among so few values that percentiles are exact, right at it."""
+        at, slack = (self.rank - self.below + 0.5) / self.inside, 0.0 if self.inside < accuracy // 2 else 2.0 / accuracy
+        return [max(0.0, at - slack), min(1.0, at + slack)]
+
     def condition(self) -> Column:
         x = F.col(f"x{self.column}")
         left = x > self.low if self.open_low else x >= self.low
@@ -79,31 +80,27 @@ class Search:
             self.low, self.open_low = b, True
 
 
-def order_statistics(values: DataFrame, sizes: dict[int, int], wanted: list[tuple[int, int]], final_rows: int) -> dict[tuple[int, int], float]:
+def order_statistics(values: DataFrame, sizes: dict[int, int], wanted: list[tuple[int, int]], accuracy: int = ACCURACY) -> dict[tuple[int, int], float]:
     """The values at the wanted (column, rank) places.
 
-    All searches share their scans: a round is one aggregation for pivots and one for counts, whatever the
-    number of columns and ranks. Each round leaves a few thousandths of the rows inside an interval.
+    All searches share their scans: a round is one aggregation for pivots and one for counts, whatever the number of columns and
+    ranks. Searches in one interval share its sketch.
     """
     searches = [Search(i, r, sizes[i]) for i, r in wanted]
-    while active := [s for s in searches if s.answer is None and s.inside > final_rows]:
-        slack = 2.0 / ACCURACY
-        pivots = values.agg(*[
-            F.percentile_approx(F.when(s.condition(), F.col(f"x{s.column}")),
-                                [max(0.0, (s.rank - s.below + 0.5) / s.inside - slack), min(1.0, (s.rank - s.below + 0.5) / s.inside + slack)],
-                                ACCURACY).alias(f"p{j}") for j, s in enumerate(active)]).first()
+    while active := [s for s in searches if s.answer is None]:
+        together: dict[tuple, list[Search]] = {}
+        for s in active:
+            together.setdefault(s.interval(), []).append(s)
+        sketches = [F.percentile_approx(F.when(group[0].condition(), F.col(f"x{group[0].column}")), [x for s in group for x in s.shares(accuracy)], accuracy).alias(f"p{j}")
+                    for j, group in enumerate(together.values())]
+        row = values.agg(*sketches).first()
+        pivots = [(s, row[f"p{j}"][2 * k:2 * k + 2]) for j, group in enumerate(together.values()) for k, s in enumerate(group)]
         counts = []
-        for j, s in enumerate(active):
-            x, (a, b), here = F.col(f"x{s.column}"), pivots[f"p{j}"], s.condition()
+        for j, (s, (a, b)) in enumerate(pivots):
+            x, here = F.col(f"x{s.column}"), s.condition()
             tests = {"lt": x < a, "eq_a": x == a, "mid": (x > a) & (x < b), "eq_b": (x == b) & (x > a)}
             counts += [F.count_if(here & t).alias(f"{k}{j}") for k, t in tests.items()]
         row = values.agg(*counts).first()
-        for j, s in enumerate(active):
-            s.narrow(*pivots[f"p{j}"], {k: row[f"{k}{j}"] for k in ("lt", "eq_a", "mid", "eq_b")})
-    left = [s for s in searches if s.answer is None]
-    if left:
-        row = values.agg(*[F.element_at(F.sort_array(F.collect_list(F.when(s.condition(), F.col(f"x{s.column}")))), s.rank - s.below + 1)
-                           .alias(f"v{j}") for j, s in enumerate(left)]).first()
-        for j, s in enumerate(left):
-            s.answer = row[f"v{j}"]
+        for j, (s, (a, b)) in enumerate(pivots):
+            s.narrow(a, b, {k: row[f"{k}{j}"] for k in ("lt", "eq_a", "mid", "eq_b")})
     return {(s.column, s.rank): s.answer for s in searches}
