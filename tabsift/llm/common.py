@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabsift.dataset import cut_lineage
 
-__all__ = ["cut_lineage", "col", "pick", "ascii_lower", "row_key"]
+__all__ = ["cut_lineage", "ship", "col", "pick", "ascii_lower", "row_key"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Once for each application, gives executors this package's source, so that tasks need no installed copy."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    path = os.path.realpath(os.path.join(tempfile.mkdtemp(), "tabsift-source.zip"))
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.joinpath("tabsift").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def col(name: str) -> Column:
     """A column by its plain name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabsift.llm.common import pick
+from tabsift.llm.common import pick, ship
 from tabsift.llm.sampling import draw, held_out
 from tabsift.llm.wordhash import chunks
 
@@ -100,6 +100,7 @@ def _samples(batches, each: int):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = DOCUMENTS,
           windows: int = WINDOWS, epochs: int = EPOCHS, steps: int = STEPS) -> tuple[list[str], Network]:
     """(languages, network) from texts outside the held-out fold whose language is known: about ``documents`` of each language, drawn by hash."""
+    ship(docs.sparkSession)
     rows = pick(docs, id=id_col, text=text_col, lang=lang_col).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = draw(rows.select(F.col("lang").cast("string").alias("lang"), "text"), "lang", documents)
     got = rows.mapInArrow(lambda b: _samples(b, windows), "lang string, window binary").toPandas().sort_values(["lang", "window"], kind="stable")
@@ -146,6 +147,7 @@ def predict(docs: DataFrame, model: tuple[list[str], Network], id_col: str = "do
     The score is the mean probability of the language over all windows of the text. Null, empty and letterless texts are "und" with score 1,
     and so is every text if no language was learned. Rows that repeat an id and text repeat the result. Other columns are ignored.
     """
+    ship(docs.sparkSession)
     langs, network = model
     rows = pick(docs, id=id_col, text=text_col).select("id", held_out(F.col("id")).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")
     shared = docs.sparkSession.sparkContext.broadcast((langs, network.weights))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsift.llm.common import cut_lineage, pick
+from tabsift.llm.common import cut_lineage, pick, ship
 from tabsift.llm.components import connected
 from tabsift.llm.wordhash import chunks, distinct, shingles, word_hashes
 
@@ -177,7 +177,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that repeat an id and text repeat the result. Two texts under one id are told apart, but are one node if that id is the smallest of both
     classes. A null id is never linked: component_id is null and kept true. Other columns are ignored. No rows give no rows.
     """
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     rows = pick(docs, id=id_col, text=text_col)
     sig = cut_lineage(signatures(rows, size))
     texts = rows.filter("id is not null and text is not null")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from tabsift.llm.common import cut_lineage, pick
+from tabsift.llm.common import cut_lineage, pick, ship
 from tabsift.llm.packplan import plan
 from tabsift.llm.pieces import cut, encode, runs, tokenizer
 
@@ -120,6 +120,7 @@ def _pieces(batches, path: str, capacity: int):
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and an end id, cut only if they are more than ``capacity``."""
+    ship(docs.sparkSession)
     rows = pick(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(lambda b: _pieces(b, path, capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -143,6 +144,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     which sequences. Ranks come from counts per length and hash block, and a window within each, so a common length is spread.
     """
     spark = pieces.sparkSession
+    ship(spark)
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = [c for c in pieces.columns]
     marked = cut_lineage(pieces.withColumn("block", F.pmod(F.xxhash64("id", "piece"), F.lit(blocks)).cast("int")))

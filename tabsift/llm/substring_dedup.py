@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabsift.llm.common import col, row_key
+from tabsift.llm.common import col, row_key, ship
 
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 _breaks = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
@@ -64,6 +64,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts stay null, empty ones empty. Rows that repeat an id and text hold the same occurrence, so they get the same result. A
     null id ranks last. Other columns are ignored. No rows give no rows.
     """
+    ship(docs.sparkSession)
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(rank_col or id_col).alias("rank"))
     rows = rows.withColumn("key", F.unhex(row_key(F.col("id"), F.col("text"))))
     kind, rank = rows.schema["id"].dataType.simpleString(), rows.schema["rank"].dataType.simpleString()

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tabsift.llm.common import cut_lineage, pick
+from tabsift.llm.common import cut_lineage, pick, ship
 from tabsift.llm.pieces import cut, encode, runs
 
 #: The most frequent pre-tokens go to all tasks: at most so many, of at most so many bytes each.
@@ -107,6 +107,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     Null texts count as empty: no tokens. Rows that repeat an id and text repeat the result. Null ids are an id of their own.
     Other columns are ignored. No rows give no rows.
     """
+    ship(docs.sparkSession)
     rows = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     known = docs.sparkSession.sparkContext.broadcast(head(rows.select("text"), path))
     keyed = rows.select("id", F.hash("text").alias("h"), F.octet_length("text").cast("long").alias("bytes"), "text")

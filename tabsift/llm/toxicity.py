@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabsift.llm.common import pick
+from tabsift.llm.common import pick, ship
 from tabsift.llm.sampling import draw, held_out
 from tabsift.llm.wordhash import chunks
 
@@ -142,6 +142,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
 
     Rows that repeat an id and text repeat the result. Null ids count as outside the held-out fold. Other columns are ignored.
     """
+    ship(docs.sparkSession)
     rows = pick(docs, id=id_col, text=text_col).select("id", held_out(F.col("id")).alias("held_out"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabsift.dataset import shared_folder
-from tabsift.llm.common import cut_lineage, pick
+from tabsift.llm.common import cut_lineage, pick, ship
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -149,6 +149,7 @@ def _parse(batches, payloads: bool):
 
 def read_records(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     """The responses of all archives below ``path``, or all other records; plain or gzipped, in one piece or record by record."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(lambda b: _parse(b, payloads), RECORD)
 
