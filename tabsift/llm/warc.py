@@ -24,13 +24,13 @@ RECORD = "record_id string, type string, concurrent_to array<string>, refers_to
 
 def base32_sha1(data: Column) -> Column:
     """The SHA-1 of bytes in upper-case base32: every five hex digits are four letters."""
-    digits = F.sha1(data)
-
-    def letters(group: Column) -> Column:
+    def letters(digits: Column, group: Column) -> Column:
         value = F.conv(F.substr(digits, group * 5 + 1, F.lit(5)), 16, 10).cast("int")
         return F.concat(*(F.substr(F.lit(ALPHABET), F.shiftright(value, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
+    groups = F.sequence(F.lit(0), F.lit(7))
+    # An array of one binds the hash to a name, so that it is computed once.
+    return F.element_at(F.transform(F.array(F.sha1(data)), lambda digits: F.array_join(F.transform(groups, lambda g: letters(digits, g)), "")), 1)
 
 
 def _urn(*parts: Column) -> Column:
@@ -122,7 +122,8 @@ def _records(content: bytes, payloads: bool):
         if one.get("content-type", "").startswith("application/http"):
             http, _, block = block.partition(b"\r\n\r\n")
             http = http.decode("utf-8", "replace")
-        if (kind == "response") == payloads:
+        if kind == "response" or not payloads:
+            block = None if kind == "response" and not payloads else block
             yield (one.get("warc-record-id"), kind, [v for n, v in fields if n == "warc-concurrent-to"], one.get("warc-refers-to"),
                    one.get("warc-target-uri"), one.get("warc-date"), one.get("warc-payload-digest", "").removeprefix("sha1:") or None, http, block)
 
@@ -139,7 +140,7 @@ def _parse(batches, payloads: bool):
             rows, held = [], 0
             for record in _records(content.as_py(), payloads):
                 rows.append(record)
-                held += len(record[-1])
+                held += len(record[-1] or b"")
                 if held > BATCH_BYTES or len(rows) >= 4096:
                     yield batch(rows)
                     rows, held = [], 0
@@ -148,7 +149,8 @@ def _parse(batches, payloads: bool):
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
-    """The responses of all archives below ``path``, or all other records; plain or gzipped, in one piece or record by record."""
+    """The responses of all archives below ``path``, or all records but without the payloads of responses; archives may be plain or
+    gzipped, in one piece or record by record."""
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(lambda b: _parse(b, payloads), RECORD)
@@ -161,10 +163,10 @@ def assemble(spark: SparkSession, path: str) -> DataFrame:
     to. Identifiers are resolved without payloads; responses then meet their other records in one join. Records that no response or revisit
     is concurrent to stand in rows of their own, with the request that they name if there is one. Records that repeat an identifier count once.
     """
-    rest = read_records(spark, path, False)
+    links = cut_lineage(read_records(spark, path, False))           # without payloads, so this is small
+    rest = links.filter("type != 'response'")
     whole = read_records(spark, path, True)
     shape = F.struct("record_id", "target_uri", "date", "http", "refers_to", "payload_digest", "payload")
-    links = whole.select("record_id", "type", "concurrent_to").union(rest.select("record_id", "type", "concurrent_to"))
     named = links.select("record_id", "type", F.explode("concurrent_to").alias("other"))
     answers = links.filter(F.col("type").isin("response", "revisit")).select("record_id").distinct()
     back = named.filter(F.col("type").isin("response", "revisit")).select(F.col("other").alias("record_id"), F.col("record_id").alias("anchor"))
