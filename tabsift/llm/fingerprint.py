@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tabsift.llm.common import col, cut_lineage
@@ -11,6 +13,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FAMILY, SUBSETS, DIGITS = 64, 192, 8
 #: Shares of documents that a term must lie in. A lexicon has at most (mean distinct terms of a document) / LOW terms at any corpus size.
 LOW, HIGH = 0.001, 0.2
+#: Ranges of ids for each shuffle partition: texts become many rows of terms, so a task takes few of them.
+RANGES = 8
 #: Lexicons of at most so many terms are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -37,9 +41,9 @@ def fingerprints(texts: DataFrame, keys: list[str], meta: Column, band: DataFram
     With a small lexicon, a table that is partitioned by one of the keys is not shuffled.
     """
     # The first, null term of each text carries what is to be kept of its row.
-    own = texts.select(*keys, meta.alias("meta"), F.explode(F.concat(F.array(F.lit(None).cast("string")), terms(F.col("text")))).alias("term"))
-    own = own.join(band, "term", "left").filter("term is null or subset is not null").select(
-        *keys, "subset", "term", F.when(F.col("term").isNull(), F.col("meta")).alias("meta"))
+    own = texts.select("*", F.explode(F.concat(F.array(F.lit(None).cast("string")), terms(F.col("text")))).alias("term"))
+    own = own.select(*keys, "term", F.when(F.col("term").isNull(), meta).alias("meta"))
+    own = own.join(band, "term", "left").filter("term is null or subset is not null").select(*keys, "subset", "term", "meta")
     parts = own.groupBy(*keys, "subset").agg(F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("term")), " ")), 1, DIGITS).alias("h"),
                                              F.first("meta", ignorenulls=True).alias("meta"))
     entry = F.when(F.col("subset").isNotNull(), F.struct("subset", "h"))
@@ -62,25 +66,36 @@ def likeness(a: Column, b: Column, a_text: Column, b_text: Column) -> Column:
     return F.when(a_text == b_text, 1.0).when(F.size(used) == 0, 0.0).otherwise(same / F.size(used))
 
 
+def _range_of(x: Column, cuts: list, kind: str) -> Column:
+    """How many of the sorted cuts are smaller, null counting as smallest: looked up among every k-th cut and then between two of these."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    groups = [cuts[k:k + step] for k in range(0, len(cuts), step)]
+    array = lambda values: F.array(*(F.lit(v).cast(kind) for v in values))
+    below = lambda values: F.coalesce(F.size(F.filter(values, lambda c: c < x)), F.lit(0))
+    whole = below(array(g[-1] for g in groups))
+    return (whole * step + below(F.try_element_at(F.array(*map(array, groups)), whole + 1))).cast("int")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, place, extra, id, text, next_text): each document with the text of the next one in descending id order, after the last the first.
 
-    Ids are cut into as many ranges as there are shuffle partitions. Each range also gets, as its extra last row, the first document of
+    Ids are cut into RANGES times as many ranges as there are shuffle partitions. Each range also gets, as its extra last row, the first document of
     the range after it, so neighbours meet in a window within one range. Equal ids are ordered by text; null ids come last. Null texts count as empty.
     """
     spark = docs.sparkSession
     rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0]
-    bounds = F.array(*(F.lit(c).cast(kind) for c in sorted(set(cuts or ()))))
-    part = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("id"))), F.lit(0)) if cuts else F.lit(0)
+    n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100 * n)).first()[0]
+    part = _range_of(F.col("id"), sorted(set(cuts or ())), kind)
     firsts = sorted(rows.select(part.alias("part"), "id").groupBy("part").agg(F.max("id")).collect(), key=lambda r: -r[0])  # one row a range
     heads = spark.createDataFrame([(r[0], firsts[(k + 1) % len(firsts)][1]) for k, r in enumerate(firsts)], f"part int, head {kind}")
     lead = rows.join(heads, F.col("head").eqNullSafe(F.col("id"))).groupBy("part", "id").agg(F.min("text").alias("text"))
     both = rows.select(part.alias("part"), "id", "text", F.lit(False).alias("extra")).union(lead.select("part", "id", "text", F.lit(True)))
     order = W.partitionBy("part").orderBy("extra", F.col("id").desc_nulls_last(), "text")
-    return both.select("part", F.row_number().over(order).alias("place"), "extra", "id", "text", F.lead("text").over(order).alias("next_text"))
+    return both.repartition(n, "part").select("part", F.row_number().over(order).alias("place"), "extra", "id", "text", F.lead("text").over(order).alias("next_text"))
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
