@@ -44,7 +44,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and get the same result. No rows give no rows.
     """
     lines = cut_lineage(_lines(docs, id_col, text_col, site_col))
-    hit = lines.join(boilerplate(lines, min_sites, lg_k), ["h1", "h2"])
+    hit = lines.join(cut_lineage(boilerplate(lines, min_sites, lg_k)), ["h1", "h2"])      # stored, so that Spark can split a common line's rows
     if keep_first:
         hit = hit.filter("key != first.key or pos != first.pos")
     gone = hit.groupBy("key").agg(F.collect_set("pos").alias("gone"))
