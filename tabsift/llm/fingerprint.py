@@ -48,7 +48,10 @@ def fingerprints(texts: DataFrame, keys: list[str], meta: Column, band: DataFram
                                              F.first("meta", ignorenulls=True).alias("meta"))
     entry = F.when(F.col("subset").isNotNull(), F.struct("subset", "h"))
     whole = parts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.first("meta", ignorenulls=True).alias("meta"))
-    return whole.select(*keys, "meta", F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.try_element_at("m", s)).alias("hashes"))
+    every = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
+    # An array of one binds the map to a name, so that it is built once a text.
+    hashes = F.element_at(F.transform(F.array("m"), lambda m: F.transform(every, lambda s: F.try_element_at(m, s))), 1)
+    return whole.select(*keys, "meta", hashes.alias("hashes"))
 
 
 def render(hashes: Column, text_digest: Column) -> Column:
