@@ -54,7 +54,8 @@ def occurrences(index: DataFrame, parts: DataFrame, slack: int = 0, share: float
 
     ``parts`` has (win, len, off, term). A place counts if at least ``share`` of the terms stand within ``slack`` positions of their
     offset from start: 0 and 1.0 give exact phrases, other values proximity matches. Candidates come from the rarest term, or from
-    so many of the rarest that one of them must match. Exact phrases then meet the lists of the second and third rarest term before all others.
+    so many of the rarest that one of them must match; repeated postings give one. Exact phrases then meet the lists of the second and third rarest
+    term before all others.
     """
     n = index.groupBy("term").agg(F.count("*").alias("n"))
     order = W.partitionBy("win").orderBy("n", "off")
@@ -67,7 +68,7 @@ def occurrences(index: DataFrame, parts: DataFrame, slack: int = 0, share: float
     seeds = parts.filter(F.col("rank") <= F.col("len") - need + 1)
     found = (index.join(seeds, "term").withColumn("start", F.col("pos") - F.col("off"))
              .filter((F.col("start") >= 0) if exact else F.lit(True)).select("win", "len", "k1", "k2", "start"))
-    found = found if exact else found.distinct()
+    found = found.distinct()
     for rank in (2, 3) if exact else ():
         step = _sized(parts.filter(F.col("rank") == rank).select("win", "off", "term"))
         lists = index.join(_sized(step.select("term").distinct()), "term", "left_semi")

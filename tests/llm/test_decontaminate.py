@@ -60,6 +60,14 @@ def test_hits_on_odd_rows(spark, odd, none):
     assert len(empty) == odd.count() and not any(r.contaminated for r in empty)
 
 
+def test_repeated_rows_repeat_hits_of_long_windows(spark):
+    items = [(1, " ".join(f"t{k}" for k in range(12))), (2, "four words of text"), (3, "no such words stand anywhere at all")]
+    docs = [(1, f"x {items[0][1]} y")] * 3 + [(None, f"{items[1][1]} {items[0][1]}")] * 2 + [(2, items[0][1]), (3, items[0][1]), (4, "nothing")]
+    out = contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
+    assert out.count() == len(docs) and out.filter("contaminated").count() == len(docs) - 1
+    assert result(out) == brute(docs, items)
+
+
 @pytest.mark.parametrize("slack,share,expected", [(0, 1.0, {0}), (1, 1.0, {0, 1}), (0, 0.75, {0, 1, 2}), (2, 0.75, {0, 1, 2, 3})])
 def test_proximity_matches(spark, slack, share, expected):
     texts = ["q w e r", "q x w e r", "q w e z", "q x y w e"]
