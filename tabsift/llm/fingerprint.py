@@ -11,7 +11,7 @@ from tabsift.llm.common import col, cut_lineage
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Three families of 64 subsets with a 64th, a 512th and a 4096th of the lexicon, for short, middling and long texts.
 FAMILY, SUBSETS, DIGITS = 64, 192, 8
-#: Shares of documents that a term must lie in. A lexicon has at most (mean distinct terms of a document) / LOW terms at any corpus size.
+#: Shares of distinct texts that a term must lie in. A lexicon has at most (mean distinct terms of a text) / LOW terms at any corpus size.
 LOW, HIGH = 0.001, 0.2
 #: Ranges of ids for each shuffle partition: texts become many rows of terms, so a task takes few of them.
 RANGES = 8
@@ -24,10 +24,25 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), SEPARATORS), ""))
 
 
+def distinct_texts(texts: DataFrame) -> tuple[DataFrame, int]:
+    """Each text of a (text) table once, and their number. Only digests and texts that repeat are shuffled, unless very many repeat."""
+    own = F.unhex(F.md5("text"))
+    copies = cut_lineage(texts.groupBy(own.alias("own")).agg(F.count("*").alias("c")))
+    repeated = copies.filter("c > 1").select("own")
+    n, several = copies.agg(F.count("*"), F.count_if(F.col("c") > 1)).first()
+    if several > BROADCAST_ROWS:
+        return texts.distinct(), n
+    keyed, repeated = texts.select("text", own.alias("own")), F.broadcast(repeated)
+    return keyed.join(repeated, "own", "left_anti").select("text").union(keyed.join(repeated, "own", "left_semi").select("text").distinct()), n
+
+
 def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, subset): the terms of a (text) table whose share of documents lies in the band, dealt at random into subsets; stored."""
-    n = texts.count()
-    counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(term, subset): the terms of a (text) table whose share of distinct texts lies in the band, dealt at random into subsets; stored.
+
+    Copies of a text count once, so that a large group of them can't push its terms out of the band.
+    """
+    once, n = distinct_texts(texts)
+    counts = once.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     draw = F.conv(F.substring(F.md5("term"), 1, 12), 16, 10).cast("long")
     member = lambda k: F.pmod(F.floor(draw / FAMILY ** (2 * k + 1)), F.lit(8 ** k)) == 0
     subset = F.array_compact(F.array(*(F.when(member(k), F.pmod(F.floor(draw / FAMILY ** (2 * k)), F.lit(FAMILY)) + FAMILY * k) for k in range(3))))

@@ -1,6 +1,9 @@
 import hashlib
 from statistics import median
 
+from pyspark.sql import functions as F
+
+from tabsift.llm import fingerprint
 from tabsift.llm.fingerprint import DIGITS, SUBSETS, document_fingerprints, edited_fingerprints
 
 
@@ -54,3 +57,23 @@ def test_both_ways_agree(documents):
 def test_plan_has_no_python(documents):
     plan = edited_fingerprints(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_copies_do_not_change_the_lexicon(documents):
+    """A third of the rows equal: all fingerprints are those of the same texts without copies."""
+    once = documents.select("doc_id", "text").dropDuplicates(["text"]).cache()
+    text = max((r.text for r in once.collect() if r.text), key=lambda t: len(set(t.split())))
+    first = once.agg(F.max("doc_id")).first()[0] + 1
+    copies = once.sparkSession.range(first, first + once.count() // 2).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    alone = {r.doc_id: r.fingerprint for r in document_fingerprints(once).collect()}
+    mixed = edited_fingerprints(once.union(copies)).collect()
+    assert alone == {r.doc_id: r.fingerprint for r in mixed if r.doc_id < first}
+    assert not any(r.fingerprint.startswith("=") for r in mixed if r.doc_id >= first)
+    assert median(r.near_edited for r in mixed if r.doc_id >= first) > 0
+
+
+def test_many_repeated_texts_give_the_same_lexicon(documents, monkeypatch):
+    docs = documents.union(documents.limit(20))
+    few = {tuple(r) for r in fingerprint.lexicon(docs.select("text")).collect()}
+    monkeypatch.setattr(fingerprint, "BROADCAST_ROWS", 3)
+    assert few and few == {tuple(r) for r in fingerprint.lexicon(docs.select("text")).collect()}
