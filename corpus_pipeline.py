@@ -19,6 +19,8 @@ from tabsift.llm.queries import vocabulary
 
 #: A text goes if no language was found, or if the best one has less than this mean probability.
 LEAST_SCORE = 0.3
+#: Documents whose shingle sets are so similar, in hundredths, are near duplicates.
+NEAR_PERCENT = 80
 
 
 def _decided(docs: DataFrame, verdict: DataFrame, keep: str) -> DataFrame:
@@ -42,7 +44,7 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id."""
-    return _decided(docs, near_duplicate_groups(docs), "kept")
+    return _decided(docs, near_duplicate_groups(docs, percent=NEAR_PERCENT), "kept")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

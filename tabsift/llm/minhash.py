@@ -17,8 +17,8 @@ SHINGLE, PERCENT = 5, 85
 #: 192 minima; the first 160 are 32 bands of 5: a pair at 0.85 shares no band with a probability of 7e-9.
 MINIMA, BANDS, ROWS, BITS = 192, 32, 5, 4
 WORDS = MINIMA // 64
-#: Candidates whose estimate lies this far below the threshold (4.6 standard deviations at 192 minima) aren't confirmed on full sets.
-SLACK = 0.12
+#: Candidates whose estimate lies so many standard deviations below the threshold aren't confirmed on full sets (0.12 at 0.85, 0.135 at 0.80).
+DEVIATIONS = 4.485
 #: Members of a candidate group that are compared with each other at once.
 BLOCK = 256
 
@@ -99,6 +99,13 @@ def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+def least_estimate(percent: int) -> float:
+    """The estimate from which on a candidate is confirmed; estimates of less similar pairs vary more."""
+    chance = 2.0 ** -BITS
+    equal = percent / 100 * (1 - chance) + chance
+    return percent / 100 - DEVIATIONS * (equal * (1 - equal) / MINIMA) ** 0.5 / (1 - chance)
+
+
 def _digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
@@ -144,7 +151,7 @@ def _compare_blocks(table: pa.Table, size: int, percent: int) -> pa.Table:
             differ = np.bitwise_or.reduce(planes[near] ^ planes[x], axis=1)
             equal = 1 - np.bitwise_count(differ).sum(axis=1) / MINIMA
             guess = (equal - 2.0 ** -BITS) / (1 - 2.0 ** -BITS)
-            near, guess = near[guess >= percent / 100 - SLACK], guess[guess >= percent / 100 - SLACK]
+            near, guess = near[guess >= least_estimate(percent)], guess[guess >= least_estimate(percent)]
             first = np.argmax(keys[near] == keys[x], axis=1) == band if len(near) else np.empty(0, dtype=bool)
             found += [(g, x, y) for g, y in zip(guess[first], near[first])]
     out = []
@@ -186,7 +193,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bands, buckets = _candidates(reps)
     buckets = cut_lineage(buckets)
     members = cut_lineage(bands.join(buckets, "key").filter("node != leader"))
-    low = percent / 100 - SLACK
+    low = least_estimate(percent)
     side = lambda s: reps.select(F.col("node").alias(s), F.col("digest").alias(f"{s}_digest"), F.col("planes").alias(f"{s}_planes"))
     text = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"{s}_text"))
     likely = (members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
