@@ -10,6 +10,7 @@ from tabsift.llm.langid import identify
 from tabsift.llm.line_dedup import remove_boilerplate
 from tabsift.llm.minhash import near_duplicate_groups
 from tabsift.llm.packing import packed_documents
+from tabsift.llm.structure_queries import ORACLES as STRUCTURE_ORACLES, QUERIES as STRUCTURE_QUERIES
 from tabsift.llm.substring_dedup import remove_repeats
 from tabsift.llm.token_counts import token_counts
 from tabsift.llm.toxicity import toxicity
@@ -85,7 +86,7 @@ QUERIES = {
     "op8_byte_cnn": languages,
     "op9_site_spread": boilerplate_lines,
     "op10_token_counts": counted,
-}
+} | STRUCTURE_QUERIES
 
 REPEATS_SQL = r"""
 WITH lines AS (
@@ -143,4 +144,4 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM words d LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": REPEATS_SQL, "op5_positional_index": HITS_SQL, "op9_site_spread": SPREAD_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": REPEATS_SQL, "op5_positional_index": HITS_SQL, "op9_site_spread": SPREAD_SQL} | STRUCTURE_ORACLES

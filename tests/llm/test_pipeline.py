@@ -32,7 +32,7 @@ def test_each_stage_works_on_what_was_kept(spark, folder, documents, stages):
     expected = {(r.doc_id, r.text) for r in remove_boilerplate(language).collect()}
     assert {(r.doc_id, r.text) for r in lines.collect()} == expected
     assert lines.filter("n_chars != char_length(text)").count() == 0
-    assert {r.doc_id for r in near.collect()} == {r.doc_id for r in near_duplicate_groups(lines).filter("kept").collect()}
+    assert {r.doc_id for r in near.collect()} == {r.doc_id for r in near_duplicate_groups(lines, percent=pipeline.NEAR_PERCENT).filter("kept").collect()}
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
     hit = {r.doc_id for r in contamination(near, bench).filter("contaminated").collect()}
     assert hit and {r.doc_id for r in clean.collect()} == {r.doc_id for r in near.collect()} - hit
