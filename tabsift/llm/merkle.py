@@ -142,12 +142,14 @@ def manifest(rows: DataFrame, leaf: str, group: str, order: list[str], arity: in
 
     ``leaf`` is a column of digests. Leaves of a group are ordered by ``order`` (nulls first) and then by digest, so equal rows are interchangeable; groups by the UTF-8 bytes of the group
     as text, null first. On each level every ``arity`` consecutive nodes become their parent, a last run of fewer too, while more than one node is left. No rows give no rows.
-    Nothing but one root of 32 bytes goes to the driver. Input columns named ``grp``, ``rank``, ``n``, ``block``, ``tie``, ``place``, ``part``, ``subroot``, ``root``, ``witness`` or ``above`` are not allowed.
+    Nothing but one root of 32 bytes goes to the driver. Input columns with a result's name are replaced.
     """
     ship(rows.sparkSession)
+    own = {c: f"in{k}" for k, c in enumerate(rows.columns)}
     named = F.coalesce(F.concat(F.lit("+"), col(group).cast("string")), F.lit(""))
-    leaves = cut_lineage(ranked(cut_lineage(rows.withColumn(GROUP, named)), GROUP, [*order, leaf]))
-    rounds, subroots = forest(leaves.select(GROUP, "rank", F.col(leaf).alias("digest"), "n"), arity, height)
+    stored = cut_lineage(rows.select(*(col(c).alias(k) for c, k in own.items()), named.alias(GROUP)))
+    leaves = cut_lineage(ranked(stored, GROUP, [own[c] for c in [*order, leaf]]))
+    rounds, subroots = forest(leaves.select(GROUP, "rank", F.col(own[leaf]).alias("digest"), "n"), arity, height)
     subroots = cut_lineage(subroots)
     tops = ranked(subroots.withColumn("all", F.lit("")), "all", [GROUP])
     tops = cut_lineage(tops.select(GROUP, "rank", "n", "root"))
@@ -157,10 +159,11 @@ def manifest(rows: DataFrame, leaf: str, group: str, order: list[str], arity: in
         _extended(over, root.withColumn("witness", F.lit(b""))).select("block", "above"), "block").select("at", F.concat("witness", "above").alias("witness"))
     tops = tops.join(path, tops["rank"] == path["at"]).select(GROUP, "witness", "root")
     above = cut_lineage(_extended(rounds, tops).withColumnRenamed("root", "subroot"))
-    own = rounds[0].select(GROUP, "block", "rank", "witness")
+    partial = rounds[0].select(GROUP, "block", "rank", "witness")
     out = leaves.withColumn("block", F.floor(F.col("rank") / arity ** height))
-    out = out.join(own, [GROUP, "block", "rank"]).join(above, [GROUP, "block"])
-    return out.select(*rows.columns, "subroot", F.lit(bytes(top["root"]) if top else b"").alias("root"), F.concat("witness", "above").alias("witness"))
+    out = out.join(partial, [GROUP, "block", "rank"]).join(above, [GROUP, "block"])
+    return out.select(*(F.col(k).alias(c) for c, k in own.items() if c not in ("subroot", "root", "witness")), "subroot",
+                      F.lit(bytes(top["root"]) if top else b"").alias("root"), F.concat("witness", "above").alias("witness"))
 
 
 def _steps(witness: bytes):
@@ -187,7 +190,7 @@ def proof_digest(witness: bytes) -> str:
 def checked(rows: DataFrame, leaf: str) -> DataFrame:
     """The rows of a manifest with ``proof_sha256`` and ``folded_root``, the root that the digests in ``leaf`` give with the stored witnesses."""
     ship(rows.sparkSession)
-    out = rows.select("*", F.lit("").alias("proof_sha256"), F.lit("").alias("folded_root"))
+    out = rows.drop("proof_sha256", "folded_root").select("*", F.lit("").alias("proof_sha256"), F.lit("").alias("folded_root"))
 
     def fold(batches):
         for b in batches:
