@@ -190,14 +190,15 @@ def proof_digest(witness: bytes) -> str:
 def checked(rows: DataFrame, leaf: str) -> DataFrame:
     """The rows of a manifest with ``proof_sha256`` and ``folded_root``, the root that the digests in ``leaf`` give with the stored witnesses."""
     ship(rows.sparkSession)
-    out = rows.drop("proof_sha256", "folded_root").select("*", F.lit("").alias("proof_sha256"), F.lit("").alias("folded_root"))
+    own = {c: f"in{k}" for k, c in enumerate(rows.columns) if c not in ("proof_sha256", "folded_root")}
+    out = rows.select(*(col(c).alias(k) for c, k in own.items()), F.lit("").alias("proof_sha256"), F.lit("").alias("folded_root"))
 
     def fold(batches):
         for b in batches:
-            paths = b.column("witness").to_pylist()
+            paths = b.column(own["witness"]).to_pylist()
             proofs = [proof_digest(w) for w in paths]
-            roots = [folded(d, w).hex() for d, w in zip(b.column(leaf).to_pylist(), paths)]
+            roots = [folded(d, w).hex() for d, w in zip(b.column(own[leaf]).to_pylist(), paths)]
             arrays = [pa.array(proofs, pa.string()) if n == "proof_sha256" else pa.array(roots, pa.string()) if n == "folded_root" else b.column(n) for n in b.schema.names]
             yield pa.RecordBatch.from_arrays(arrays, b.schema.names)
 
-    return out.mapInArrow(fold, out.schema)
+    return out.mapInArrow(fold, out.schema).select(*(F.col(k).alias(c) for c, k in own.items()), "proof_sha256", "folded_root")
