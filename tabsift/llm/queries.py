@@ -89,22 +89,33 @@ QUERIES = {
 } | STRUCTURE_QUERIES
 
 REPEATS_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM documents WHERE text IS NOT NULL
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*[ \t\r\x0b\x0c]*|[.!?]+[ \t\r\x0b\x0c]*|\n') AS pieces FROM documents WHERE text IS NOT NULL
+), pieces AS (
+  SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS at_piece FROM cut
 ), placed AS (
-  SELECT doc_id, unit, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-         list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
-  FROM lines
-), marked AS (
-  SELECT *, len(words) >= 20 AND row_number() OVER (PARTITION BY words ORDER BY doc_id, unit) > 1 AS gone FROM placed
-), cut AS (
-  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n_removed,
-         coalesce(string_agg(start::BIGINT || '-' || (start::BIGINT + length(line)), ',' ORDER BY unit) FILTER (WHERE gone), '') AS removed_spans,
-         coalesce(sum(length(line)) FILTER (WHERE gone), 0)::BIGINT AS removed_chars
-  FROM marked GROUP BY doc_id
+  SELECT doc_id, at_piece, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY at_piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+         list_filter(string_split_regex(lower(piece), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM pieces
+), units AS (
+  SELECT doc_id, start, start + length(piece) AS stop, words, row_number() OVER (PARTITION BY doc_id ORDER BY at_piece) AS unit FROM placed WHERE len(words) > 0
+), repeats AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS island
+  FROM (SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, unit) AS nth FROM units) WHERE nth > 1
+), runs AS (
+  SELECT doc_id, min(start) AS start, max(stop) AS stop FROM repeats GROUP BY doc_id, island HAVING sum(len(words)) >= 20
+), edged AS (
+  SELECT r.*, r.start = 0 OR substr(d.text, r.start, 1) = chr(10) AS whole FROM runs r JOIN documents d USING (doc_id)
+), kept AS (
+  SELECT p.doc_id, string_agg(piece, '' ORDER BY at_piece) AS text FROM placed p
+  WHERE NOT EXISTS (SELECT 1 FROM edged r WHERE r.doc_id = p.doc_id AND p.start >= r.start AND (p.start < r.stop OR p.start = r.stop AND r.whole AND p.piece = chr(10)))
+  GROUP BY p.doc_id
+), told AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed_spans, sum(stop - start)::BIGINT AS removed_chars FROM runs GROUP BY doc_id
 )
-SELECT d.doc_id, c.text, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.removed_spans, '') AS removed_spans, coalesce(c.removed_chars, 0) AS removed_chars
-FROM documents d LEFT JOIN cut c USING (doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.removed_spans, '') AS removed_spans,
+       coalesce(t.removed_chars, 0) AS removed_chars
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN told t USING (doc_id)
 """
 
 SPREAD_SQL = r"""

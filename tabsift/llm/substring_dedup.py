@@ -1,4 +1,4 @@
-"""Substring dedup: lines or paragraphs that repeat anywhere in the corpus stay at their earliest ranked place and go elsewhere."""
+"""Substring dedup: units that repeat anywhere in the corpus stay at their earliest ranked place; runs of repeats go elsewhere."""
 
 from __future__ import annotations
 
@@ -8,58 +8,71 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabsift.llm.common import col, row_key, ship
+from tabsift.llm.common import col, cut_lineage, row_key, ship
 
 _word = re.compile(r"[^\x20\x09-\x0D]+")
-_breaks = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
+#: A sentence ends with full stops, exclamation or question marks, and the blanks behind them; a line ends it too.
+_pieces = {"sentence": re.compile(r"[^.!?\n]+[.!?]*[ \t\r\x0b\x0c]*|[.!?]+[ \t\r\x0b\x0c]*"), "line": re.compile(r"[^\n]+"),
+           "paragraph": re.compile(r"(?:[^\n]|\n(?![ \t\r]*\n))+")}
 
 
-def _units(batches, unit: str, min_words: int):
-    """A row for each unit of enough words: where it lies in its text, in code points, and the digest of its normalised words."""
+def _units(batches, unit: str):
+    """A row for each unit that has words: its number, where it lies in its text, in code points, its words, and the digest of these."""
+    find = _pieces[unit].finditer
     for batch in batches:
-        at, number, starts, ends, digests = [], [], [], [], []
+        at, number, starts, ends, counts, digests = [], [], [], [], [], []
         for row, text in enumerate(batch.column("text").to_pylist()):
-            begin = 0
-            marks = [m.span() for m in _breaks[unit].finditer(text or "")] + [(len(text or ""), 0)]
-            for k, (end, after) in enumerate(marks):
-                words = _word.findall(text[begin:end].lower()) if text else []
-                if words and len(words) >= min_words:
+            k = 0
+            for m in find(text):
+                words = _word.findall(m[0].lower())
+                if words:
                     at.append(row)
                     number.append(k)
-                    starts.append(begin)
-                    ends.append(end)
+                    starts.append(m.start())
+                    ends.append(m.end())
+                    counts.append(len(words))
                     digests.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                begin = after
+                    k += 1
         own = batch.select(["key", "id", "rank"]).take(pa.array(at, pa.int32()))
-        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(number, pa.int32()), pa.array(starts, pa.int32()),
-                                          pa.array(ends, pa.int32()), pa.array(digests, pa.binary())],
-                                         ["key", "id", "rank", "unit", "start", "end", "digest"])
+        yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, pa.int32()) for x in (number, starts, ends, counts)), pa.array(digests, pa.binary())],
+                                         ["key", "id", "rank", "unit", "start", "end", "words", "digest"])
 
 
-def _cut(batches):
-    """Texts without the given spans; with a span goes the line break after it, or the one before it at the end of the text."""
+def _runs(repeats, min_words: int):
+    """Maximal runs of neighbouring repeats that hold enough words together."""
+    run = []
+    for r in [*(repeats or ()), None]:
+        if run and (r is None or r["unit"] != run[-1]["unit"] + 1):
+            if sum(x["words"] for x in run) >= min_words:
+                yield {"start": run[0]["start"], "end": run[-1]["end"], "unit": run[0]["unit"], "units": len(run), "first_id": run[0]["first_id"]}
+            run = []
+        run.append(r)
+
+
+def _cut(batches, min_words: int, kind):
+    """Texts without the runs; with a run that begins a line goes the line break behind it."""
     for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist()):
-            parts, done = [], 0
-            for s in spans or ():
+        texts, spans = [], []
+        for text, repeats in zip(batch.column("text").to_pylist(), batch.column("repeats").to_pylist()):
+            runs, parts, done = list(_runs(repeats, min_words)), [], 0
+            for s in runs:
                 parts.append(text[done:s["start"]])
-                done = s["end"] + (text[s["end"]:s["end"] + 1] == "\n")
-            if spans:
-                parts.append(text[done:])
-                whole = "".join(parts)
-                text = whole[:-1] if spans[-1]["end"] == len(text) and whole.endswith("\n") else whole
-            out.append(text)
-        yield batch.set_column(batch.schema.get_field_index("text"), pa.field("text", pa.string()), pa.array(out, pa.string()))
+                whole = s["start"] == 0 or text[s["start"] - 1] == "\n"
+                done = s["end"] + (whole and text[s["end"]:s["end"] + 1] == "\n")
+            texts.append("".join([*parts, text[done:]]) if runs else text)
+            spans.append(runs)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(spans, kind)], ["id", "text", "removed"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None,
-                   unit: str = "line", min_words: int = 20) -> DataFrame:
-    """One row per document: id, text without repeats, n_removed, removed (unit, start, end, first_id of each span that went).
+                   unit: str = "sentence", min_words: int = 20) -> DataFrame:
+    """One row per document: id, text without repeats, n_removed, removed (start, end, unit, units, first_id of each run that went).
 
-    Units of at least ``min_words`` words are compared by a 128-bit digest of their words, lowered and with single spaces. The occurrence
-    with the smallest (rank, id, text digest, unit number) stays, nulls last; rank is the id unless ``rank_col`` is given. Offsets
-    are code points of the original text. Per digest only a minimum and a count are aggregated; occurrences meet it in a join.
+    Units (lines, their sentences, or paragraphs) of any length are compared by a 128-bit digest of their words, lowered and with single spaces. The occurrence
+    with the smallest (rank, id, text digest, unit number) is the first, nulls last; rank is the id unless ``rank_col`` is given. All
+    others are repeats, and every maximal run of neighbouring repeats that holds ``min_words`` words goes, whatever the lengths of its units, so
+    a passage goes as a whole while single short units that recur by chance stay. Offsets are code points of the original text; ``first_id`` is where the run's first
+    unit stays. Units without words are not compared and go only inside a run. Per digest only a minimum and a count are aggregated; occurrences meet it in a join.
 
     Null texts stay null, empty ones empty. Rows that repeat an id and text hold the same occurrence, so they get the same result. A
     null id ranks last. Other columns are ignored. No rows give no rows.
@@ -68,13 +81,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(rank_col or id_col).alias("rank"))
     rows = rows.withColumn("key", F.unhex(row_key(F.col("id"), F.col("text"))))
     kind, rank = rows.schema["id"].dataType.simpleString(), rows.schema["rank"].dataType.simpleString()
-    units = rows.filter("text != ''").mapInArrow(
-        lambda b: _units(b, unit, min_words), f"key binary, id {kind}, rank {rank}, unit int, start int, end int, digest binary")
-    place = F.struct(F.col("rank").isNull().alias("no_rank"), "rank", F.col("id").isNull().alias("no_id"), "id", "key", "unit")
+    units = cut_lineage(rows.filter("text != ''").mapInArrow(
+        lambda b: _units(b, unit), f"key binary, id {kind}, rank {rank}, unit int, start int, end int, words int, digest binary"))
+    ranks = [F.col("rank").isNull().alias("no_rank"), "rank"] if rank_col else []
+    place = F.struct(*ranks, F.col("id").isNull().alias("no_id"), "id", "key", "unit")
     first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = (units.join(first, "digest").filter("key != first.key or unit != first.unit").groupBy("key")
-            .agg(F.array_sort(F.collect_set(F.struct("start", "end", "unit", F.col("first.id").alias("first_id")))).alias("removed")))
-    out = rows.select("key", "id", "text").join(gone, "key", "left").select("id", "text", "removed")
-    out = out.mapInArrow(_cut, out.schema)
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"),
-                      "removed")
+    again = (units.join(first, "digest").filter("key != first.key or unit != first.unit").groupBy("key")
+             .agg(F.array_sort(F.collect_set(F.struct("unit", "start", "end", "words", F.col("first.id").alias("first_id")))).alias("repeats")))
+    out = rows.select("key", "id", "text").join(again, "key", "left").select("id", "text", "repeats")
+    span = f"array<struct<start:int,end:int,unit:int,units:int,first_id:{kind}>>"
+    first_id = pa.field("first_id", _arrow_type(docs, id_col))
+    arrow = pa.list_(pa.struct([*(pa.field(n, pa.int32()) for n in ("start", "end", "unit", "units")), first_id]))
+    out = out.mapInArrow(lambda b: _cut(b, min_words, arrow), f"id {kind}, text string, removed {span}")
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.size("removed").alias("n_removed"), "removed")
+
+
+def _arrow_type(docs: DataFrame, id_col: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    return to_arrow_type(docs.select(col(id_col)).schema[0].dataType)

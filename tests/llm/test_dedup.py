@@ -20,11 +20,11 @@ def test_repeats_keep_the_first_place_and_offsets(spark):
     out = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     texts = dict(rows)
     assert out[1].n_removed == 0 and out[1].text == texts[1]
-    assert out[2].text == lines(5) and out[3].text == lines(1) and out[4].text == "" and out[5].text is None
+    assert out[2].text == lines(5) and out[3].text == lines(1) + "\n" and out[4].text == "" and out[5].text is None
     assert out[6].text == "short\nshort" and out[7].text == lines(7) + "\n"
     for i, r in out.items():
         for s in r.removed or ():
-            assert texts[i][s.start:s.end] in (lines(2), lines(9), lines(7)) and s.first_id in (1, 7)
+            assert texts[i][s.start:s.end] in (lines(2), lines(9, 2), lines(7)) and s.first_id in (1, 7)
 
 
 def test_repeats_ranks_words_and_paragraphs(spark):
@@ -34,6 +34,41 @@ def test_repeats_ranks_words_and_paragraphs(spark):
     assert out[2] == f"{b}\n\nz" and a not in out[1] and out[1].startswith("x") and out[1].endswith("y")
 
 
+def _runs(rows, min_words=20):
+    """(id, removed spans) by looking at every earlier sentence."""
+    seen = set()
+    for doc_id, text in sorted(rows):
+        spans, run, words = [], [], 0
+        for m in [*re.finditer(r"[^.!?\n]+[.!?]*[ \t]*|[.!?]+[ \t]*", text), None]:
+            unit = m and tuple(m[0].lower().split())
+            if m and not unit:
+                continue
+            if m and unit in seen:
+                run, words = [*run, m.span()], words + len(unit)
+                continue
+            if words >= min_words:
+                spans.append((run[0][0], run[-1][1]))
+            run, words = [], 0
+            if m:
+                seen.add(unit)
+        yield doc_id, spans
+
+
+def test_whole_passages_go_whatever_their_lines(spark):
+    """Passages of short lines and sentences, inside lines too; short units that recur alone stay."""
+    short = ["\n".join(" ".join(f"p{p}l{k}w{j}" for j in range(12)) for k in range(8)) for p in range(3)]
+    flowing = ["  ".join(f"S{p} s{k} one two three four{'.!?'[k % 3]}" for k in range(10)) for p in range(3)]
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        own = [f"Own {i} text {rng.randrange(1000)} and so on.", "It is.", "Yes!", f"no full stop {i}", "It is. Yes!"]
+        parts = [rng.choice([*short, *flowing, *own, *own, *own, "", "  "]) for _ in range(rng.randint(1, 6))]
+        rows.append((i, "".join(p + rng.choice(["\n", " ", "\n\n"]) for p in parts)))
+    rows += [(100, short[0]), (101, short[0]), (102, f"mine {flowing[0]} and mine")]
+    out = {r.doc_id: [(s.start, s.end) for s in r.removed] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert out == dict(_runs(rows))
+    assert out[101] == [(0, len(short[0]))] and sum(map(len, out.values())) > 30
+
+
 def test_repeats_on_odd_rows(odd, none, long_text):
     out = remove_repeats(odd).collect()
     assert len(out) == odd.count() and remove_repeats(none).count() == 0
