@@ -1,8 +1,8 @@
-"""Exact interpolated quantiles that never gather a column in one place.
+"""Exact interpolated quantiles in two scans, which never gather a column in one place.
 
-Every wanted order statistic is bracketed by approximate percentiles and counted, and bracketed again inside the part that
-holds it, until a pivot is the value itself. Every round is two scans with constant-size partial results, shared by all columns and
-ranks, and no shuffle of rows. A round leaves about a thousandth of the rows, so a few rounds do for any table.
+The first scan makes a KLL sketch of every column. Its rank error brackets each wanted order statistic between two values of the column. The
+second scan counts what lies below and on the bracket's ends and keeps the few values strictly inside. Columns that are too large for
+that, and ranks that a sketch has missed, are bracketed again inside the part that holds them, in rounds of constant state.
 """
 
 from __future__ import annotations
@@ -13,25 +13,96 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 ACCURACY = 2_000
+#: Items per level of a sketch, and the share of ranks by which its answers may be off: twice the library's published error.
+SKETCH, ERROR = 4_096, 2 * 2.296 / 4_096 ** 0.9021
+#: At most this many values, of all brackets together, are kept by the second scan and go to the driver.
+KEPT = 500_000
+#: Among so few values all are kept; among more, a sketch's error spans more than two ranks.
+SMALL = 2_000
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles of each expression, NULL ignored."""
-    names = list(columns)
+@dataclass
+class Bracket:
+    """Values around one wanted quantile: what the second scan has to count and keep."""
+
+    column: int
+    low: float
+    high: float
+    ranks: tuple[int, int]
+
+    def aggregates(self, j: int, values: bool) -> list[Column]:
+        x = F.col(f"x{self.column}")
+        inside = (x > self.low) & (x < self.high)
+        out = [F.count_if(x < self.low).alias(f"below{j}"), F.count_if(x == self.low).alias(f"low{j}"), F.count_if(x == self.high).alias(f"high{j}")]
+        return out + ([F.collect_list(F.when(inside, x)).alias(f"inside{j}")] if values else [])
+
+    def answer(self, row, j: int, rank: int) -> float | None:
+        """The value at a rank, or None if it lies outside, which has to be looked for in another way."""
+        k = rank - row[f"below{j}"]
+        inside = sorted(row[f"inside{j}"])
+        if k < 0:
+            return None
+        if k < row[f"low{j}"]:
+            return self.low
+        k -= row[f"low{j}"]
+        if k < len(inside):
+            return inside[k]
+        return self.high if k - len(inside) < (row[f"high{j}"] if self.high > self.low else 0) else None
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], accuracy: int = ACCURACY, kept: int = KEPT) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles of each expression; NULL and NaN are ignored."""
+    return quantile_groups(df, {n: (c, shares) for n, c in columns.items()}, accuracy, kept)
+
+
+def quantile_groups(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], accuracy: int = ACCURACY, kept: int = KEPT) -> dict[str, list[float | None]]:
+    """Like :func:`exact_quantiles`, with shares of each column's own; all columns share the two scans."""
+    names = list(wanted)
     if not names:
         return {}
-    values = df.select(*[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
-    sizes = values.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(names))]).first()
-    filled = {i: sizes[f"n{i}"] for i in range(len(names)) if sizes[f"n{i}"]}
-    wanted = {(i, r) for i, n in filled.items() for s in shares for r in (math.floor((n - 1) * s), math.ceil((n - 1) * s))}
-    found = order_statistics(values, filled, sorted(wanted), accuracy)
+
+    def number(c: Column) -> Column:
+        x = c.cast("double")
+        return F.when(~F.isnan(x), x)
+
+    values = df.select(*[number(wanted[n][0]).alias(f"x{i}") for i, n in enumerate(names)])
+    sketched = values.agg(*[a for i in range(len(names)) for a in (F.count(f"x{i}").alias(f"n{i}"), F.min(f"x{i}").alias(f"min{i}"), F.max(f"x{i}").alias(f"max{i}"),
+                                                                 F.kll_sketch_agg_double(f"x{i}", F.lit(SKETCH)).alias(f"s{i}"))])
+
+    def edges(i: int, shares: list[float]) -> Column:
+        asked = [min(1.0, max(0.0, e)) for s in shares for e in (s - ERROR, s + ERROR)]
+        return F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"s{i}"), F.array(*[F.lit(a) for a in asked])))
+
+    row = sketched.select(*[c for i, n in enumerate(names) for c in (f"n{i}", f"min{i}", f"max{i}", edges(i, wanted[n][1]).alias(f"e{i}"))]).first()
+    sizes = {i: row[f"n{i}"] for i in range(len(names)) if row[f"n{i}"]}
+    brackets: dict[tuple[int, float], Bracket] = {}
+    room = kept / max(1, sum(len(wanted[names[i]][1]) for i in sizes))
+    for i, size in sizes.items():
+        for j, share in enumerate(wanted[names[i]][1]):
+            place = (size - 1) * share
+            low = row[f"min{i}"] if size <= SMALL or share <= ERROR else row[f"e{i}"][2 * j]
+            high = row[f"max{i}"] if size <= SMALL or share + ERROR >= 1 else row[f"e{i}"][2 * j + 1]
+            if (size if size <= SMALL else 2 * ERROR * size) <= room:
+                brackets[i, share] = Bracket(i, low, high, (math.floor(place), math.ceil(place)))
+    found: dict[tuple[int, int], float] = {}
+    if brackets:
+        kinds = list(brackets.values())
+        counted = values.agg(*[a for j, b in enumerate(kinds) for a in b.aggregates(j, b.high > b.low)]).first()
+        counted = {**{f"inside{j}": [] for j in range(len(kinds))}, **counted.asDict()}
+        for j, b in enumerate(kinds):
+            for rank in b.ranks:
+                if (value := b.answer(counted, j, rank)) is not None:
+                    found[b.column, rank] = value
+    every = {(i, r) for i, n in sizes.items() for s in wanted[names[i]][1] for r in (math.floor((n - 1) * s), math.ceil((n - 1) * s))}
+    left = sorted(every - set(found))
+    found.update(order_statistics(values, sizes, left, accuracy) if left else {})
 
     def interpolated(i: int, share: float) -> float:
-        place = (filled[i] - 1) * share
+        place = (sizes[i] - 1) * share
         low, high = found[i, math.floor(place)], found[i, math.ceil(place)]
         return low if low == high else low + (high - low) * (place - math.floor(place))
 
-    return {n: [interpolated(i, s) for s in shares] if i in filled else [None] * len(shares) for i, n in enumerate(names)}
+    return {n: [interpolated(i, s) if i in sizes else None for s in wanted[n][1]] for i, n in enumerate(names)}
 
 
 @dataclass
@@ -84,7 +155,7 @@ def order_statistics(values: DataFrame, sizes: dict[int, int], wanted: list[tupl
     """The values at the wanted (column, rank) places.
 
     All searches share their scans: a round is one aggregation for pivots and one for counts, whatever the number of columns and
-    ranks. Searches in one interval share its sketch.
+    ranks, and leaves about a thousandth of the rows. Searches in one interval share its sketch.
     """
     searches = [Search(i, r, sizes[i]) for i, r in wanted]
     while active := [s for s in searches if s.answer is None]:

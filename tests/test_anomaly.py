@@ -74,17 +74,33 @@ def test_nothing_runs_when_a_dataset_is_made(spark):
     assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() == before
 
 
-@pytest.mark.parametrize("accuracy", [2000, 100, 8])
-def test_quantiles_match_numpy(spark, accuracy):
+@pytest.mark.parametrize("accuracy,kept", [(2000, 500_000), (2000, 0), (100, 0), (8, 0), (8, 400)])
+def test_quantiles_match_numpy(spark, accuracy, kept):
+    """With and without room for the values between a sketch's brackets, which leaves them to rounds."""
     rng = np.random.default_rng(5)
     a = rng.normal(size=3000)
     b = np.where(rng.random(3000) < 0.4, 7.0, rng.integers(0, 20, 3000))      # one value holds 40 % of the rows
     df = spark.createDataFrame([(float(p), float(q)) for p, q in zip(a, b)] + [(None, None)], "a double, b double").repartition(6)
     shares = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, shares, accuracy)
+    got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, shares, accuracy, kept)
     assert np.allclose(got["a"], np.quantile(a, shares)) and np.allclose(got["b"], np.quantile(b, shares))
 
 
+def test_quantiles_of_all_columns_are_two_scans(spark):
+    """Many columns and shares, ties at the bracket's ends, infinite values, NaN and NULL."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(size=40_000), rng.integers(0, 9, 40_000), np.exp(rng.normal(size=40_000) * 9), np.where(rng.random(40_000) < 0.01, np.inf, 0.0), np.full(40_000, 3.0)])
+    df = spark.createDataFrame([(*map(float, r),) for r in x], "a double, b double, c double, d double, e double").repartition(5)
+    df = df.union(spark.createDataFrame([(None, float("nan"), None, None, None)] * 50, df.schema)).cache()
+    df.count()
+    shares, scheduler = [0.25, 0.5, 0.75, 0.99], spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.nextJobId()
+    got = exact_quantiles(df, {c: F.col(c) for c in df.columns}, shares)
+    assert scheduler.nextJobId() - before <= 4                                # two aggregations; each may be two jobs
+    assert all(np.allclose(got[c], np.quantile(x[:, i], shares)) for i, c in enumerate(df.columns) if c != "d")
+    assert got["d"][:3] == [0.0, 0.0, 0.0] and got["d"][3] in (0.0, np.inf)
+
+
 def test_isolation_forest_ranks_outliers_first(spark):
     rng = np.random.default_rng(7)
     x = np.vstack([rng.normal(size=(1000, 2)), [[9.0, 9.0], [-9.0, 8.0]]])
