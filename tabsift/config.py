@@ -15,23 +15,6 @@ SEMANTIC_MARKERS = ["not tested", "not performed", "not measured", "pending", "i
 BINARY_SETS = [["0", "1"], ["true", "false"], ["yes", "no"], ["y", "n"], ["male", "female"], ["m", "f"]]
 
 DATE_LIKE = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"
-# (Spark pattern, strptime pattern) pairs; a column is parsed with the single best one.
-DATE_FORMATS = [
-    ("yyyy-M-d", "%Y-%m-%d"),
-    ("yyyy/M/d", "%Y/%m/%d"),
-    ("d/M/yyyy", "%d/%m/%Y"),
-    ("M/d/yyyy", "%m/%d/%Y"),
-    ("d-M-yyyy", "%d-%m-%Y"),
-    ("yyyy-M-d H:m:s", "%Y-%m-%d %H:%M:%S"),
-    ("yyyy-M-d H:m", "%Y-%m-%d %H:%M"),
-    ("yyyy-M-d'T'H:m:s", "%Y-%m-%dT%H:%M:%S"),
-    ("yyyy-M-d'T'H:m:s.SSSSSS", "%Y-%m-%dT%H:%M:%S.%f"),
-    ("yyyy-M-d'T'H:m:sX", "%Y-%m-%dT%H:%M:%S%z"),
-    ("d.M.yyyy", "%d.%m.%Y"),
-    ("d MMM yyyy", "%d %b %Y"),
-]
-#: Shape of a text that a date parser is tried on, and its longest length.
-DATE_SHAPE, DATE_LENGTH = r"^\d{1,4}[-/. ]", 40
 
 ANOMALY_ROLES = ["continuous_measurement", "continuous_measurement_high_missingness",
                  "continuous_numeric", "ordinal_or_categorical"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tabsift.config import DATE_FORMATS, DATE_LENGTH, DATE_LIKE, DATE_SHAPE, DOCUMENTATION_KEYS
+from tabsift.config import DATE_LIKE, DOCUMENTATION_KEYS
 
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -75,17 +75,6 @@ def date_like(x: Column) -> Column:
     return x.rlike(DATE_LIKE)
 
 
-def parse_date(x: Column, pattern: str) -> Column:
-    """A timestamp, or NULL; the cheap shape test keeps long free text away from the parser."""
-    t = strip(x)
-    return F.when((F.length(t) <= DATE_LENGTH) & t.rlike(DATE_SHAPE), F.try_to_timestamp(t, F.lit(pattern)))
-
-
-def date_hits(x: Column) -> list[Column]:
-    """One 0/1 column per supported format."""
-    return [parse_date(x, spark_format).isNotNull().cast("long") for spark_format, _ in DATE_FORMATS]
-
-
 def tokenize_stem(x: Column) -> Column:
     tokens = F.split(F.lower(x), "[^a-z0-9]+")
     return F.array_distinct(F.filter(tokens, lambda t: F.length(t) > 1))

@@ -11,9 +11,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tabsift.config import BINARY_SETS, DATE_FORMATS
+from tabsift.config import BINARY_SETS
 from tabsift.dataset import NUMERIC, TEMPORAL, Dataset
 from tabsift.functions import exprs as X
+from tabsift.functions.dates import with_date_shape
 
 
 def unpivot_text(ds: Dataset, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -55,8 +56,9 @@ def ordinals(columns: list[str]) -> Column:
 def column_measures(ds: Dataset) -> DataFrame:
     """One row per column with every count the profiles and role rules need.
 
-    A chain of four groupings, (column, value) -> (column, number) -> (column, nearest integer) ->
-    (column); each is smaller than the one before and none gathers values in memory.
+    A chain of groupings, (column, value) -> (column, number) -> (column, nearest integer) -> (column, date shape) ->
+    (column); each is smaller than the one before and none gathers values in memory. Texts that are dates keep their shape
+    until the last one, which takes the shape and reading that the most values have.
     """
     config = ds.config
     value, freq = F.col("value"), F.col("freq")
@@ -72,8 +74,9 @@ def column_measures(ds: Dataset) -> DataFrame:
     per_value = (value_frequency(ds)
                  .withColumn("norm", norm)
                  .withColumn("strict", strict).withColumn("num", loose))
-    formats = range(len(DATE_FORMATS))
-    hits = X.date_hits(value)
+    per_value = with_date_shape(per_value, value, worded & ~is_temporal)
+    per_value = per_value.withColumn("shape", F.when(F.col("num").isNull(), F.col("shape")))
+    plain = F.when(is_temporal & present, freq).when(F.col("num").isNotNull() & F.col("month_first"), freq).otherwise(0)
     measures = [
         F.sum(freq).alias("freq"),
         F.sum(F.when(~present, freq).otherwise(0)).alias("missing_count"),
@@ -82,22 +85,26 @@ def column_measures(ds: Dataset) -> DataFrame:
         F.sum(F.when(F.col("norm").isin(markers), freq).otherwise(0)).alias("marker_count"),
     ]
     measures += [F.min(F.when(present, F.col("norm").isin(s))).alias(f"binary_{i}") for i, s in enumerate(BINARY_SETS)]
-    measures += [F.sum(F.when(is_temporal & present, freq).when(worded, freq * hits[i]).otherwise(0)).alias(f"date_{i}") for i in formats]
-    carried = ["freq", "missing_count", "distinct_count", "strict_count", "marker_count"] + [f"date_{i}" for i in formats]
+    measures += [F.sum(plain).alias("plain_dates"), *(F.sum(F.when(F.col(c), freq).otherwise(0)).alias(c) for c in ("month_first", "day_first"))]
+    carried = ["freq", "missing_count", "distinct_count", "strict_count", "marker_count", "plain_dates"]
+    dated = ["month_first", "day_first"]
     binaries = [f"binary_{i}" for i in range(len(BINARY_SETS))]
 
-    def roll_up() -> list[Column]:
-        return [F.sum(c).alias(c) for c in carried] + [F.min(b).alias(b) for b in binaries]
+    def roll_up(*more: str) -> list[Column]:
+        return [F.sum(c).alias(c) for c in [*carried, *more]] + [F.min(b).alias(b) for b in binaries]
 
     nearest = F.rint("num")
     close = (F.col("num") == nearest) | (F.abs(F.col("num") - nearest) <= 1e-8 + 1e-5 * F.abs(nearest))
-    per_number = per_value.groupBy("column", "num").agg(*measures)
-    per_integer = (per_number.groupBy("column", nearest.alias("nearest"))
-                   .agg(*roll_up(), F.count("num").alias("numbers"), F.min(close).alias("integral"),
+    per_number = per_value.groupBy("column", "num", "shape").agg(*measures)
+    per_integer = (per_number.groupBy("column", nearest.alias("nearest"), "shape")
+                   .agg(*roll_up(*dated), F.count("num").alias("numbers"), F.min(close).alias("integral"),
                         F.sum(F.when(F.col("num").isNotNull(), F.col("freq")).otherwise(0)).alias("loose_count")))
-    per_column = (per_integer.groupBy("column")
-                  .agg(*roll_up(), F.sum("numbers").alias("distinct_numbers"), F.max("numbers").alias("crowd"),
-                       F.min("integral").alias("integral"), F.sum("loose_count").alias("loose_count")))
+    per_shape = (per_integer.groupBy("column", "shape")
+                 .agg(*roll_up(*dated, "numbers", "loose_count"), F.max("numbers").alias("crowd"), F.min("integral").alias("integral")))
+    best = F.max(F.when(F.col("shape").isNotNull(), F.greatest("month_first", "day_first")).otherwise(0))
+    per_column = (per_shape.groupBy("column")
+                  .agg(*roll_up("loose_count"), F.sum("numbers").alias("distinct_numbers"), F.max("crowd").alias("crowd"),
+                       F.min("integral").alias("integral"), best.alias("dates")))
     binary = reduce(lambda a, b: a | b, [F.coalesce(F.col(b), F.lit(False)) for b in binaries])
     filled = F.col("freq") - F.col("missing_count")
     return per_column.select(
@@ -106,7 +113,7 @@ def column_measures(ds: Dataset) -> DataFrame:
         "marker_count", binary.alias("is_binary"),
         ((filled > 0) & ((X.safe_div(F.col("loose_count"), filled) < config["roles"]["numeric_parse"])
                          | (F.coalesce(F.col("integral"), F.lit(False)) & (F.col("crowd") <= 1)))).alias("key_like"),
-        X.safe_div(F.greatest(*[F.col(f"date_{i}") for i in formats]), filled).alias("date_rate"))
+        X.safe_div(F.greatest("dates", "plain_dates"), filled).alias("date_rate"))
 
 
 HEAD_ROWS = 200

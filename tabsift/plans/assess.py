@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -205,24 +206,30 @@ def run_each(spark: SparkSession, jobs: dict, workers: int = 1) -> tuple[DataFra
     return spark.createDataFrame(status, STATUS), {name: result for name, (result, error) in done.items() if error is None}
 
 
+#: Lines that a separator is looked for in where quoted cells go on over several.
+OPEN_LINES = 2_000
+
+
 def load_file(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """A delimited file as text columns plus its encoding note.
 
     The separator comes from the first lines; one distributed pass over the lines settles encoding, decimal mark and whether a quoted
-    cell holds a line break. Only a file with such cells has to be read by one task.
+    cell holds a line break.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
     kind = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
     if kind in DATA_EXTENSIONS and kind not in LOADABLE_EXTENSIONS:
         raise ValueError(f"{name}: files of type {kind} can't be read")
     lines = spark.read.text(path)
-    head = [r["value"] for r in lines.where(X.strip(F.col("value")) != "").take(files.SNIFF_LINES)]
-    sample = spark.createDataFrame([("\n".join(head), name)], "text string, name string")
-    separator = sample.select(files.sniff_separator(F.col("text"), F.col("name")).alias("s")).first()["s"]
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     facts = lines.agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
                       F.coalesce(F.bool_or(F.col("value").rlike(r"\d,\d")), F.lit(False)).alias("comma"),
                       F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open")).first()
+    head = [r["value"] for r in lines.where(X.strip(F.col("value")) != "").take(OPEN_LINES if facts["open"] else files.SNIFF_LINES)]
+    if facts["open"]:                                                      # line breaks in quoted cells end no row
+        head = [re.sub('"[^"]*"', '""', "\n".join(head))]
+    sample = spark.createDataFrame([("\n".join(head), name)], "text string, name string")
+    separator = sample.select(files.sniff_separator(F.col("text"), F.col("name")).alias("s")).first()["s"]
     note = "utf8_semicolon" if separator == ";" else "utf8"
     note = note if facts["utf8"] else "non_utf8_latin1_fallback"
     decimal = "," if separator != "," and facts["comma"] else "."

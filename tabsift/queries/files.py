@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tabsift.config import CONFIG, DATA_EXTENSIONS, DOC_NAME_HINTS, ROUTABLE_DATA_EXTENSIONS
 from tabsift.dataset import shared_folder
@@ -66,15 +67,25 @@ add("src_decimal_comma", sniff_sql("SELECT file_id, CASE WHEN separator <> ',' A
 
 
 def _read(s, d):
-    """Orders written as semicolon files with decimal commas, then sniffed and read back."""
+    """Orders written as semicolon files with decimal commas, documents and pages with quoted line breaks; all are sniffed and read back."""
     path = target(s, "orders-csv")
     comma = F.replace(F.col("o_totalprice").cast("string"), F.lit("."), F.lit(","))
     T.table(s, d, "orders").select("o_orderkey", comma.alias("o_totalprice"), "o_orderpriority").write.option("sep", ";").option("header", True).csv(path)
     df, note = load_file(s, path)
-    return df.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), X.number(F.col("o_totalprice")).alias("o_totalprice"), "o_orderpriority", F.lit(note).alias("note"))
-
-
-add("src_read_delimited", "SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice, o_orderpriority, 'utf8_semicolon' AS note FROM orders", _read)
+    parts = [df.select(F.lit("orders").alias("file"), F.col("o_orderkey").cast("long").alias("id"), X.number(F.col("o_totalprice")).alias("price"),
+                       F.length("o_orderpriority").alias("chars"), F.md5("o_orderpriority").alias("digest"), F.lit(note).alias("note"))]
+    for name, key, text, sep in (("documents", "doc_id", "text", "|"), ("pages", "page_id", "html", ",")):
+        path = target(s, f"{name}-csv")
+        plain = {"sep": sep, "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        T.table(s, d, name).select(key, text, F.lit("end").alias("tail")).write.options(**plain).csv(path)
+        df, note = load_file(s, path)
+        parts.append(df.select(F.lit(name).alias("file"), F.col(key).cast("long").alias("id"), F.lit(None).cast("double").alias("price"), F.length(text).alias("chars"),
+                               F.md5(text).alias("digest"), F.concat(F.lit(note), F.lit(" "), F.col("tail")).alias("note")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+add("src_read_delimited", "SELECT 'orders' AS file, o_orderkey AS id, round(o_totalprice, 6) AS price, length(o_orderpriority) AS chars, md5(o_orderpriority) AS digest, 'utf8_semicolon' AS note FROM orders "
+    + "".join(f"UNION ALL SELECT '{t}', {k}, NULL, length({c}), md5({c}), 'utf8 end' FROM {t} " for t, k, c in (("documents", "doc_id", "text"), ("pages", "page_id", "html"))), _read)
 add("src_list_datasets", f"SELECT file_id, name FROM ({T.FILES}) WHERE regexp_extract(name, '(\\.[^.]+)$', 1) IN {S.names(DATA_EXTENSIONS)}",
     lambda s, d: files.list_datasets(T.files(s, d), cap=CONFIG["max_datasets"]).select("file_id", "name"))
 

@@ -51,6 +51,26 @@ SELECT o_orderkey AS row_id,
 FROM orders
 """
 
+# One way to write a date per column, one row in nine or so broken; the last column mixes two ways.
+STAYS = """
+SELECT row_id,
+  CASE WHEN row_id % 9 = 0 THEN 'Jan 40, 2024' ELSE concat(substring(mon, 1, 3), ' ', d, ', 2024') END AS named_date,
+  CASE WHEN row_id % 10 = 0 THEN '5 Brumaire 2024' ELSE concat(d, ' ', mon, ' 2024') END AS long_date,
+  CASE WHEN row_id % 11 = 0 THEN '20241345' ELSE concat('2024', mm, dd) END AS compact_date,
+  CASE WHEN row_id % 12 = 0 THEN '2024-01-05T25:00' ELSE concat('2024-', mm, '-', dd, 'T10:', dd) END AS minute_time,
+  CASE WHEN row_id % 13 = 0 THEN '2024-02-30 10:00:00.123' ELSE concat('2024-', mm, '-', dd, ' 10:00:00.', mm, '3') END AS fraction_time,
+  CASE WHEN row_id % 14 = 0 THEN '31.04.2024 10:00' ELSE concat(dd, '.', mm, '.2024 10:00') END AS dotted_time,
+  CASE WHEN row_id % 15 = 0 THEN '05-Foo-2024' ELSE concat(dd, '-', substring(mon, 1, 3), '-2024') END AS dashed_date,
+  CASE WHEN row_id % 16 = 0 THEN '13/32/24' ELSE concat(mm, '/', dd, '/24') END AS short_date,
+  CASE WHEN row_id % 3 = 0 THEN concat(d, '/', m, '/2024') ELSE concat('2024-', mm, '-', dd) END AS mixed_date
+FROM (
+  SELECT c_custkey AS row_id, CAST(c_custkey % 28 + 1 AS STRING) AS d, CAST(c_custkey % 12 + 1 AS STRING) AS m, lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0') AS dd,
+    lpad(CAST(c_custkey % 12 + 1 AS STRING), 2, '0') AS mm,
+    split_part('January February March April May June July August September October November December', ' ', CAST(c_custkey % 12 + 1 AS INT)) AS mon
+  FROM customer
+) AS days
+"""
+
 MEASURES = """
 SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-',
               CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS row_id,
@@ -106,6 +126,10 @@ def visits(spark, folder, metadata=None, config=None) -> Dataset:
     return Dataset.of("visits", view(spark, folder, VISITS, "orders"), "row_id", metadata, config)
 
 
+def stays(spark, folder, metadata=None, config=None) -> Dataset:
+    return Dataset.of("stays", view(spark, folder, STAYS, "customer"), "row_id", metadata, config)
+
+
 def measures(spark, folder, metadata=None, config=None) -> Dataset:
     return Dataset.of("measures", view(spark, folder, MEASURES, "lineitem"), "row_id", metadata, config)
 

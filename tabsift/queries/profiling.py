@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tabsift.config import ANOMALY_ROLES, CONFIG
@@ -27,20 +29,20 @@ def over(*names, select, extra=()):
     return S.with_ctes(*parts, *extra, select=select)
 
 
-def both(sql: str) -> str:
-    """The same select over cohort and visits, labelled."""
-    return " UNION ALL ".join(sql.replace("$", n).replace("@", S.quote(n)) for n in ("cohort", "visits"))
+def both(sql: str, names=("cohort", "visits")) -> str:
+    """The same select over each dataset, labelled."""
+    return " UNION ALL ".join(sql.replace("$", n).replace("@", S.quote(n)) for n in names)
 
 
 def stats_of(dataset, metadata=EMPTY):
     return lambda s, d: roles.column_stats(dataset(s, d, metadata))[0]
 
 
-def labelled(run):
-    """Cohort and visits together, with a dataset label."""
+def labelled(run, *more):
+    """Cohort and visits (and ``more``) together, with a dataset label."""
     def go(s, d):
-        parts = [run(ds).select(F.lit(ds.name).alias("dataset"), "*") for ds in (T.cohort(s, d, EMPTY), T.visits(s, d))]
-        return parts[0].unionByName(parts[1])
+        parts = [run(ds).select(F.lit(ds.name).alias("dataset"), "*") for ds in (T.cohort(s, d, EMPTY), T.visits(s, d), *(f(s, d) for f in more))]
+        return reduce(lambda a, b: a.unionByName(b), parts)
     return go
 
 
@@ -211,10 +213,11 @@ add("sample_values", over("cohort", select=S.finish(f'SELECT "column", position,
     lambda s, d: frequency.first_values(T.cohort(s, d), 5, SAMPLE_COLUMNS))
 
 # --- roles ---------------------------------------------------------------------------------------
-add("uniform_type", over("cohort", "visits", select=S.finish(both(f'SELECT @ AS dataset, "column", {S.role_columns(S.uniform_cases())} FROM $_stats'), "role_confidence")),
-    labelled(lambda ds: roles.uniform_type(roles.column_stats(ds)[0], ds.config)))
-add("rule_role", over("cohort", "visits", select=S.finish(both(f'SELECT @ AS dataset, "column", {S.role_columns(S.rule_cases())} FROM $_stats'), "role_confidence")),
-    labelled(lambda ds: roles.rule_role(roles.column_stats(ds)[0], ds.metadata, ds.config)))
+ROLED = ("cohort", "visits", "stays")
+add("uniform_type", over(*ROLED, select=S.finish(both(f'SELECT @ AS dataset, "column", {S.role_columns(S.uniform_cases())} FROM $_stats', ROLED), "role_confidence")),
+    labelled(lambda ds: roles.uniform_type(roles.column_stats(ds)[0], ds.config), T.stays))
+add("rule_role", over(*ROLED, select=S.finish(both(f'SELECT @ AS dataset, "column", {S.role_columns(S.rule_cases())} FROM $_stats', ROLED), "role_confidence")),
+    labelled(lambda ds: roles.rule_role(roles.column_stats(ds)[0], ds.metadata, ds.config), T.stays))
 
 OVERRIDES = {"id_fields": ["Subject_ID"], "target_fields": ["grp"], "semantic_roles": {"segment": "market_segment"}, "valid_ranges": {"discharge_day": [0, 2000]}}
 add("metadata_role", over("cohort", select=S.finish(f'SELECT "column", {S.role_columns(S.rule_cases(OVERRIDES))} FROM cohort_stats', "role_confidence")),

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from tabsift.config import BINARY_SETS, CONFIG, DATE_FORMATS, DATE_LIKE, SEMANTIC_MARKERS, TECHNICAL_MARKERS
+from tabsift.config import BINARY_SETS, CONFIG, DATE_LIKE, SEMANTIC_MARKERS, TECHNICAL_MARKERS
 from tabsift.functions.exprs import INFINITE, NUMBER, any_pattern
-from tabsift.queries.fixtures import COHORT, MEASURES, VISITS
+from tabsift.queries.fixtures import COHORT, MEASURES, STAYS, VISITS
 
+#: What the oracles parse dates with: every day format, alone and before every time of day.
+DAYS = ["%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%m-%d-%Y", "%d.%m.%Y", "%m.%d.%Y", "%d/%m/%y", "%m/%d/%y", "%d %b %Y", "%d %B %Y", "%d-%b-%Y", "%b %d, %Y", "%B %d, %Y"]
+TIMES = ["", " %H:%M", " %H:%M:%S", " %H:%M:%S.%f", "T%H:%M", "T%H:%M:%S", "T%H:%M:%S.%f"]
+STRPTIME = [day + time for day in DAYS for time in TIMES] + ["%Y%m%d"]
+
+STAY_DATES = ["named_date", "long_date", "compact_date", "minute_time", "fraction_time", "dotted_time", "dashed_date", "short_date", "mixed_date"]
 DATASETS = {
     "cohort": {"sql": COHORT, "text": ["subject_id", "sex", "age", "glucose", "grp", "admission_day", "discharge_day", "part_a",
                                        "part_b", "part_total", "visit_note", "segment"],
@@ -15,6 +21,7 @@ DATASETS = {
     "visits": {"sql": VISITS, "text": ["cust_code", "admission_date", "mixed_field", "empty_field", "priority"],
                "columns": ["cust_code", "admission_date", "mixed_field", "empty_field", "smoker_flag", "priority"],
                "types": {"smoker_flag": "int"}},
+    "stays": {"sql": STAYS, "text": STAY_DATES, "columns": STAY_DATES, "types": {"named_date": "string"}},
     "measures": {"sql": MEASURES, "text": [], "columns": ["quantity_value", "price_value", "discount_rate", "tax_rate"],
                  "types": {c: "double" for c in ("quantity_value", "price_value", "discount_rate", "tax_rate")}},
 }
@@ -93,8 +100,7 @@ def statistics(name: str) -> str:
     d = DATASETS[name]
     markers = names([m.strip().lower() for m in SEMANTIC_MARKERS])
     binary = " OR ".join(f"coalesce(bool_and(CASE WHEN value IS NOT NULL THEN norm IN {names(s)} END), false)" for s in BINARY_SETS)
-    dates = ", ".join(f"sum(CASE WHEN value IS NOT NULL AND length({strip('value')}) <= 40 AND regexp_matches({strip('value')}, '^\\d{{1,4}}[-/. ]') AND "
-                      f"try_strptime({strip('value')}, '{fmt}') IS NOT NULL THEN freq ELSE 0 END)" for _, fmt in DATE_FORMATS)
+    dates = ", ".join(f"sum(CASE WHEN day IS NOT NULL AND try_strptime(day, '{fmt}') IS NOT NULL THEN freq ELSE 0 END)" for fmt in STRPTIME)
     samples = " UNION ALL ".join(
         f"SELECT * FROM (SELECT {quote(c)} AS \"column\", row_id, CAST({c} AS VARCHAR) AS value, row_number() OVER (ORDER BY row_id) AS position "
         f"FROM {name} WHERE {c} IS NOT NULL ORDER BY row_id LIMIT 20)" for c in d["columns"])
@@ -102,7 +108,7 @@ def statistics(name: str) -> str:
     rule = CONFIG["missingness"]["sentinels"]
     known = names(sorted({m.strip().lower() for m in TECHNICAL_MARKERS + SEMANTIC_MARKERS}))
     return f"""{frequencies(name)},
-{name}_val AS (SELECT *, {norm('value')} AS norm, {number('value')} AS strict, {loose('value')} AS num FROM {name}_vf),
+{name}_val AS (SELECT *, CASE WHEN length({strip('value')}) <= 40 AND regexp_matches({strip('value')}, '^([A-Za-z]{{3,9}}[ ,.]|[0-9]{{1,2}}[-/. ]|[0-9]{{4}}[-/. ]|[0-9]{{8}}$)') THEN {strip('value')} END AS day, {norm('value')} AS norm, {number('value')} AS strict, {loose('value')} AS num FROM {name}_vf),
 {name}_base AS (SELECT ordinal, "column", sum(freq) AS n_rows, sum(CASE WHEN value IS NULL THEN freq ELSE 0 END) AS missing_count,
   sum(CASE WHEN value IS NOT NULL THEN freq ELSE 0 END) AS non_missing, count(value) AS distinct_count,
   sum(CASE WHEN strict IS NOT NULL THEN freq ELSE 0 END) AS strict_count, sum(CASE WHEN num IS NOT NULL THEN freq ELSE 0 END) AS loose_count,

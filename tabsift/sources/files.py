@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tabsift.config import (DATA_EXTENSIONS, DOC_NAME_HINTS, DOCUMENT_EXTENSIONS, ROUTABLE_DATA_EXTENSIONS,
                             ROUTABLE_METADATA_EXTENSIONS, SCAFFOLDING_FILES, STEM_NOISE, merge_metadata)
 from tabsift.functions import exprs as X
+from tabsift.sources.delimited import cells, quoted_rows
 
 SEPARATORS = [",", ";", "\t", "|"]
 SNIFF_LINES = 50
@@ -68,31 +69,35 @@ def with_format(files: DataFrame) -> DataFrame:
     return out.withColumn("decimal", decimal_mark(F.col("text"), F.col("separator"))).withColumn("encoding_note", note).drop("utf8")
 
 
+#: The first lines that hold more than white space, with the blank ones between them.
+HEAD = r"^(?:[\s\x1c-\x1f\x85\xa0]*+[^\r\n]++(?:\r\n|\n|\r|$)){0,%d}+" % SNIFF_LINES
+
+
 def sniff_separator(text: Column, name: Column) -> Column:
     """The candidate with the widest header, then the most even line widths; comma when none splits.
 
-    A candidate is skipped when some line is wider than its header, as such a file does not parse.
+    A candidate is skipped when some line is wider than its header, as such a file does not parse. Only the head of the text is split, once.
     """
-    lines = F.slice(F.filter(F.split(text, r"\r\n|\n|\r"), lambda s: X.strip(s) != ""), 1, SNIFF_LINES)
+    head = F.filter(F.split(F.regexp_extract(text, HEAD, 0), r"\r\n|\n|\r"), lambda s: X.strip(s) != "")
 
     def width(line, sep):
         return F.size(F.split(line, "\\" + sep if sep != "\t" else sep))
 
-    def outside_quotes(line):
-        return F.regexp_replace(line, '"[^"]*"', "")
+    def best(lines):
+        bare = F.transform(lines, lambda line: F.regexp_replace(line, '"[^"]*"', ""))
+
+        def candidate(rank, sep):
+            widths = F.transform(bare, lambda line: width(line, sep))
+            header = F.try_element_at(widths, F.lit(1))
+            even = F.size(F.filter(lines, lambda line: width(line, sep) == header)) / F.greatest(F.size(lines), F.lit(1))
+            allowed = (header > 1) & (F.array_max(widths) <= header)
+            if sep != "\t":
+                allowed = allowed & (extension(name) != ".tsv")
+            return F.when(allowed, F.struct(header.alias("columns"), even.alias("even"), F.lit(-rank).alias("rank"), F.lit(sep).alias("sep")))
 
-    def candidate(rank, sep):
-        header = width(outside_quotes(F.try_element_at(lines, F.lit(1))), sep)
-        widest = F.array_max(F.transform(lines, lambda line: width(outside_quotes(line), sep)))
-        even = F.size(F.filter(lines, lambda line: width(line, sep) == header)) / F.greatest(F.size(lines), F.lit(1))
-        allowed = (header > 1) & (widest <= header)
-        if sep != "\t":
-            allowed = allowed & (extension(name) != ".tsv")
-        return F.when(allowed, F.struct(header.alias("columns"), even.alias("even"), F.lit(-rank).alias("rank"), F.lit(sep).alias("sep")))
+        return F.array_max(F.array_compact(F.array(*[candidate(rank, sep) for rank, sep in enumerate(SEPARATORS)])))["sep"]
 
-    tests = [candidate(rank, sep) for rank, sep in enumerate(SEPARATORS)]
-    best = F.array_max(F.array_compact(F.array(*tests)))
-    return F.coalesce(best["sep"], F.lit(","))
+    return F.coalesce(F.transform(F.array(head), best)[0], F.lit(","))
 
 
 def decimal_mark(text: Column, separator: Column) -> Column:
@@ -106,15 +111,17 @@ class RaggedFile(ValueError):
 def read_delimited(spark: SparkSession, path: str, separator: str, decimal: str = ".", encoding: str = "UTF-8", breaks: bool = True) -> DataFrame:
     """All columns as text; decimal commas become dots where a cell is such a number.
 
-    Quoted cells may hold separators, doubled quotes and, with ``breaks``, line breaks; such a file is read by one task, so ``breaks`` is for files
-    that have them. Rows with fewer cells end in nulls, a row with more raises :class:`RaggedFile`.
+    Quoted cells may hold separators, doubled quotes and, with ``breaks``, line breaks, which stay as they are; a file with them is read in two passes, each in as
+    many tasks as it has splits. Rows with fewer cells end in nulls, a row with more raises :class:`RaggedFile`.
     """
     reader = spark.read.option("sep", separator).option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", breaks)
     names = reader.csv(path).columns
     if not names:
         return spark.createDataFrame([], "`_c0` string").drop("_c0")
-    held = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-    rows = reader.schema(held).csv(path)
+    if breaks:
+        rows = cells(quoted_rows(spark, path, separator, encoding), names, separator)
+    else:
+        rows = reader.schema(", ".join(f"c{i} string" for i in range(len(names) + 1))).csv(path)
     extra = f"c{len(names)}"
     if (over := rows.where(F.col(extra).isNotNull()).select("c0", extra).first()) is not None:
         raise RaggedFile(f"{path.rsplit('/', 1)[-1]}: the row that starts with {over[0]!r} has more than {len(names)} cells")
