@@ -15,6 +15,7 @@ from tabsift.config import BINARY_SETS
 from tabsift.dataset import NUMERIC, TEMPORAL, Dataset
 from tabsift.functions import exprs as X
 from tabsift.functions.dates import with_date_shape
+from tabsift.operators.native_counts import native_measures
 
 
 def unpivot_text(ds: Dataset, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -58,9 +59,28 @@ def column_measures(ds: Dataset) -> DataFrame:
 
     A chain of groupings, (column, value) -> (column, number) -> (column, nearest integer) -> (column, date shape) ->
     (column); each is smaller than the one before and none gathers values in memory. Texts that are dates keep their shape
-    until the last one, which takes the shape and reading that the most values have.
+    until the last one, which takes the shape and reading that the most values have. Integer and floating columns are measured as
+    numbers and only meet the others in the result.
     """
     config = ds.config
+    native, measured = native_measures(ds)
+    rest = [c for c in ds.columns if c not in native]
+    parts = ([_text_measures(ds, rest)] if rest else []) + ([measured] if native else [])
+    per_column = reduce(DataFrame.unionByName, parts)
+    binary = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"binary_{i}"), F.lit(False)) for i in range(len(BINARY_SETS))])
+    filled = F.col("freq") - F.col("missing_count")
+    return per_column.select(
+        ordinals(ds.columns).alias("ordinal"), "column", F.col("freq").alias("n_rows"), "missing_count",
+        filled.alias("non_missing"), "distinct_count", "strict_count", "loose_count", "distinct_numbers",
+        "marker_count", binary.alias("is_binary"),
+        ((filled > 0) & ((X.safe_div(F.col("loose_count"), filled) < config["roles"]["numeric_parse"])
+                         | (F.coalesce(F.col("integral"), F.lit(False)) & (F.col("crowd") <= 1)))).alias("key_like"),
+        X.safe_div(F.greatest("dates", "plain_dates"), filled).alias("date_rate"))
+
+
+def _text_measures(ds: Dataset, columns: list[str]) -> DataFrame:
+    """The chain of groupings of the columns that aren't measured as numbers."""
+    config = ds.config
     value, freq = F.col("value"), F.col("freq")
     norm = X.normalize(value)
     markers = [m.strip().lower() for m in config["missingness"]["semantic_markers"]]
@@ -71,7 +91,7 @@ def column_measures(ds: Dataset) -> DataFrame:
     strict, loose = _numbers(ds)
     native = ds.columns_of(NUMERIC)
     worded = ~F.col("column").isin(native) if native else F.lit(True)
-    per_value = (value_frequency(ds)
+    per_value = (value_frequency(ds, columns)
                  .withColumn("norm", norm)
                  .withColumn("strict", strict).withColumn("num", loose))
     per_value = with_date_shape(per_value, value, worded & ~is_temporal)
@@ -105,15 +125,8 @@ def column_measures(ds: Dataset) -> DataFrame:
     per_column = (per_shape.groupBy("column")
                   .agg(*roll_up("loose_count"), F.sum("numbers").alias("distinct_numbers"), F.max("crowd").alias("crowd"),
                        F.min("integral").alias("integral"), best.alias("dates")))
-    binary = reduce(lambda a, b: a | b, [F.coalesce(F.col(b), F.lit(False)) for b in binaries])
-    filled = F.col("freq") - F.col("missing_count")
-    return per_column.select(
-        ordinals(ds.columns).alias("ordinal"), "column", F.col("freq").alias("n_rows"), "missing_count",
-        filled.alias("non_missing"), "distinct_count", "strict_count", "loose_count", "distinct_numbers",
-        "marker_count", binary.alias("is_binary"),
-        ((filled > 0) & ((X.safe_div(F.col("loose_count"), filled) < config["roles"]["numeric_parse"])
-                         | (F.coalesce(F.col("integral"), F.lit(False)) & (F.col("crowd") <= 1)))).alias("key_like"),
-        X.safe_div(F.greatest("dates", "plain_dates"), filled).alias("date_rate"))
+    return per_column.select("column", "freq", "missing_count", "distinct_count", "strict_count", "marker_count", "plain_dates", *binaries, "loose_count",
+                             "distinct_numbers", "crowd", "integral", "dates")
 
 
 HEAD_ROWS = 200
@@ -122,8 +135,8 @@ HEAD_ROWS = 200
 def first_values(ds: Dataset, k: int, columns: list[str] | None = None) -> DataFrame:
     """The first ``k`` non-missing values of each column in row order, repeats included.
 
-    One top-k over the first rows settles every column that is reasonably filled; each of the others gets
-    its own top-k over two pruned columns. No column is sorted as a whole.
+    One top-k over the first rows settles every column that is reasonably filled. One more scan is for all others together: their cells are
+    ranked within each task first, which passes on at most ``k`` of a column.
     """
     columns, row = columns or ds.columns, F.col(f"`{ds.row_id}`")
     head = ds.df.select(row.alias("row_id"), *[ds.text(c).alias(c) for c in columns]).orderBy("row_id").limit(HEAD_ROWS).collect()
@@ -134,8 +147,8 @@ def first_values(ds: Dataset, k: int, columns: list[str] | None = None) -> DataF
     sparse = [c for c in columns if not whole and len(settled[c]) < k]
     if not sparse:
         return found
-    branches = [
-        ds.df.select(F.lit(c).alias("column"), row.alias("row_id"), ds.text(c).alias("value"))
-        .where(F.col("value").isNotNull()).orderBy("row_id").limit(k) for c in sparse]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), ds.text(c).alias("value")) for c in sparse])
+    cells = ds.df.select(row.alias("row_id"), F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("cell")).select("row_id", "cell.*")
     rank = F.row_number().over(Window.partitionBy("column").orderBy("row_id"))
-    return found.unionByName(reduce(DataFrame.unionByName, branches).select("column", rank.cast("long").alias("position"), "value"))
+    first = cells.withColumn("position", rank).where(F.col("position") <= k)
+    return found.unionByName(first.select("column", F.col("position").cast("long").alias("position"), "value"))
