@@ -6,8 +6,11 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabsift.config import CONFIG, merge_metadata
@@ -46,6 +49,12 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def at_once(calls: list[Callable], workers: int = 4) -> list:
+    """The results of independent calls, whose Spark jobs run side by side: many of them are too small to fill a cluster."""
+    with ThreadPoolExecutor(max(1, min(workers, len(calls)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(c)) for c in calls]]
+
+
 def with_row_id(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Number the rows once and keep the numbering on shared storage; it is never computed twice."""
     return cut_lineage(df.withColumn(row_id, F.monotonically_increasing_id()))

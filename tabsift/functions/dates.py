@@ -23,10 +23,12 @@ STEPS = [
 SHAPE = (r"^(?:Y([-/. ])N\1N|N([-/. ])N\2Y|N([-/.])N\3N|N[-/. ]?M[-/. ,]{0,2}Y|M[-. ]{0,2}N[-,]? ?Y|C)(?:(?:t|,? )N:N(?::NF?)?A?Z?)?$")
 
 
+#: Times of day, of 24 hours and of twice 12, as they have to stand in a text that has one.
+CLOCK, HALF_CLOCK = r"(?<!\d)(?:[01]?\d|2[0-3]):[0-5]?\d(?::[0-5]?\d)?(?![\d:])", r"(?<!\d)(?:0?[1-9]|1[0-2]):[0-5]?\d(?::[0-5]?\d)?(?![\d:])"
+
+
 def _is_date(year: Column, month: Column, day: Column) -> Column:
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    last = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    return F.coalesce((year >= 1) & month.between(1, 12) & (day >= 1) & (day <= last), F.lit(False))
+    return (year != "0000") & F.concat_ws("-", year, month, day).try_cast("date").isNotNull()
 
 
 def with_date_shape(df: DataFrame, value: Column, where: Column | None = None) -> DataFrame:
@@ -43,26 +45,14 @@ def with_date_shape(df: DataFrame, value: Column, where: Column | None = None) -
     df = df.withColumn("date_text", text).withColumn("shape", shape)
     df = df.withColumn("shape", F.when(F.col("shape").rlike(SHAPE), F.col("shape"))).withColumn("date_numbers", F.when(F.col("shape").isNotNull(), F.regexp_extract_all("date_text", F.lit(r"\d+"), F.lit(0))))
 
-    def number(i: Column) -> Column:
-        return F.try_element_at("date_numbers", i.cast("int")).try_cast("int")
-
-    s, one, two, three = F.col("shape"), *(F.lit(i) for i in (1, 2, 3))
+    s, one, two, three = F.col("shape"), *(F.try_element_at("date_numbers", F.lit(i)) for i in (1, 2, 3))
     year_first, compact, named = s.startswith("Y"), s.startswith("C"), s.contains("M")
-    eight = F.try_element_at("date_numbers", one)
-    name = (F.instr(F.lit(MONTHS), F.substring(F.regexp_extract("date_text", MONTH_NAME, 0), 1, 3)) + 2) / 3
-    short = F.length(F.try_element_at("date_numbers", three)) == 2
-    year = (F.when(year_first, number(one)).when(compact, F.substring(eight, 1, 4).try_cast("int")).when(named, number(two))
-            .otherwise(F.when(short, number(three) + 2000).otherwise(number(three))))
-    month = F.when(year_first, number(two)).when(compact, F.substring(eight, 5, 2).try_cast("int")).when(named, name.cast("int"))
-    day = F.when(year_first, number(three)).when(compact, F.substring(eight, 7, 2).try_cast("int")).when(named, number(one))
-    at = F.when(compact, 2).when(named, 3).otherwise(4)
-    hour, minute, second = number(at), number(at + 1), number(at + 2)
-    timed = (~s.contains("N:N") | (F.when(s.contains("A"), hour.between(1, 12)).otherwise(hour.between(0, 23)) & minute.between(0, 59)
-                                   & (~s.contains("N:N:N") | second.between(0, 59))))
-    open_order = ~(year_first | compact | named)
-    fixed = _is_date(year, month, day)
-    month_first = F.when(open_order, _is_date(year, number(one), number(two))).otherwise(fixed)
-    day_first = F.when(open_order, _is_date(year, number(two), number(one))).otherwise(fixed)
-    known = s.isNotNull() & F.coalesce(timed, F.lit(False))
-    return (df.withColumn("month_first", F.coalesce(known & month_first, F.lit(False))).withColumn("day_first", F.coalesce(known & day_first, F.lit(False)))
+    name = F.floor((F.instr(F.lit(MONTHS), F.substring(F.regexp_extract("date_text", MONTH_NAME, 0), 1, 3)) + 2) / 3).cast("string")
+    full = F.when(F.length(three) == 2, F.concat(F.lit("20"), three)).otherwise(three)
+    year, month, day = ((F.when(year_first, a).when(compact, F.substring(one, at, size)).when(named, b).otherwise(c)) for a, at, size, b, c in
+                        ((one, 1, 4, two, full), (two, 5, 2, name, one), (three, 7, 2, one, two)))
+    swapped = F.when(year_first | compact | named, F.col("month_first")).otherwise(_is_date(full, two, one))
+    timed = ~s.contains("N:N") | F.when(s.contains("A"), F.col("date_text").rlike(HALF_CLOCK)).otherwise(F.col("date_text").rlike(CLOCK))
+    known = s.isNotNull() & timed
+    return (df.withColumn("month_first", F.coalesce(known & _is_date(year, month, day), F.lit(False))).withColumn("day_first", F.coalesce(known & swapped, F.lit(False)))
             .withColumn("shape", F.when(F.col("month_first") | F.col("day_first"), F.col("shape"))).drop("date_text", "date_numbers"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsift.dataset import Dataset, cut_lineage
+from tabsift.dataset import Dataset, at_once, cut_lineage
 from tabsift.functions import exprs as X
 from tabsift.operators import forest, neighbours
 from tabsift.operators.accuracy import ISSUE, issue_columns
@@ -137,12 +137,11 @@ def detect(ds: Dataset, columns: list[str], sentinels: dict[str, list[str]], pro
     if use_forest or use_lof:
         scaled = cut_lineage(standard_scale(median_fill(matrix, columns, centres), columns))
         share = contamination(n, ds.config)
-        scores = scaled
+        scores, factors = at_once([(lambda: isolation_scores(scaled, columns, ds.config)) if use_forest else (lambda: scaled),
+                                   (lambda: neighbours.local_outlier_factor(scaled, columns, neighbour_count(n, ds.config))) if use_lof else (lambda: None)])
         if use_forest:
-            scores = isolation_scores(scores, columns, ds.config)
             learned.append(("isolation_forest", "isolation_score"))
         if use_lof:
-            factors = neighbours.local_outlier_factor(scaled, columns, neighbour_count(n, ds.config))
             scores = scores.join(factors, columns)
             learned.append(("local_outlier_factor", "lof"))
         scores = cut_lineage(scores.drop(*columns))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F
 
-from tabsift.dataset import Dataset, cut_lineage
+from tabsift.dataset import Dataset, at_once, cut_lineage
 from tabsift.functions import exprs as X
 from tabsift.operators.anomaly import Detection, detect, flagged
 from tabsift.operators.missing import sentinel_map
@@ -104,21 +106,25 @@ def controlled_error_baseline(ds: Dataset, profile, n_rows: int, baseline: dict[
 
     ``profile(ds)`` answers (measures, sentinels, policies) of a dataset.
     """
-    spark, rows = ds.df.sparkSession, []
-    if not ds.config["injection"]["enabled"]:
+    spark, rates = ds.df.sparkSession, ds.config["injection"]["rates"]
+    if not ds.config["injection"]["enabled"] or not rates:
         return spark.createDataFrame([], METRICS)
     measures, _, _ = profile(ds)
     columns = eligible_columns(ds, measures)
-    for rate in ds.config["injection"]["rates"]:
+    methods = (("generic_anomaly_delta", "uniform_dtype_routing", False), ("semantic_hitl_anomaly_delta", "transformer_augmented_routing", True))
+
+    def at_rate(rate: float) -> list[tuple]:
         broken, truth = inject_errors(ds, columns, n_rows, rate)
         _, sentinels, policies = profile(broken)
-        for method, policy, proposed in (("generic_anomaly_delta", "uniform_dtype_routing", False),
-                                         ("semantic_hitl_anomaly_delta", "transformer_augmented_routing", True)):
+
+        def of(method: str, policy: str, proposed: bool) -> tuple:
             after = detect(broken, policies[policy], sentinels, proposed, n_rows)
             m = evaluate(baseline["generic" if not proposed else "semantic"], after, truth)
-            rows.append((method, float(rate), m["precision"], m["recall"], m["f1"], m["newly_flagged_rows"],
-                         m["injected_error_rows"], m["pre_existing_flagged_rows"]))
-    return spark.createDataFrame(rows, METRICS)
+            return (method, float(rate), m["precision"], m["recall"], m["f1"], m["newly_flagged_rows"], m["injected_error_rows"], m["pre_existing_flagged_rows"])
+
+        return at_once([partial(of, *m) for m in methods])
+
+    return spark.createDataFrame([row for rows in at_once([partial(at_rate, rate) for rate in rates]) for row in rows], METRICS)
 
 
 def locked_parameters(config: dict) -> dict:
@@ -134,11 +140,8 @@ LOCK = ("iqr_multiplier double, modified_z_threshold double, ensemble_min_method
 
 def ablation_detections(ds: Dataset, policies: dict[str, list[str]], sentinels, n_rows: int) -> dict[str, Detection]:
     """One detection per policy, all with the strict ensemble; equal column sets are computed once."""
-    done: dict[tuple, Detection] = {}
-    for policy, _ in POLICIES:
-        key = tuple(policies[policy])
-        if key not in done:
-            done[key] = detect(ds, policies[policy], sentinels, True, n_rows)
+    keys = list(dict.fromkeys(tuple(policies[policy]) for policy, _ in POLICIES))
+    done = dict(zip(keys, at_once([partial(detect, ds, list(key), sentinels, True, n_rows) for key in keys])))
     return {policy: done[tuple(policies[policy])] for policy, _ in POLICIES}
 
 
@@ -154,17 +157,21 @@ def ablation_burden(ds: Dataset, detections: dict[str, Detection]) -> DataFrame:
 
 def ablation_errors(ds: Dataset, detections: dict[str, Detection], measures: list, sentinels) -> DataFrame:
     """Injected errors with each policy's columns held fixed."""
-    lock, rows = tuple(locked_parameters(ds.config).values()), []
+    lock = tuple(locked_parameters(ds.config).values())
     n_rows = detections[POLICIES[0][0]].n_rows
     columns = eligible_columns(ds, measures)
-    for rate in ds.config["injection"]["rates"]:
+
+    def at_rate(rate: float) -> list[tuple]:
         broken, truth = inject_errors(ds, columns, n_rows, rate)
         codes = sentinel_map(broken)
         after = ablation_detections(broken, {p: detections[p].columns for p, _ in POLICIES}, codes, n_rows)
-        for policy, evidence in POLICIES:
-            m = evaluate(detections[policy], after[policy], truth)
-            rows.append((policy, evidence, float(rate), len(detections[policy].columns), m["injected_error_rows"], m["newly_flagged_rows"],
-                         m["pre_existing_flagged_rows"], m["precision"], m["recall"], m["f1"], *lock))
+        pairs = {(id(detections[p]), id(after[p])): (detections[p], after[p]) for p, _ in POLICIES}
+        metrics = dict(zip(pairs, at_once([partial(evaluate, *pair, truth) for pair in pairs.values()])))
+        found = [(policy, evidence, metrics[id(detections[policy]), id(after[policy])]) for policy, evidence in POLICIES]
+        return [(policy, evidence, float(rate), len(detections[policy].columns), m["injected_error_rows"], m["newly_flagged_rows"],
+                 m["pre_existing_flagged_rows"], m["precision"], m["recall"], m["f1"], *lock) for policy, evidence, m in found]
+
+    rows = [row for found in at_once([partial(at_rate, rate) for rate in ds.config["injection"]["rates"]]) for row in found]
     return ds.df.sparkSession.createDataFrame(
         rows, "policy string, role_evidence string, injection_rate double, n_columns long, injected_error_rows long, "
               f"newly_flagged_rows long, pre_existing_flagged_rows long, precision double, recall double, f1 double, {LOCK}")

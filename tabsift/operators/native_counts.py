@@ -72,13 +72,15 @@ def native_measures(ds: Dataset) -> tuple[list[str], DataFrame | None]:
         parts.append(dense_distinct(ds, dense).select("column", "distinct", F.lit(1).cast("long").alias("crowd"), F.lit(True).alias("integral")))
     if others:
         parts.append(grouped_distinct(ds, others))
-    zero_one = [int(s == ["0", "1"]) for s in BINARY_SETS].index(1)
-    known = [(c, rows, rows - n, n, bool(c in integers and n and low >= 0 and high <= 1)) for c, (n, low, high) in facts.items()]
-    table = ds.df.sparkSession.createDataFrame(known, "column string, freq long, missing_count long, filled long, zero_one boolean")
-    empty = table.where("filled = 0").select("column", F.lit(0).cast("long").alias("distinct"), F.lit(0).cast("long").alias("crowd"), F.lit(None).cast("boolean").alias("integral"))
-    counted = reduce(DataFrame.unionByName, [empty, *parts])
-    flags = [(F.col("zero_one") if i == zero_one else F.lit(False)).alias(f"binary_{i}") for i in range(len(BINARY_SETS))]
-    zero = F.lit(0).cast("long")
-    return list(facts), table.join(counted, "column").select(
-        "column", "freq", "missing_count", F.col("distinct").alias("distinct_count"), F.col("filled").alias("strict_count"), zero.alias("marker_count"), zero.alias("plain_dates"),
-        *flags, F.col("filled").alias("loose_count"), F.col("distinct").alias("distinct_numbers"), "crowd", "integral", zero.alias("dates"))
+    zero_one, zero = [s == ["0", "1"] for s in BINARY_SETS], F.lit(0).cast("long")
+    empty = [c for c in facts if c not in filled]
+    if empty:
+        parts.append(ds.df.sparkSession.createDataFrame([(c,) for c in empty], "column string")
+                     .select("column", zero.alias("distinct"), zero.alias("crowd"), F.lit(None).cast("boolean").alias("integral")))
+    count = F.element_at(F.create_map(*(F.lit(x) for c in facts for x in (c, facts[c][0]))), F.col("column")).cast("long")
+    coded = [c for c, (n, low, high) in facts.items() if c in integers and n and low >= 0 and high <= 1]
+    flags = [(F.col("column").isin(coded) if coded and own else F.lit(False)).alias(f"binary_{i}") for i, own in enumerate(zero_one)]
+    total = F.lit(rows).cast("long")
+    return list(facts), reduce(DataFrame.unionByName, parts).select(
+        "column", total.alias("freq"), (total - count).alias("missing_count"), F.col("distinct").alias("distinct_count"), count.alias("strict_count"),
+        zero.alias("marker_count"), zero.alias("plain_dates"), *flags, count.alias("loose_count"), F.col("distinct").alias("distinct_numbers"), "crowd", "integral", zero.alias("dates"))

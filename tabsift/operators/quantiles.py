@@ -1,6 +1,6 @@
 """Exact interpolated quantiles in two scans, which never gather a column in one place.
 
-The first scan makes a KLL sketch of every column. Its rank error brackets each wanted order statistic between two values of the column. The
+A small table is one plain aggregation. Else the first scan makes a KLL sketch of every column. Its rank error brackets each wanted order statistic between two values of the column. The
 second scan counts what lies below and on the bracket's ends and keeps the few values strictly inside. Columns that are too large for
 that, and ranks that a sketch has missed, are bracketed again inside the part that holds them, in rounds of constant state.
 """
@@ -17,6 +17,8 @@ ACCURACY = 2_000
 SKETCH, ERROR = 4_096, 2 * 2.296 / 4_096 ** 0.9021
 #: At most this many values, of all brackets together, are kept by the second scan and go to the driver.
 KEPT = 500_000
+#: Tables of at most so many rows are one aggregation.
+FEW = 25_000
 #: Among so few values all are kept; among more, a sketch's error spans more than two ranks.
 SMALL = 2_000
 
@@ -66,6 +68,9 @@ def quantile_groups(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]
         return F.when(~F.isnan(x), x)
 
     values = df.select(*[number(wanted[n][0]).alias(f"x{i}") for i, n in enumerate(names)])
+    if kept >= FEW and values.limit(FEW + 1).count() <= FEW:               # so few rows that their values may lie in one hash map
+        row = values.agg(*[F.percentile(f"x{i}", F.array(*[F.lit(float(s)) for s in wanted[n][1]])).alias(f"p{i}") for i, n in enumerate(names)]).first()
+        return {n: row[f"p{i}"] or [None] * len(wanted[n][1]) for i, n in enumerate(names)}
     sketched = values.agg(*[a for i in range(len(names)) for a in (F.count(f"x{i}").alias(f"n{i}"), F.min(f"x{i}").alias(f"min{i}"), F.max(f"x{i}").alias(f"max{i}"),
                                                                  F.kll_sketch_agg_double(f"x{i}", F.lit(SKETCH)).alias(f"s{i}"))])
 

@@ -11,7 +11,7 @@ from threading import Lock
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabsift.config import CONFIG, DATA_EXTENSIONS, DOCUMENTATION_COMPONENTS, LOADABLE_EXTENSIONS, STANDARDISATION_COMPONENTS
-from tabsift.dataset import Dataset, small_table, with_row_id
+from tabsift.dataset import Dataset, at_once, small_table, with_row_id
 from tabsift.functions import exprs as X
 from tabsift.operators import accuracy, anomaly, injection, missing, privacy, reuse, roles, scoring, triage
 from tabsift.operators.frequency import column_measures
@@ -99,17 +99,13 @@ def assess(ds: Dataset, evidence: DataFrame | None = None, confirmed: DataFrame
     selection = roles.check_selection(p.semantic, ds.metadata, config)
     comparison = roles.compare_profiles(p.semantic, p.uniform)
 
-    miss = small_table(missing.missingness(ds, p.sentinels))
-    c_components = small_table(missing.completeness_components(ds, p.sentinels))
-    a_issues, a_scores = accuracy_issues(p)
-    generic = anomaly.detect(ds, p.policies["uniform_dtype_routing"], p.sentinels, False, n_rows)
-    if evaluate:
-        ablation = injection.ablation_detections(ds, p.policies, p.sentinels, n_rows)
-        semantic = ablation["transformer_augmented_routing"]
-    else:
-        semantic = anomaly.detect(ds, p.policies["transformer_augmented_routing"], p.sentinels, True, n_rows)
+    routed = p.policies if evaluate else dict.fromkeys(p.policies, p.policies["transformer_augmented_routing"])
+    miss, c_components, (a_issues, a_scores), generic, ablation, ready = at_once([
+        lambda: small_table(missing.missingness(ds, p.sentinels)), lambda: small_table(missing.completeness_components(ds, p.sentinels)), lambda: accuracy_issues(p),
+        lambda: anomaly.detect(ds, p.policies["uniform_dtype_routing"], p.sentinels, False, n_rows),
+        lambda: injection.ablation_detections(ds, routed, p.sentinels, n_rows), lambda: readiness(p, confirmed)])
+    semantic = ablation["transformer_augmented_routing"]
     policies = anomaly.policy_comparison(spark, generic, semantic)
-    ready = readiness(p, confirmed)
 
     values = {k: v.first()["score"] for k, v in a_scores.items()}
     confidence = p.semantic.agg(F.coalesce(F.avg("role_confidence"), F.lit(1.0)).alias("c")).first()["c"]

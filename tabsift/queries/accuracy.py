@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tabsift.config import ANOMALY_ROLES, CATEGORY_ROLES, CONFIG, with_config
-from tabsift.dataset import cut_lineage
+from tabsift.dataset import at_once, cut_lineage
 from tabsift.functions import exprs as X
 from tabsift.operators import accuracy, anomaly, injection, missing, privacy, roles, triage
 from tabsift.operators.frequency import column_measures
@@ -346,7 +346,8 @@ add("join_before_after_flags", m_sql(*ALL, select="SELECT row_id, predicted FROM
 
 def _confusion(s, d):
     ds, bad, truth = broken(s, d)
-    m = injection.evaluate(anomaly.detect(ds, M_COLS, {}, True), anomaly.detect(bad, M_COLS, {}, True), truth)
+    before, after = at_once([lambda: anomaly.detect(ds, M_COLS, {}, True), lambda: anomaly.detect(bad, M_COLS, {}, True)])
+    m = injection.evaluate(before, after, truth)
     return s.createDataFrame([(m["precision"], m["recall"], m["f1"], m["newly_flagged_rows"], m["injected_error_rows"], m["pre_existing_flagged_rows"])],
                              "precision double, recall double, f1 double, newly_flagged_rows long, injected_error_rows long, pre_existing_flagged_rows long")
 
@@ -365,8 +366,8 @@ def _controlled(s, d):
         x = profile(ds, infer=False)
         return column_measures(ds).collect(), x.sentinels, x.policies
 
-    before = {"generic": anomaly.detect(p.ds, p.policies["uniform_dtype_routing"], p.sentinels, False, n),
-              "semantic": anomaly.detect(p.ds, p.policies["transformer_augmented_routing"], p.sentinels, True, n)}
+    before = dict(zip(("generic", "semantic"), at_once([lambda: anomaly.detect(p.ds, p.policies["uniform_dtype_routing"], p.sentinels, False, n),
+                                                        lambda: anomaly.detect(p.ds, p.policies["transformer_augmented_routing"], p.sentinels, True, n)])))
     return injection.controlled_error_baseline(p.ds, again, n, before)
 
 

@@ -178,16 +178,23 @@ add("src_result_table", S.with_ctes(S.clean("cohort"), select=S.finish(f"SELECT
 
 
 def _status(s, d):
-    def count(ds):
-        return lambda: accuracy.duplicate_rows(ds.df, ds.columns).first()["n_rows"]
-
-    def fail():
-        raise ValueError("unreadable dataset")
-
-    status, results = run_each(s, {"cohort": count(T.cohort(s, d)), "unreadable": fail, "visits": count(T.visits(s, d))})
+    """Three files of a folder: orders, visits with one row that has a cell too many, and one of a type that can't be read."""
+    def count(path):
+        return lambda: load_file(s, path)[0].count()
+
+    base = target(s, "status")
+    T.table(s, d, "orders").select("o_orderkey", "o_orderpriority").write.option("header", True).csv(f"{base}/good.csv")
+    rows = T.visits(s, d).df.select(F.concat_ws(",", F.col("row_id").cast("string"), "cust_code", F.when(F.col("row_id") == LAST, F.lit("one,too,many"))).alias("value"), "row_id")
+    head = s.createDataFrame([("id,code", -1)], "value string, row_id long")
+    head.unionByName(rows).coalesce(1).orderBy("row_id").select("value").write.text(f"{base}/ragged.csv")
+    T.table(s, d, "nation").select("n_name").write.text(f"{base}/book.xlsx")
+    status, results = run_each(s, {n: count(f"{base}/{n}") for n in ("good.csv", "ragged.csv", "book.xlsx")})
     sizes = s.createDataFrame(list(results.items()), "dataset string, n_rows long")
     return status.join(sizes, "dataset", "left")
 
 
-add("catalog_status", "SELECT 'cohort' AS dataset, 'ok' AS status, NULL::VARCHAR AS error, (SELECT count(*) FROM customer) AS n_rows UNION ALL SELECT 'visits', 'ok', NULL, (SELECT count(*) FROM orders) "
-                      "UNION ALL SELECT 'unreadable', 'failed', 'ValueError: unreadable dataset', NULL", _status)
+#: The order whose row is ragged.
+LAST = 5
+add("catalog_status", "SELECT 'good.csv' AS dataset, 'ok' AS status, NULL::VARCHAR AS error, (SELECT count(*) FROM orders) AS n_rows "
+    f"UNION ALL SELECT 'ragged.csv', 'failed', 'RaggedFile: ragged.csv: the row that starts with ''{LAST}'' has more than 2 cells', NULL "
+    "UNION ALL SELECT 'book.xlsx', 'failed', 'ValueError: book.xlsx: files of type .xlsx can''t be read', NULL", _status)

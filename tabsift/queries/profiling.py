@@ -58,15 +58,25 @@ add("norm_technical_missing", S.with_ctes(S.clean("cohort"), select=S.finish("SE
 def _mask(s, d):
     ds = T.cohort(s, d)
     codes = missing.sentinel_map(ds)
-    return ds.df.select("row_id", *[missing.unusable(ds, c, codes).alias(c) for c in S.DATASETS["cohort"]["text"]])
+    return ds.df.select("row_id", *[missing.unusable(ds, c, codes).alias(c) for c in S.DATASETS["cohort"]["columns"]])
 
 
 add("semantic_unusable_mask", over("cohort", select="SELECT row_id, " + ", ".join(
-    f"{S.unusable('cohort', c)} AS {c}" for c in S.DATASETS["cohort"]["text"]) + " FROM cohort"), _mask)
+    f"{S.unusable('cohort', c)} AS {c}" for c in S.DATASETS["cohort"]["columns"]) + " FROM cohort"), _mask)
 
-add("value_counts", over("cohort", select=S.finish('SELECT "column", norm AS token, sum(freq) AS freq FROM cohort_val WHERE value IS NOT NULL '
-                                                   "AND \"column\" <> 'balance_value' GROUP BY 1, 2", ints="freq")),
-    lambda s, d: frequency.value_counts(T.cohort(s, d), [c for c in T.cohort(s, d).columns if c != "balance_value"]))
+
+def as_decimal(column: str):
+    """Balances as decimals, as engines print doubles in ways of their own; other values as they are."""
+    return F.when(F.col("column") == "balance_value", F.col(column).try_cast("decimal(20,2)").cast("string")).otherwise(F.col(column)).alias(column)
+
+
+def decimal_sql(column: str) -> str:
+    return f"CASE WHEN \"column\" = 'balance_value' THEN CAST(TRY_CAST({column} AS DECIMAL(20,2)) AS VARCHAR) ELSE {column} END AS {column}"
+
+
+
+add("value_counts", over("cohort", select=S.finish(f'SELECT "column", {decimal_sql("token")}, freq FROM (SELECT "column", norm AS token, sum(freq) AS freq FROM cohort_val WHERE value IS NOT NULL GROUP BY 1, 2)', ints="freq")),
+    lambda s, d: frequency.value_counts(T.cohort(s, d)).select("column", as_decimal("token"), "freq"))
 
 PROFILE = ('SELECT @ AS dataset, "column", missing_count, ' + S.div("missing_count", "n_rows") + " AS missing_rate, distinct_count AS unique_count, "
            + S.div("distinct_count", "n_rows") + " AS unique_rate, " + S.div("strict_count", "non_missing") + " AS non_missing_numeric_rate FROM $_stats")
@@ -135,14 +145,14 @@ add("known_marker_difference", over("cohort", "visits", select=both(
     f'SELECT @ AS dataset, "column", token FROM $_codes WHERE token NOT IN {S.names(sorted({m.strip().lower() for m in S.TECHNICAL_MARKERS + S.SEMANTIC_MARKERS}))} '
     'AND "column" IN (SELECT "column" FROM $_accepted)')), labelled(lambda ds: missing.detect_sentinels(ds).select("column", "token")))
 
-add("antijoin_sentinel_values", over("cohort", select=" UNION ALL ".join(
-    f"SELECT row_id, '{c}' AS \"column\", {c} AS value FROM cohort WHERE {c} IS NOT NULL AND {S.norm(c)} NOT IN (SELECT token FROM cohort_sentinels WHERE \"column\" = '{c}')"
-    for c in S.DATASETS["cohort"]["text"])),
-    lambda s, d: missing.without_sentinels(T.cohort(s, d), missing.detect_sentinels(T.cohort(s, d)), S.DATASETS["cohort"]["text"]).select("row_id", "column", "value"))
+add("antijoin_sentinel_values", over("cohort", select=f'SELECT row_id, "column", {decimal_sql("value")} FROM (' + " UNION ALL ".join(
+    f"SELECT row_id, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM cohort WHERE {c} IS NOT NULL AND {S.norm(f'CAST({c} AS VARCHAR)')} NOT IN (SELECT token FROM cohort_sentinels WHERE \"column\" = '{c}')"
+    for c in S.DATASETS["cohort"]["columns"]) + ")"),
+    lambda s, d: missing.without_sentinels(T.cohort(s, d), missing.detect_sentinels(T.cohort(s, d)), S.DATASETS["cohort"]["columns"]).select("row_id", "column", as_decimal("value")))
 
-NUMBERS = [c for c in S.DATASETS["cohort"]["text"] if c not in ("subject_id", "sex", "grp", "visit_note", "segment")]
+NUMBERS = S.DATASETS["cohort"]["columns"]
 add("fn_numeric_series", over("cohort", select="SELECT row_id, " + ", ".join(
-    f"round(CASE WHEN {S.norm(c)} IN (SELECT token FROM cohort_sentinels WHERE \"column\" = '{c}') THEN NULL ELSE {S.loose(c)} END, 6) AS {c}"
+    f"round(CASE WHEN {S.norm(f'CAST({c} AS VARCHAR)')} IN (SELECT token FROM cohort_sentinels WHERE \"column\" = '{c}') THEN NULL ELSE {S.loose(c) if c in S.DATASETS['cohort']['text'] else f'CAST({c} AS DOUBLE)'} END, 6) AS {c}"
     for c in NUMBERS) + " FROM cohort"), lambda s, d: _numeric(T.cohort(s, d)))
 
 
@@ -208,9 +218,8 @@ add("key_like", over("cohort", "visits", select=both('SELECT @ AS dataset, "colu
     labelled(lambda ds: frequency.column_measures(ds).select("column", "key_like")))
 add("binary_test", over("cohort", "visits", select=both('SELECT @ AS dataset, "column", is_binary FROM $_stats')),
     labelled(lambda ds: frequency.column_measures(ds).select("column", "is_binary")))
-SAMPLE_COLUMNS = [c for c in S.DATASETS["cohort"]["columns"] if c != "balance_value"]
-add("sample_values", over("cohort", select=S.finish(f'SELECT "column", position, value FROM cohort_samples WHERE position <= 5 AND "column" IN {S.names(SAMPLE_COLUMNS)}', ints="position")),
-    lambda s, d: frequency.first_values(T.cohort(s, d), 5, SAMPLE_COLUMNS))
+add("sample_values", over("cohort", select=S.finish(f'SELECT "column", position, {decimal_sql("value")} FROM cohort_samples WHERE position <= 5', ints="position")),
+    lambda s, d: frequency.first_values(T.cohort(s, d), 5).select("column", "position", as_decimal("value")))
 
 # --- roles ---------------------------------------------------------------------------------------
 ROLED = ("cohort", "visits", "stays")

@@ -133,13 +133,15 @@ chosen AS (SELECT * FROM first UNION ALL SELECT * FROM second UNION ALL SELECT *
 
 def _sample(s, d):
     ds = T.measures(s, d, config=QA.PLAIN)
-    return triage.review_sample(ds, anomaly.detect(ds, M, {}, True).flags).drop("row_values_json")
+    out = triage.review_sample(ds, anomaly.detect(ds, M, {}, True).flags)
+    values = F.from_json("row_values_json", ", ".join(f"{c} double" for c in M))               # the row's JSON, read back
+    return out.withColumn("row", values).select(*[c for c in out.columns if c != "row_values_json"], "row.*")
 
 
 add("review_sample", QA.m_sql(QA.QUANT, QA.FLAGS, QA.ENS, SAMPLE, select=(
     "SELECT row_id AS row_index, CASE WHEN anomalous AND incomplete THEN 'semantic_ai_anomaly_candidate+incomplete_record' WHEN anomalous THEN 'semantic_ai_anomaly_candidate' "
     "WHEN incomplete THEN 'incomplete_record' ELSE 'control_record' END AS candidate_source, '' AS manual_decision, 'true_issue | valid_extreme | false_positive | uncertain_requires_domain_review' AS allowed_decisions, "
-    "'' AS reviewer, '' AS rationale FROM chosen")), _sample)
+    "'' AS reviewer, '' AS rationale, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in M) + " FROM chosen JOIN measures USING (row_id)")), _sample)
 
 # --- best detector, comparison, findings ---------------------------------------------------------
 def _best(s, d):
@@ -204,18 +206,29 @@ add("findings_role_counts", over("cohort", extra=(SELECTION,), select=S.finish("
 
 
 def _criteria(s, d):
-    """Verdict over the tables that exist; the controlled-error table is left out, so that criterion fails."""
+    """The verdict over all tables, and over a run that left only an empty selection; of each criterion that can fail both answers are reached."""
     p, compared, policies, miss, docs = tables(s, d)
-    have = {"rq1_check_selection_map": QP.selection(s, d), "rq3_quality_profile": None, "hitl_triage_register": register(s, d),
-            "rq2_semantic_vs_uniform": scoring.semantic_vs_uniform(compared, policies, miss, docs), "anomaly_baseline_comparison": policies}
-    return findings.criteria(findings.criteria_met(have), s)
-
-
-add("findings_criteria", over("cohort", extra=(SELECTION,), select=(
-    "SELECT *, bool_and(met) OVER () AS aim_met FROM (" + " UNION ALL ".join(
-        f"SELECT {S.quote(k)} AS id, {S.quote(label)} AS label, " + {"RQ1": "(SELECT count(DISTINCT semantic_role) >= 1 FROM selection)", "RQ2": "(SELECT count(*) > 0 FROM selection)",
-                                                                    "RQ3": "false", "HITL": "(SELECT count(*) > 0 FROM cohort)", "EVAL": "false", "SCOPE": "true"}[k] + " AS met"
-        for k, label in findings.CRITERIA) + ")")), _criteria)
+    score = missing.completeness_components(p.ds, p.sentinels).agg(X.clip01(F.sum("weighted_score")).alias("C(D)"))
+    one = F.lit(1).alias("one")
+    quality = (score.select("*", one).join(policies.agg(F.max("A_anomaly_score").alias("A(D)")).select("*", one), "one")
+               .join(docs.agg(F.max("R_score").alias("R(D)")).select("*", one), "one").drop("one"))
+    have = {"rq1_check_selection_map": QP.selection(s, d), "rq3_quality_profile": quality, "hitl_triage_register": register(s, d),
+            "rq2_semantic_vs_uniform": scoring.semantic_vs_uniform(compared, policies, miss, docs), "anomaly_baseline_comparison": policies,
+            "controlled_error_baseline": _best(s, d)}
+    bare = {"rq1_check_selection_map": QP.selection(s, d).limit(0), "rq3_quality_profile": score}
+    both = [findings.criteria(findings.criteria_met(x), s).withColumn("run", F.lit(name)) for name, x in (("complete", have), ("bare", bare))]
+    return both[0].unionByName(both[1])
+
+
+def criteria_sql(run: str, answers: dict[str, str]) -> str:
+    return f"SELECT *, bool_and(met) OVER () AS aim_met, '{run}' AS run FROM (" + " UNION ALL ".join(
+        f"SELECT {S.quote(k)} AS id, {S.quote(label)} AS label, {answers[k]} AS met" for k, label in findings.CRITERIA) + ")"
+
+
+FOUND = {"RQ1": "(SELECT count(DISTINCT semantic_role) >= 1 FROM selection)", "RQ2": "(SELECT count(*) > 0 FROM selection)", "RQ3": "(SELECT count(*) > 0 FROM cohort)",
+         "HITL": "(SELECT count(*) > 0 FROM cohort)", "EVAL": "(SELECT count(*) > 0 FROM measures)", "SCOPE": "true"}
+add("findings_criteria", over("cohort", extra=(SELECTION, S.clean("measures")), select=criteria_sql("complete", FOUND) + " UNION ALL "
+    + criteria_sql("bare", {k: "true" if k == "SCOPE" else "(SELECT count(*) < 0 FROM selection)" for k in FOUND})), _criteria)
 
 
 # --- the profile of every dataset ----------------------------------------------------------------
