@@ -62,10 +62,15 @@ add("fn_canonical_category", f"SELECT grp, {S.canon('grp')} AS canon, count(*) A
 add("fn_date_like", f"SELECT row_id, regexp_matches(admission_date, {S.quote(S.DATE_LIKE)}) AS date_like FROM ({T.VISITS})",
     lambda s, d: VISITS(s, d).select("row_id", X.date_like(F.col("admission_date")).alias("date_like")))
 
-RATED = [F.col("date_rate"), (F.col("date_rate") >= 0.80).alias("uniform_date"), (F.col("date_rate") >= 0.60).alias("semantic_date")]
+
+
+def rated(ds):
+    return column_measures(ds).select("column", "date_rate", (F.col("date_rate") >= 0.80).alias("uniform_date"), (F.col("date_rate") >= 0.60).alias("semantic_date"))
+
+
 add("fn_parse_date_rate", S.with_ctes(*(c for n in ("visits", "stays") for c in (S.clean(n), S.statistics(n))), select=S.finish(
     " UNION ALL ".join(f'SELECT "column", date_rate, date_rate >= 0.80 AS uniform_date, date_rate >= 0.60 AS semantic_date FROM {n}_stats' for n in ("visits", "stays")), "date_rate")),
-    lambda s, d: column_measures(T.visits(s, d)).select("column", *RATED).unionByName(column_measures(T.stays(s, d)).select("column", *RATED)))
+    lambda s, d: rated(T.visits(s, d)).unionByName(rated(T.stays(s, d))))
 
 add("fn_tokenize_stem",
     "SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(url), '[^a-z0-9]+'), lambda t: length(t) > 1))), ' ') AS tokens FROM pages",

@@ -52,3 +52,15 @@ def test_query_equals_sql(spark, name):
 def test_every_statement_has_a_query():
     queries, oracles = collect()
     assert set(oracles) <= set(queries) and len(queries) >= 145
+
+
+def test_queries_are_listed_without_a_session():
+    """Tools read the names before Spark starts."""
+    import subprocess
+    import sys
+    from pathlib import Path
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+    queries, statements = map(int, done.stdout.split())
+    assert queries >= statements > 140
