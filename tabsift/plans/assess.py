@@ -6,7 +6,6 @@ import re
 from collections import Counter, defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,7 +14,7 @@ from tabsift.dataset import Dataset, at_once, small_table, with_row_id
 from tabsift.functions import exprs as X
 from tabsift.operators import accuracy, anomaly, injection, missing, privacy, reuse, roles, scoring, triage
 from tabsift.operators.frequency import column_measures
-from tabsift.sources import files, tables
+from tabsift.sources import commits, files
 
 
 @dataclass(frozen=True)
@@ -180,11 +179,6 @@ def evaluation(p: Profiled, evidence: DataFrame | None, n_rows: int, generic: an
             "routing_ablation_contrasts": injection.ablation_contrasts(burden)}
 
 
-def write_results(result: dict[str, DataFrame], base: str) -> None:
-    for name, df in result.items():
-        tables.write_table(df, base, name)
-
-
 STATUS = "dataset string, status string, error string"
 
 
@@ -243,30 +237,30 @@ def dataset_names(names: list[str]) -> dict[str, str]:
 
 
 def assess_folder(spark: SparkSession, data_dir: str, metadata_dir: str | None, output: str, config: dict | None = None) -> DataFrame:
-    """Assess every accepted file of a folder, write all tables, and answer one status row per file."""
+    """Assess every accepted file of a folder, write all tables, and answer one status row per file.
+
+    A dataset's tables become visible together. A dataset whose file, metadata and configuration are those of its tables is finished and not assessed again,
+    so a run that was stopped goes on where it stopped.
+    """
     config = config or CONFIG
     found = files.list_datasets(files.folder_listing(spark, data_dir), cap=config["max_datasets"]).collect()
     called = dataset_names([row["name"] for row in found])
     paths = {called[row["name"]]: row["path"] for row in found}
     metadata = attached_metadata(spark, list(paths), metadata_dir) if metadata_dir else {}
+    done = commits.finished(spark, output)
 
     def job(name, path):
         def run():
+            source = commits.fingerprint(spark, path, config, metadata.get(name))
+            if done.get(name) == source:
+                return
             df, note = load_file(spark, path)
             ds = Dataset.of(name, with_row_id(df), "row_id", metadata.get(name), config, note)
             result = assess(ds)
-            with WRITING:                           # result tables take one dataset after the other
-                write_results(result, output)
-            return result["rq3_quality_profile"]
+            commits.commit(spark, output, name, {**result, "all_dataset_quality_profiles": result["rq3_quality_profile"]}, source)
         return run
 
-    status, profiles = run_each(spark, {name: job(name, path) for name, path in paths.items()}, WORKERS)
-    if profiles:
-        tables.write_table(tables.union_profiles(list(profiles.values())), output, "all_dataset_quality_profiles")
-    return status
-
-
-WRITING = Lock()
+    return run_each(spark, {name: job(name, path) for name, path in paths.items()}, WORKERS)[0]
 
 
 def attached_metadata(spark: SparkSession, names: list[str], folder: str) -> dict[str, dict]:

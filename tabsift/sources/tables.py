@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabsift.sources.commits import committed
+
 
 def write_table(df: DataFrame, base: str, table: str, fmt: str = "parquet") -> str:
     """One directory per dataset; only the partitions present in ``df`` are replaced."""
@@ -18,9 +20,11 @@ def write_table(df: DataFrame, base: str, table: str, fmt: str = "parquet") -> s
 
 
 def read_table(spark: SparkSession, base: str, table: str, fmt: str = "parquet") -> DataFrame | None:
-    """The table, or None where it is missing or empty."""
+    """The table, as committed or else as written by :func:`write_table`, or None where it is missing or empty."""
     try:
-        df = spark.read.option("header", True).format(fmt).load(f"{base}/{table}")
+        df = committed(spark, base, table)
+        if df is None:
+            df = spark.read.option("header", True).format(fmt).load(f"{base}/{table}")
         return None if df.isEmpty() else df
     except AnalysisException:
         return None
