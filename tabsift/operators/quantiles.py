@@ -68,7 +68,7 @@ def quantile_groups(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]
         return F.when(~F.isnan(x), x)
 
     values = df.select(*[number(wanted[n][0]).alias(f"x{i}") for i, n in enumerate(names)])
-    if kept >= FEW and values.limit(FEW + 1).count() <= FEW:               # so few rows that their values may lie in one hash map
+    if kept >= FEW and len(df.select(F.lit(1)).take(FEW + 1)) <= FEW:       # so few rows that their values may lie in one hash map; a large table is only begun
         row = values.agg(*[F.percentile(f"x{i}", F.array(*[F.lit(float(s)) for s in wanted[n][1]])).alias(f"p{i}") for i, n in enumerate(names)]).first()
         return {n: row[f"p{i}"] or [None] * len(wanted[n][1]) for i, n in enumerate(names)}
     sketched = values.agg(*[a for i in range(len(names)) for a in (F.count(f"x{i}").alias(f"n{i}"), F.min(f"x{i}").alias(f"min{i}"), F.max(f"x{i}").alias(f"max{i}"),

@@ -96,7 +96,7 @@ def test_quantiles_of_all_columns_are_two_scans(spark):
     shares, scheduler = [0.25, 0.5, 0.75, 0.99], spark.sparkContext._jsc.sc().dagScheduler()
     before = scheduler.nextJobId()
     got = exact_quantiles(df, {c: F.col(c) for c in df.columns}, shares)
-    assert scheduler.nextJobId() - before <= 4                                # two aggregations; each may be two jobs
+    assert scheduler.nextJobId() - before <= 6                                # a look at the table's beginning and two aggregations; each may be two jobs
     assert all(np.allclose(got[c], np.quantile(x[:, i], shares)) for i, c in enumerate(df.columns) if c != "d")
     assert got["d"][:3] == [0.0, 0.0, 0.0] and got["d"][3] in (0.0, np.inf)
 
