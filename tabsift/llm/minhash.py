@@ -120,33 +120,26 @@ def _confirm(batches, size: int, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare_blocks(table: pa.Table, size: int, percent: int) -> pa.Table:
-    """Links between the members of one or two blocks of one candidate group that aren't in one component yet.
+def _likely(table: pa.Table, percent: int) -> tuple[list[tuple[float, int, int]], list, list]:
+    """Pairs of rows across components, between the two blocks of one candidate group, that neither set sizes nor the bit estimate exclude.
 
-    A pair that shares several bands is looked at in the first only. Pairs that links found here already join are skipped.
+    A pair that shares several bands is looked at in the first only. Also the nodes and components by row.
     """
-    table = table.combine_chunks()
     nodes, blocks = table.column("node").to_pylist(), table.column("block").to_numpy()
     comps, i, j = table.column("component").to_pylist(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
     keys = table.column("bands").combine_chunks().values.to_numpy().reshape(len(nodes), BANDS)
     planes = table.column("planes").combine_chunks().values.to_numpy().view(np.uint64).reshape(len(nodes), BITS, WORDS)
+    sizes = table.column("n").to_numpy()
     band = int(np.argmax(keys[0] == table.column("key")[0].as_py()))
-    names = {c: k for k, c in enumerate(dict.fromkeys(comps))}
-    own = np.array([names[c] for c in comps])
-    parent = list(range(len(names)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    names = {c: k for k, c in enumerate(dict.fromkeys(map(repr, comps)))}
+    own = np.array([names[repr(c)] for c in comps])
     left = np.flatnonzero(blocks == i)
     right = left if i == j else np.flatnonzero(blocks == j)
     found = []
     for x in left:
         near = right[right > x] if i == j else right
         near = near[own[near] != own[x]]
+        near = near[100 * np.minimum(sizes[near], sizes[x]) >= percent * np.maximum(sizes[near], sizes[x])]
         if len(near):
             differ = np.bitwise_or.reduce(planes[near] ^ planes[x], axis=1)
             equal = 1 - np.bitwise_count(differ).sum(axis=1) / MINIMA
@@ -154,31 +147,78 @@ def _compare_blocks(table: pa.Table, size: int, percent: int) -> pa.Table:
             near, guess = near[guess >= least_estimate(percent)], guess[guess >= least_estimate(percent)]
             first = np.argmax(keys[near] == keys[x], axis=1) == band if len(near) else np.empty(0, dtype=bool)
             found += [(g, x, y) for g, y in zip(guess[first], near[first])]
-    out = []
-    if found:
-        used = sorted({x for _, *p in found for x in p})
-        sets = dict(zip(used, _sets(table.column("text").combine_chunks().take(pa.array(used)), size)))
-        for _, x, y in sorted(found, key=lambda f: -f[0]):
-            if root(own[x]) != root(own[y]) and _similar(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y]), percent):
-                parent[root(own[x])] = root(own[y])
-                out.append((nodes[x], nodes[y]))
+    return found, nodes, own.tolist()
+
+
+def _worth_reading(table: pa.Table, percent: int) -> pa.Table:
+    """Of one block pair, the nodes of likely pairs: only their texts are fetched."""
+    found, nodes, _ = _likely(table.combine_chunks(), percent)
+    used = sorted({x for _, *p in found for x in p})
+    return table.select(["key", "i", "j", "node"]).take(pa.array(used, pa.int64()))
+
+
+def _compare_blocks(table: pa.Table, size: int, percent: int) -> pa.Table:
+    """Links between the likely pairs of one block pair, by full sets. Pairs that links found here already join are skipped."""
+    table = table.combine_chunks()
+    found, nodes, own = _likely(table, percent)
+    parent = list(range(len(nodes)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sets, out = _sets(table.column("text").combine_chunks(), size) if found else [], []
+    for _, x, y in sorted(found, key=lambda f: -f[0]):
+        if root(own[x]) != root(own[y]) and _similar(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y]), percent):
+            parent[root(own[x])] = root(own[y])
+            out.append((nodes[x], nodes[y]))
     kind = table.schema.field("node").type
     return pa.table({"a": pa.array([a for a, _ in out], kind), "b": pa.array([b for _, b in out], kind)})
 
 
+def _nodes(sig: DataFrame) -> DataFrame:
+    """(node, digest, bands, planes, n): the smallest id of each class of equal sets."""
+    return (sig.filter("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "bands", "planes", "n")).alias("r"))
+            .select(F.col("r.id").alias("node"), "digest", "r.bands", "r.planes", "r.n"))
+
+
 def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Band rows (key, node), and the keys of two or more nodes with their smallest node."""
     bands = reps.select("node", F.explode("bands").alias("key"))
     return bands, bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
 
 
+def _block_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, component, block, i, j): members of candidate groups that aren't one component, once for each pair of blocks they take part in."""
+    known = members.filter("size > 2").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    parts = known.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
+        F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all")).filter("all > top.c")
+    plan = parts.select("key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("p"),
+                        F.ceil(F.col("top.c") / BLOCK).cast("int").alias("q"))
+    spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
+    return (known.join(plan, "key").withColumn("stray", F.col("component") != F.col("main"))
+            .withColumn("block", F.when(F.col("stray"), F.pmod(spread, "p")).otherwise(F.col("p") + F.pmod(spread, "q")))
+            .withColumn("other", F.explode(F.expr("sequence(0, if(stray, p + q, p) - 1)")))
+            .select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+
+
+def _readers(placed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(key, i, j, node): for each block pair the members whose texts have to be read."""
+    kind = reps.schema["node"].dataType.simpleString()
+    return (placed.join(reps.drop("digest"), "node").groupBy("key", "i", "j")
+            .applyInArrow(lambda t: _worth_reading(t, percent), f"key long, i int, j int, node {kind}"))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Words are runs of other bytes than 0x20 and 0x09-0x0D, A-Z lowered. Equal sets are one class and enter as one node. In every
     candidate group, all members are compared with its smallest node first. Groups whose other members don't form one component after
     that are compared in blocks of bounded size, only across components, so no link that changes a component is left out and a large
-    group of copies costs as many comparisons as it has members. Links are confirmed on full sets.
+    group of copies costs as many comparisons as it has members. Blocks hold set sizes and packed bits; texts are fetched only for the
+    members of pairs that these don't exclude, so texts that merely share a template are never copied. Links are confirmed on full sets.
 
     Null, empty and blank texts have no shingles and are linked with nothing. A text of fewer words than a shingle is one shingle.
     Rows that repeat an id and text repeat the result. Two texts under one id are told apart, but are one node if that id is the smallest of both
@@ -188,36 +228,26 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = pick(docs, id=id_col, text=text_col)
     sig = cut_lineage(signatures(rows, size))
     texts = rows.filter("id is not null and text is not null")
-    reps = cut_lineage(sig.filter("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "bands", "planes")).alias("r"))
-                       .select(F.col("r.id").alias("node"), "digest", "r.bands", "r.planes"))
+    reps = cut_lineage(_nodes(sig))
     bands, buckets = _candidates(reps)
     buckets = cut_lineage(buckets)
     members = cut_lineage(bands.join(buckets, "key").filter("node != leader"))
     low = least_estimate(percent)
-    side = lambda s: reps.select(F.col("node").alias(s), F.col("digest").alias(f"{s}_digest"), F.col("planes").alias(f"{s}_planes"))
+    side = lambda s: reps.select(F.col("node").alias(s), F.col("digest").alias(f"{s}_digest"), F.col("planes").alias(f"{s}_planes"), F.col("n").alias(f"{s}_n"))
+    sizes_fit = F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n")
     text = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"{s}_text"))
     likely = (members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-              .filter(estimate("a_planes", "b_planes") >= low).drop("a_planes", "b_planes"))
+              .filter(sizes_fit & (estimate("a_planes", "b_planes") >= low)).drop("a_planes", "b_planes", "a_n", "b_n"))
     kind = sig.schema["id"].dataType.simpleString()
     links = cut_lineage(likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(lambda b: _confirm(b, size, percent), f"a {kind}, b {kind}"))
     labels = connected(links, "a", "b")
 
-    known = members.filter("size > 2").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    parts = known.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
-        F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all")).filter("all > top.c")
-    plan = parts.select("key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("p"),
-                        F.ceil(F.col("top.c") / BLOCK).cast("int").alias("q"))
-    spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
-    placed = (known.join(plan, "key").withColumn("stray", F.col("component") != F.col("main"))
-              .withColumn("block", F.when(F.col("stray"), F.pmod(spread, "p")).otherwise(F.col("p") + F.pmod(spread, "q")))
-              .withColumn("other", F.explode(F.expr("sequence(0, if(stray, p + q, p) - 1)")))
-              .select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    full = texts.join(reps.select(F.col("node").alias("id"), "digest", "bands", "planes"), "id")
-    placed = cut_lineage(placed)
-    needed = placed.select(F.col("node").alias("id")).distinct()
-    full = full.join(needed, "id", "left_semi")
-    full = full.mapInArrow(lambda b: _own_text(b, size), full.schema)
-    more = (placed.join(full.withColumnRenamed("id", "node"), "node").groupBy("key", "i", "j")
+    placed = cut_lineage(_block_pairs(members, labels))
+    asked = cut_lineage(_readers(placed, reps, percent))
+    needed = asked.select(F.col("node").alias("id")).distinct()
+    full = texts.join(reps.withColumnRenamed("node", "id"), "id").join(needed, "id", "left_semi")
+    full = full.mapInArrow(lambda b: _own_text(b, size), full.schema).withColumnRenamed("id", "node").dropDuplicates(["node", "digest"])
+    more = (placed.join(asked, ["key", "i", "j", "node"], "left_semi").join(full, "node").groupBy("key", "i", "j")
             .applyInArrow(lambda t: _compare_blocks(t, size, percent), f"a {kind}, b {kind}"))
     more = cut_lineage(more)
     if more.take(1):

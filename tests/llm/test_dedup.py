@@ -152,6 +152,36 @@ def test_large_candidate_groups_are_split_into_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == brute_groups(rows)
 
 
+def test_texts_of_a_shared_template_are_not_read(spark, monkeypatch):
+    """Texts that share two thirds of their words are candidates of each other, but no block fetches their texts."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    template = " ".join(f"t{k}" for k in range(200))
+    rows = [(i, template + " " + " ".join(f"own{i}x{k}" for k in range(100))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    minhash.ship(spark)
+    reps = minhash._nodes(minhash.signatures(df)).cache()
+    bands, buckets = minhash._candidates(reps)
+    members = bands.join(buckets, "key").filter("node != leader")
+    placed = minhash._block_pairs(members, spark.createDataFrame([], "node long, component long")).cache()
+    assert placed.count() > 3000 and minhash._readers(placed, reps, 80).count() == 0
+    assert {r.component_id for r in near_duplicate_groups(df, "id", percent=80).collect()} == set(range(300))
+
+
+def test_two_texts_under_one_id_in_blocks(spark, monkeypatch):
+    """An id that stands for two classes keeps the links of both, also where blocks find them; repeated rows change nothing."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    rows = copies(seed=8, families=2, size=40)
+    low = min(i for i, _ in rows) - 1
+    rows = [(low, rows[0][1]), (low, rows[-1][1])] + rows
+    out = {(r.doc_id, r.component_id) for r in near_duplicate_groups(spark.createDataFrame(rows + rows[:9], "doc_id long, text string")).collect()}
+    groups = brute_groups([(k, text) for k, (_, text) in enumerate(rows)])
+    joined = {groups[0][1], groups[1][1]}
+    for k, (i, _) in enumerate(rows):
+        root = 0 if groups[k][1] in joined else groups[k][1]
+        least = min(j for m, (j, _) in enumerate(rows) if (groups[m][1] in joined if root == 0 else groups[m][1] == root))
+        assert (i, least) in out
+
+
 def test_estimate_is_close_to_the_similarity():
     import numpy as np
     rng = np.random.default_rng(0)
