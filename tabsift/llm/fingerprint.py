@@ -13,8 +13,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FAMILY, SUBSETS, DIGITS = 64, 192, 8
 #: Shares of distinct texts that a term must lie in. A lexicon has at most (mean distinct terms of a text) / LOW terms at any corpus size.
 LOW, HIGH = 0.001, 0.2
-#: Ranges of ids for each shuffle partition: texts become many rows of terms, so a task takes few of them.
-RANGES = 8
+#: Ranges of ids for each shuffle partition at least, and bytes of texts in a range: texts become many rows of terms, so a task takes few of them.
+RANGES, RANGE_BYTES = 8, 2 << 20
+#: Ids that the cuts between ranges are learned from, and ranges at most, as cuts are part of the plan; beyond that a range is larger and its window spills.
+CUT_SAMPLE, MOST_RANGES = 50_000, 20_000
 #: Lexicons of at most so many terms are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -96,24 +98,43 @@ def _range_of(x: Column, cuts: list, kind: str) -> Column:
     return (whole * step + below(F.try_element_at(F.array(*map(array, groups)), whole + 1))).cast("int")
 
 
+def cut_points(rows: DataFrame) -> tuple[list, int]:
+    """(cuts in ascending order, number of ranges at most) that give ranges of (id, text) rows about equal bytes, learned from a sample of ids drawn by hash.
+
+    Ids are of any type that has an order. The sample is about CUT_SAMPLE distinct ids; a row counts as 64 bytes more than its text.
+    """
+    n = rows.count()
+    share = min(1.0, CUT_SAMPLE / max(n, 1))
+    drawn = rows.filter("id is not null").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share * float(1 << 40))
+    sample = drawn.groupBy("id").agg(F.sum(F.octet_length("text") + 64).alias("bytes")).orderBy("id").collect()
+    total = sum(r["bytes"] for r in sample)
+    wanted = max(RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / share / RANGE_BYTES))
+    wanted = min(wanted, MOST_RANGES)
+    cuts, seen = [], 0
+    for r in sample:
+        seen += r["bytes"]
+        if seen * wanted >= total * (len(cuts) + 1) and len(cuts) < wanted - 1:
+            cuts.append(r["id"])
+    return cuts, wanted
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, place, extra, id, text, next_text): each document with the text of the next one in descending id order, after the last the first.
 
-    Ids are cut into RANGES times as many ranges as there are shuffle partitions. Each range also gets, as its extra last row, the first document of
-    the range after it, so neighbours meet in a window within one range. Equal ids are ordered by text; null ids come last. Null texts count as empty.
+    Ids, numbers or texts, are cut into ranges of about equal bytes, each of which is one partition. Each range also gets, as its extra last row, the first
+    document of the range after it, so neighbours meet in a window within one range. Equal ids are ordered by text; null ids come last. Null texts count as empty.
     """
     spark = docs.sparkSession
     rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100 * n)).first()[0]
-    part = _range_of(F.col("id"), sorted(set(cuts or ())), kind)
+    cuts, n = cut_points(rows)
+    part = _range_of(F.col("id"), cuts, kind)
     firsts = sorted(rows.select(part.alias("part"), "id").groupBy("part").agg(F.max("id")).collect(), key=lambda r: -r[0])  # one row a range
     heads = spark.createDataFrame([(r[0], firsts[(k + 1) % len(firsts)][1]) for k, r in enumerate(firsts)], f"part int, head {kind}")
     lead = rows.join(heads, F.col("head").eqNullSafe(F.col("id"))).groupBy("part", "id").agg(F.min("text").alias("text"))
     both = rows.select(part.alias("part"), "id", "text", F.lit(False).alias("extra")).union(lead.select("part", "id", "text", F.lit(True)))
     order = W.partitionBy("part").orderBy("extra", F.col("id").desc_nulls_last(), "text")
-    return both.repartition(n, "part").select("part", F.row_number().over(order).alias("place"), "extra", "id", "text", F.lead("text").over(order).alias("next_text"))
+    return both.repartitionById(n, "part").select("part", F.row_number().over(order).alias("place"), "extra", "id", "text", F.lead("text").over(order).alias("next_text"))
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:

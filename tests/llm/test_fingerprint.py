@@ -1,4 +1,6 @@
 import hashlib
+import re
+from collections import Counter
 from statistics import median
 
 from pyspark.sql import functions as F
@@ -77,3 +79,47 @@ def test_many_repeated_texts_give_the_same_lexicon(documents, monkeypatch):
     few = {tuple(r) for r in fingerprint.lexicon(docs.select("text")).collect()}
     monkeypatch.setattr(fingerprint, "BROADCAST_ROWS", 3)
     assert few and few == {tuple(r) for r in fingerprint.lexicon(docs.select("text")).collect()}
+
+
+def test_text_ids_and_ranges_of_bytes(documents, monkeypatch):
+    """Ids that are texts follow their bytes; every range is one partition and no range is much larger than wanted."""
+    named = documents.select(F.md5(F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 2000)
+    rows = named.collect()
+    by = {r.doc_id: r for r in edited_fingerprints(named).collect()}
+    check({r.doc_id: r.text for r in rows}, list(by.values()))
+    placed = fingerprint.with_next(named).select("part", F.spark_partition_id().alias("at"), F.octet_length("text").alias("bytes"), "extra").collect()
+    tasks, size = {}, {}
+    for r in placed:
+        tasks.setdefault(r["at"], set()).add(r.part)
+        size[r.part] = size.get(r.part, 0) + (0 if r.extra else r.bytes)
+    assert len(size) > 40 and all(len(parts) == 1 for parts in tasks.values())
+    longest = max(len((r.text or "").encode()) for r in rows)
+    assert max(size.values()) <= 2 * 2000 + longest
+
+
+def brute_hashes(texts):
+    """The fingerprint by its definition: band, three families of subsets, sorted terms hashed per subset."""
+    words = lambda t: {w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w}
+    distinct, df = {t or "" for t in texts}, Counter()
+    for t in distinct:
+        df.update(words(t))
+    n, out = len(distinct), {}
+    for t in distinct:
+        subsets = {}
+        for w in words(t):
+            if 0.001 * n <= df[w] <= 0.2 * n:
+                draw = int(hashlib.md5(w.encode()).hexdigest()[:12], 16)
+                for k in range(3):
+                    if draw // 64 ** (2 * k + 1) % 8 ** k == 0:
+                        subsets.setdefault(draw // 64 ** (2 * k) % 64 + 64 * k, []).append(w)
+        joined = "".join(hashlib.md5(" ".join(sorted(subsets[s], key=str.encode)).encode()).hexdigest()[:8] if s in subsets else "." * 8 for s in range(192))
+        out[t] = joined if subsets else "=" + hashlib.md5(t.encode()).hexdigest()
+    return out
+
+
+def test_band_subsets_and_hashes_by_definition(documents):
+    rows = documents.collect()
+    expected = brute_hashes([r.text for r in rows])
+    got = {r.doc_id: r.fingerprint for r in edited_fingerprints(documents).collect()}
+    assert got == {r.doc_id: expected[r.text or ""] for r in rows}
