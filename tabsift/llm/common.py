@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabsift.dataset import cut_lineage
 
-__all__ = ["cut_lineage", "ship", "col", "pick", "ascii_lower", "row_key"]
+__all__ = ["cut_lineage", "ship", "col", "pick", "ascii_lower", "row_key", "unused"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,6 +42,14 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(col(old).alias(new) for new, old in names.items()))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lowered, all else as it is."""
     return F.translate(text, UPPER, LOWER)

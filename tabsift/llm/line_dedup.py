@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabsift.llm.common import col, cut_lineage, row_key
+from tabsift.llm.common import col, cut_lineage, row_key, unused
 
 BLANKS = " \t\r\x0b\x0c"
 
@@ -40,7 +40,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Lines are compared without the blanks around them; blank lines always stay. A line on ``min_sites`` sites or more is removed from
     every document, but for its first place (smallest id, then text digest and line number; null ids last) if ``keep_first``, so that no
-    passage is lost altogether. Null sites don't count. Null texts stay null. Rows that repeat an id and text are the same place
+    passage is lost altogether; a text may become empty. Null sites don't count. Null texts stay null. Rows that repeat an id and text are the same place
     and get the same result. No rows give no rows.
     """
     lines = cut_lineage(_lines(docs, id_col, text_col, site_col))
@@ -48,10 +48,11 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if keep_first:
         hit = hit.filter("key != first.key or pos != first.pos")
     gone = hit.groupBy("key").agg(F.collect_set("pos").alias("gone"))
-    own = "__key"
+    own, removed, cut = unused(docs, "key"), unused(docs, "gone"), unused(docs, "lines")
     rows = docs.withColumn(own, F.unhex(row_key(col(id_col), col(text_col))))
-    both = rows.join(gone.select(F.col("key").alias(own), F.col("gone").alias("__gone")), own, "left")
-    text = F.when(F.col("__gone").isNull(), col(text_col)).otherwise(
-        F.array_join(F.filter(F.split(col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
+    both = rows.join(gone.select(F.col("key").alias(own), F.col("gone").alias(removed)), own, "left")
+    both = both.withColumn(cut, F.when(F.col(removed).isNotNull(), F.split(col(text_col), "\n")))
+    places = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(removed))
+    text = F.when(F.col(removed).isNull(), col(text_col)).otherwise(F.array_join(F.transform(places, lambda i: F.get(F.col(cut), i)), "\n"))
     return both.select(*(text.alias(c) if c == text_col else col(c) for c in docs.columns if c != count_col),
-                       F.coalesce(F.size("__gone"), F.lit(0)).alias(count_col))
+                       F.coalesce(F.size(removed), F.lit(0)).alias(count_col))

@@ -8,7 +8,7 @@ ODD = [
     (9, "ÀÉ \x01 <|endoftext|> tab\tnew\nline  two  spaces ", "fr", "d"), (10, LONG, "en", "e"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
-CLASH = ["id", "key", "n", "kept", "score", "held_out", "n_removed", "digest", "a.b", "row", "length", "part", "term", "rank", "n_words"]
+CLASH = ["id", "key", "n", "kept", "score", "held_out", "n_removed", "digest", "a.b", "row", "length", "part", "term", "rank", "n_words", "lines", "__gone", "__key", "__kept"]
 
 
 @pytest.fixture(scope="session")
