@@ -1,17 +1,21 @@
 """From raw documents to packed sequences: the stages that a training corpus passes, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Extra columns of the
-input that clash with an operator's result are dropped by the operator; the stages add none. Null, empty and letterless texts are rejected
-by the first stage; an empty table passes through all stages.
+input are kept, whatever their names; the stages add none. Null, empty and letterless texts are rejected by the first stage. Line dedup may leave a
+text empty or without letters, which then stays and is packed. Decisions are made for an id and its text, so texts that share an id don't share
+a verdict; of rows that repeat an id and text, near_dedup keeps one, the first by its columns as JSON. Rows without an id are told apart by their text.
+An empty table passes through all stages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabsift.llm.common import cut_lineage
+from tabsift.llm.common import col, cut_lineage, unused
 from tabsift.llm.decontaminate import contamination
-from tabsift.llm.langid import UNKNOWN, identify
+from tabsift.llm.langid import UNKNOWN, predict, train
 from tabsift.llm.line_dedup import remove_boilerplate
 from tabsift.llm.minhash import near_duplicate_groups
 from tabsift.llm.packing import packed_documents
@@ -23,34 +27,51 @@ LEAST_SCORE = 0.3
 NEAR_PERCENT = 80
 
 
-def _decided(docs: DataFrame, verdict: DataFrame, keep: str) -> DataFrame:
-    """The documents whose verdict says so. Verdicts have one row for each row of the documents; rows that share an id have one verdict."""
-    kept = verdict.filter(keep).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+def _decided(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame], keep: str, once: bool = False) -> DataFrame:
+    """The documents that a verdict keeps.
+
+    Operators get an id of its own for each pair of id and text (64 bits of the text's hash tell texts of one id apart), ordered by id with
+    nulls last. With ``once``, one row stays of those that repeat an id and text.
+    """
+    own, other = unused(docs, "own"), unused(docs, "other")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    rows = docs.withColumn(own, key)
+    kept = judge(rows, own).filter(keep).select(col(own).alias(other)).distinct()
+    rows = rows.join(kept, F.col(own) == F.col(other), "left_semi")
+    if once:
+        several = cut_lineage(rows.groupBy(own).count().filter("count > 1").select(F.col(own).alias(other)))
+        if several.take(1):
+            same = F.col(own) == F.col(other)
+            whole = F.struct(*map(col, docs.columns))
+            least = rows.join(several, same, "left_semi").groupBy(own).agg(F.min_by(whole, F.to_json(whole)).alias(other)).select(f"{other}.*")
+            return rows.join(several, same, "left_anti").drop(own).union(least)
+    return rows.drop(own)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told (byte convolutional network, learned from their own languages)."""
-    return _decided(docs, identify(docs), f"lang_pred != '{UNKNOWN}' and score >= {LEAST_SCORE}")
+    model = train(docs)
+    return _decided(docs, lambda rows, key: predict(rows, model, key), f"lang_pred != '{UNKNOWN}' and score >= {LEAST_SCORE}")
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that stand on many sites; the first place of such a line stays."""
-    out = remove_boilerplate(docs, count_col="__removed")
+    removed = unused(docs, "removed")
+    out = remove_boilerplate(docs, count_col=removed)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.drop("__removed")
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop(removed)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    return _decided(docs, near_duplicate_groups(docs, percent=NEAR_PERCENT), "kept")
+    """One document of each near-duplicate group, the one with the smallest id; one row of those that repeat an id and text."""
+    return _decided(docs, lambda rows, key: near_duplicate_groups(rows, key, percent=NEAR_PERCENT), "kept", once=True)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _decided(docs, found, "not contaminated")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _decided(docs, lambda rows, key: contamination(rows, bench, key), "not contaminated")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
