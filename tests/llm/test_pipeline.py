@@ -69,6 +69,21 @@ def test_near_duplicates_are_linked_from_four_fifths_on(spark, folder):
     assert between and {r.doc_id for r in kept.collect()} == {i for i in range(len(rows)) if root(i) == i}
 
 
+def test_texts_that_share_an_id_are_judged_apart(spark, folder):
+    """A copy, a contaminated text and a repeated row go; other texts under their ids stay, and so do columns of any name."""
+    item = next(r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if len(r.text.split()) >= 10)
+    plain = [" ".join(f"{w}{k}x" for k in range(40)) for w in ("red", "blue", "green")]
+    rows = [(1, plain[0], "b"), (1, plain[1], "a"), (1, plain[1], "c"), (2, plain[0], "a"), (2, plain[2], "a"), (2, f"so {item} then", "a"),
+            (None, plain[2], "z"), (None, f"{plain[2]} and what else", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string")
+    near = pipeline.near_duplicates(spark, docs, folder)
+    kept = {tuple(r) for r in near.collect()}
+    assert near.columns == docs.columns and near.count() == len(kept) == 4
+    assert kept == {rows[0], rows[1], rows[4], rows[5]}
+    clean = pipeline.benchmark(spark, near, folder)
+    assert {tuple(r) for r in clean.collect()} == {rows[0], rows[1], rows[4]} and clean.columns == docs.columns
+
+
 def test_run_gives_whole_sequences(spark, folder, stages):
     rows = pipeline.run(spark, folder).collect()
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in rows} == {(r.doc_id, r.piece, r.ids_crc32) for r in stages[-1].collect()}
