@@ -129,9 +129,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kind = rows.schema["id"].dataType.simpleString()
     cuts, n = cut_points(rows)
     part = _range_of(F.col("id"), cuts, kind)
-    firsts = sorted(rows.select(part.alias("part"), "id").groupBy("part").agg(F.max("id")).collect(), key=lambda r: -r[0])  # one row a range
+    firsts = sorted(rows.select(part.alias("part"), "id").groupBy("part").agg(F.max("id")).collect(), key=lambda r: -r[0])  # one row a range, MOST_RANGES at most
     heads = spark.createDataFrame([(r[0], firsts[(k + 1) % len(firsts)][1]) for k, r in enumerate(firsts)], f"part int, head {kind}")
-    lead = rows.join(heads, F.col("head").eqNullSafe(F.col("id"))).groupBy("part", "id").agg(F.min("text").alias("text"))
+    lead = rows.join(F.broadcast(heads), F.col("head").eqNullSafe(F.col("id"))).groupBy("part", "id").agg(F.min("text").alias("text"))
     both = rows.select(part.alias("part"), "id", "text", F.lit(False).alias("extra")).union(lead.select("part", "id", "text", F.lit(True)))
     order = W.partitionBy("part").orderBy("extra", F.col("id").desc_nulls_last(), "text")
     return both.repartitionById(n, "part").select("part", F.row_number().over(order).alias("place"), "extra", "id", "text", F.lead("text").over(order).alias("next_text"))
