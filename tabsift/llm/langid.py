@@ -99,10 +99,10 @@ def _samples(batches, each: int):
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = DOCUMENTS,
           windows: int = WINDOWS, epochs: int = EPOCHS, steps: int = STEPS) -> tuple[list[str], Network]:
-    """(languages, network) from texts outside the held-out fold whose language is known: about ``documents`` of each language, drawn by hash."""
+    """(languages, network) from texts outside the held-out fold whose language is known: at most ``documents`` of each language, drawn by hash."""
     ship(docs.sparkSession)
     rows = pick(docs, id=id_col, text=text_col, lang=lang_col).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = draw(rows.select(F.col("lang").cast("string").alias("lang"), "text"), "lang", documents)
+    rows = draw(rows.select(F.col("lang").cast("string").alias("lang"), "id", "text"), "lang", documents)
     got = rows.mapInArrow(lambda b: _samples(b, windows), "lang string, window binary").toPandas().sort_values(["lang", "window"], kind="stable")
     langs = sorted(got["lang"].unique())
     network = Network(max(len(langs), 1))

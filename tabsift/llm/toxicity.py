@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabsift.llm.common import pick, ship
 from tabsift.llm.sampling import draw, held_out
-from tabsift.llm.wordhash import chunks
-
-#: Features are byte runs of these lengths, hashed into 2 ** SPACE slots; a word's first letters come with the space before it.
-GRAMS, SPACE = (4, 5), 20
-#: Training: about so many confirmed and unlabelled texts; slots kept at most, and the standard errors by which their shares must differ.
-POSITIVE, UNLABELLED, KEPT, LEAST = 2000, 6000, 2048, 5.0
+from tabsift.llm.wordhash import STEP, chunks, mix
+
+#: Features are byte runs of the lengths GRAMS, a word's first letters with the space before it, and the first LEAD bytes of words, hashed into 2 ** SPACE slots.
+GRAMS, LEAD, SPACE = (4, 5), range(3, 10), 20
+#: A feature that a text has so often, and in so large a share of its words, is another feature: stems that chance forms here and there are
+#: told from stems that a text is full of, whatever its length.
+LEVELS = ((2, 0.01), (3, 0.02), (4, 0.04))
+#: Training: at most so many confirmed and unlabelled texts; slots kept at most, and the standard errors by which their shares must differ.
+POSITIVE, UNLABELLED, KEPT, LEAST = 2000, 6000, 8192, 8.0
 EPOCHS, RATE, DECAY, THRESHOLD = 40, 0.05, 1e-4, 0.7
 
 _letter = np.full(256, 32, dtype=np.uint8)                       # all but letters, digits and non-ASCII bytes is a space
@@ -21,21 +24,59 @@ for _low, _high, _shift in ((48, 58, 0), (65, 91, 32), (97, 123, 0), (128, 256,
     _letter[_low:_high] = np.arange(_low, _high) + _shift
 
 
+#: Bytes whose features are counted at once; longer texts take several rounds.
+BLOCK = 2 << 20
+
+
+def _keys(spaced: np.ndarray, left: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, slots, word starts) of the features that begin at the first ``size`` places; ``left`` bytes remain of the text from a place on."""
+    at, keys = [], []
+    code = np.zeros(size, dtype=np.uint64)
+    for j in range(max(GRAMS)):
+        part = spaced[j:j + size]
+        code[:len(part)] |= part.astype(np.uint64) << np.uint64(8 * j)
+        if j + 1 in GRAMS:
+            whole = np.flatnonzero(left[:size] > j)
+            at.append(whole)
+            keys.append((code[whole] + np.uint64(j)) * STEP)
+    after = np.append(spaced[1:], 32)[:size]
+    starts = np.flatnonzero((spaced[:size] == 32) & (after != 32) & (left[:size] > 1))
+    place, code = starts, np.zeros(len(starts), dtype=np.uint64)
+    for n in range(1, max(LEAD) + 1):
+        there = left[place] > n
+        place, code = place[there], code[there]
+        there = spaced[place + n] != 32
+        place, code = place[there], code[there]
+        code = mix(code + spaced[place + n].astype(np.uint64) + np.uint64(n << 8))
+        if n in LEAD:
+            at.append(place)
+            keys.append(code)
+    return np.concatenate(at), (np.concatenate(keys) >> np.uint64(64 - SPACE)).astype(np.int64), starts
+
+
 def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) of every feature of some texts; a text begins with a space."""
+    """(row, slot) of every feature of some texts, their levels included; a text begins with a space."""
     spaced = np.insert(_letter[data], offsets[:-1], 32)
     starts = offsets + np.arange(len(offsets))
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(starts)).astype(np.int32)
-    left = starts[row + 1] - np.arange(len(spaced))
-    rows, out = [], []
-    code = np.zeros(len(spaced), dtype=np.uint64)
-    for j in range(max(GRAMS)):
-        code[:len(spaced) - j] |= spaced[j:].astype(np.uint64) << np.uint64(8 * j)
-        if j + 1 in GRAMS:
-            whole = left > j
-            key = (code[whole] + np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((key >> np.uint64(64 - SPACE)).astype(np.int32))
-            rows.append(row[whole])
+    words = np.zeros(len(offsets) - 1, dtype=np.int64)
+    held, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    for begin in range(0, len(spaced), BLOCK):
+        end = min(begin + BLOCK + max(LEAD), len(spaced))
+        first, last = np.searchsorted(starts, begin, side="right") - 1, np.searchsorted(starts, end, side="left")
+        row = np.repeat(np.arange(first, last), np.diff(np.clip(starts[first:last + 1], begin, end)))
+        at, slot, fresh = _keys(spaced[begin:end], starts[row + 1] - np.arange(begin, end), min(BLOCK, end - begin))
+        words += np.bincount(row[fresh], minlength=len(words))
+        pairs, n = np.unique((row[at] << SPACE) + slot, return_counts=True)
+        if len(held):
+            pairs, place = np.unique(np.concatenate((held, pairs)), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate((counts, n))).astype(np.int64)
+        held, counts = pairs, n
+    row, slot = held >> SPACE, held & ((1 << SPACE) - 1)
+    rows, out = [row], [slot]
+    for level, (least, share) in enumerate(LEVELS, 1):
+        often = (counts >= least) & (counts >= share * words[row])
+        rows.append(row[often])
+        out.append((mix(slot[often].astype(np.uint64) + np.uint64(level << SPACE)) >> np.uint64(64 - SPACE)).astype(np.int64))
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -44,7 +85,7 @@ def _shares(texts: pa.Array) -> np.ndarray:
     out = np.zeros(1 << SPACE, dtype=np.int64)
     for _, data, offsets in chunks(texts):
         row, slot = slots(data, offsets)
-        np.add.at(out, np.unique((row.astype(np.int64) << SPACE) + slot) & ((1 << SPACE) - 1), 1)
+        np.add.at(out, np.unique((row << SPACE) + slot) & ((1 << SPACE) - 1), 1)
     return out
 
 
@@ -105,7 +146,7 @@ def fit(positive: pa.Array, unlabelled: pa.Array, prior: float) -> tuple[np.ndar
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           prior: float | None = None, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
-    """A classifier from documents outside the held-out fold: about ``positive`` confirmed toxic and ``unlabelled`` of all texts, drawn by hash.
+    """A classifier from documents outside the held-out fold: at most ``positive`` confirmed toxic and ``unlabelled`` of all texts, drawn by hash.
 
     Labels of 0 teach nothing as such. The class prior is the share of toxic ones among all labelled rows outside the fold, unless it is given.
     """
@@ -114,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     rows = pick(docs, id=id_col, text=text_col).filter(~held_out(F.col("id")) & F.col("text").isNotNull())
     confirmed = rows.join(known.filter("toxic = 1").select("id").distinct(), "id", "left_semi")
-    take = lambda df, n: draw(df.select("text", F.lit(0).alias("g")), "g", n).select("text").toArrow().column("text").combine_chunks().cast(pa.large_string())
+    take = lambda df, n: draw(df.select("id", "text", F.lit(0).alias("g")), "g", n).select("text").toArrow().column("text").combine_chunks().cast(pa.large_string())
     own, rest = take(confirmed, positive), take(rows, unlabelled)
     as_array = lambda t: t if isinstance(t, pa.Array) else pa.concat_arrays(t.chunks) if t.num_chunks else pa.array([], pa.large_string())
     # Sorted, so that the model doesn't depend on the order in which tasks end.
@@ -130,7 +171,7 @@ def _score(batches, model, threshold: float):
         for first, data, offsets in chunks(batch.column("text")):
             row, slot = slots(data, offsets)
             at = place[slot]
-            pairs = np.unique(row[at >= 0].astype(np.int64) * max(len(kept), 1) + at[at >= 0])
+            pairs = np.unique(row[at >= 0] * max(len(kept), 1) + at[at >= 0])
             logit = np.bincount(pairs // max(len(kept), 1), weights=weights[pairs % max(len(kept), 1)] if len(pairs) else None, minlength=len(offsets) - 1) + bias
             score = _sigmoid(logit)
             rest = batch.slice(first, len(score)).drop_columns(["text"])

@@ -119,3 +119,34 @@ def test_toxicity_on_odd_rows(spark, odd, none):
     out = toxicity.toxicity(odd, labels).collect()
     assert len(out) == odd.count() and toxicity.toxicity(none, labels).count() == 0
     assert all(0 <= r.score <= 1 for r in toxicity.toxicity(odd, labels.limit(0)).collect())
+
+
+def test_features_of_long_texts_are_those_of_one_block(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["ab", "réeuxpa", "réeuxvi", "x", "trash", "bomentes"], k=k)).encode() for k in (0, 1, 40, 700, 3)]
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = set(zip(*(x.tolist() for x in slots(data, offsets))))
+    monkeypatch.setattr(toxicity, "BLOCK", 37)
+    assert set(zip(*(x.tolist() for x in slots(data, offsets)))) == whole
+
+
+def test_scores_are_sums_of_weights(spark, documents, folder):
+    """The scores of Spark's tasks against features counted with a dictionary."""
+    model = toxicity.train(documents, spark.read.parquet(f"{folder}/labels.parquet"))
+    weight = dict(zip(model[0].tolist(), model[1].tolist()))
+    got = {r.doc_id: r.score for r in toxicity.predict(documents, model).collect()}
+    for r in documents.collect():
+        data = np.frombuffer((r.text or "").encode(), dtype=np.uint8)
+        total = sum(weight.get(s, 0.0) for s in set(slots(data, np.array([0, len(data)]))[1].tolist())) + model[2]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-total))) < 1e-4
+
+
+def test_samples_keep_their_bound(spark):
+    from tabsift.llm.sampling import draw
+    rows = spark.createDataFrame([(i, "copy" if i % 3 else f"text {i}", "a" if i % 10 else "b") for i in range(6000)] + [(1, "copy", "a")] * 3000 + [(2, None, None)],
+                                 "id long, text string, g string").cache()
+    got = [tuple(r) for r in draw(rows, "g", 500).collect()]
+    # Of a's 8,400 rows 3,000 repeat one, so it gives fewer; b has none of these.
+    assert len(got) == len(set(got)) and sum(g == "b" for _, _, g in got) == 500 and 300 < sum(g == "a" for _, _, g in got) <= 500
+    assert sorted(got) == sorted(tuple(r) for r in draw(rows.repartition(7, "text"), "g", 500).collect())
+    assert draw(rows, "g", 10_000).count() == 6000 and draw(rows.limit(0), "g", 5).count() == 0
