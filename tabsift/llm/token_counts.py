@@ -12,6 +12,8 @@ from tabsift.llm.pieces import cut, encode, runs
 
 #: The most frequent pre-tokens go to all tasks: at most so many, of at most so many bytes each.
 HEAD_ROWS, HEAD_BYTES = 400_000, 48
+#: The rows of a longer pre-token, which no table of frequent ones holds however frequent it is, meet in so many places.
+SALTS = 64
 #: A task names those that it met so often; it forgets rarer ones whenever it holds so many.
 LOCAL, HELD = 8, 400_000
 
@@ -103,6 +105,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     A pre-token is a stretch of text from one single space between two words to the next, its space included, so that a text's ids are
     those of its pre-tokens. Each distinct one is tokenised once for the whole corpus and its count joined to the frequencies of documents:
     the most frequent ones, a table of bounded size, where texts are read, and all others where their rows meet after a shuffle by pre-token.
+    Rows of a long pre-token meet in up to SALTS places, each of which tokenises it once.
 
     Null texts count as empty: no tokens. Rows that repeat an id and text repeat the result. Null ids are an id of their own.
     Other columns are ignored. No rows give no rows.
@@ -113,7 +116,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     keyed = rows.select("id", F.hash("text").alias("h"), F.octet_length("text").cast("long").alias("bytes"), "text")
     kind = rows.schema["id"].dataType.simpleString()
     own = cut_lineage(keyed.mapInArrow(lambda b: _frequencies(b, known), f"id {kind}, h int, bytes long, term string, n long"))
-    rare = (own.filter("term is not null").select("id", "h", "term", "n").repartition("term").sortWithinPartitions("term")
+    salt = F.when(F.octet_length("term") > HEAD_BYTES, F.pmod(F.hash("id", "h"), F.lit(SALTS)))
+    rare = (own.filter("term is not null").select("id", "h", "term", "n").repartition("term", salt).sortWithinPartitions("term")
             .mapInArrow(lambda b: _weighed(b, path), f"id {kind}, h int, n long"))
     both = own.filter("term is null").select("id", "h", "bytes", "n", F.lit(1).alias("c")).union(rare.select("id", "h", F.lit(0).cast("long"), "n", F.lit(0)))
     sums = both.groupBy("id", "h").agg(F.max("bytes").alias("bytes"), F.sum("n").alias("n"), F.sum("c").cast("int").alias("c"))

@@ -134,3 +134,13 @@ def test_one_common_length_is_spread(spark):
     rows = spark.range(5000).select(F.col("id"), F.lit(0).alias("piece"), F.lit(7).cast("long").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
     out = pack(rows, 70).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("o"))
     assert out.count() == 500 and out.filter("n != 70 or o != 10").count() == 0
+
+
+def test_a_long_pre_token_of_many_documents(spark):
+    """A pre-token of more than HEAD_BYTES in every text, whose rows meet in several places: counts are the library's."""
+    url = "https://example.com/" + "a-long-path/" * 9
+    texts = [f"see {url} for item {i}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    library = Tokenizer.from_file(BYTES)
+    got = {r.doc_id: r.n_tokens for r in token_counts(docs, BYTES).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
