@@ -1,10 +1,13 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabsift import CONFIG, Dataset
 from tabsift.config import with_config
-from tabsift.operators import anomaly, injection, neighbours, privacy
+from tabsift.dataset import shared_folder
+from tabsift.operators import anomaly, injection, neighbours, privacy, quantiles
 from tabsift.operators.quantiles import exact_quantiles
 from tabsift.operators.ranking import global_position, seeded_key
 
@@ -60,6 +63,56 @@ def test_factors_do_not_depend_on_partitions(spark):
     assert np.allclose([got[0][i] for i in range(len(x))], brute_force_lof(x, 12), rtol=1e-9)       # rows are in the order of coordinates, as ties are
 
 
+def test_only_the_factors_stay_on_the_shared_storage(spark):
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(gridded(300))], "row_id long, a double, b double, c double")
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    factors = neighbours.local_outlier_factor(df, ["a", "b", "c"], 12, leaf_points=50)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("rows-") and factors.count() == df.count()
+
+
+def test_few_distances_are_measured_inside_a_box(monkeypatch):
+    """The neighbours are those of brute force, from a small part of all distances."""
+    rng = np.random.default_rng(4)
+    x, measured = np.round(rng.random((4_000, 3)), 2), []
+    ids, weights, plain = np.arange(len(x)) * 3, rng.integers(1, 3, len(x)), neighbours.squares
+    monkeypatch.setattr(neighbours, "squares", lambda a, b: (measured.append(len(a) * len(b)), plain(a, b))[1])
+    row, distance, pid, count = neighbours.nearest_pairs(x, ids, x, ids, weights, 7, None)
+    d = np.sqrt(plain(x, x))
+    alone = np.flatnonzero(weights <= 1)
+    d[alone, alone] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, :7]
+    assert np.array_equal(pid.reshape(-1, 7), ids[near]) and np.array_equal(distance.reshape(-1, 7), np.take_along_axis(d, near, axis=1))
+    assert np.array_equal(count, weights[near].ravel() - (near == np.arange(len(x))[:, None]).ravel())
+    found = neighbours.nearest_pairs(x[:50] + 0.001, -1 - np.arange(50), x, ids, weights, 7, np.full(50, 0.05))
+    assert np.all(found[1] <= 0.05 * (1 + 1e-8)) and sum(measured) < len(x) ** 2 / 3
+
+
+def test_both_strictnesses_share_one_measurement(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    ds = Dataset.of("t", spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(200, 3)))], "row_id long, a double, b double, c double"), "row_id")
+    alone = [anomaly.detect(ds, c, {}, p) for c, p in ((["a", "b"], False), (["a", "b", "c"], True))]
+    stored, plain = [], anomaly.stored_matrix
+    monkeypatch.setattr(anomaly, "stored_matrix", lambda *a: (stored.append(a[1]), plain(*a))[1])
+    together = anomaly.detections(ds, [(["a", "b"], False), (["a", "b", "c"], True), (["a"], True)], {})
+    assert stored == [["a", "b", "c"]] and together[2].flags is None
+    for a, b in zip(alone, together):
+        assert a.methods == b.methods and sorted(a.flags.collect()) == sorted(b.flags.collect()) and a.footprint.collect() == b.footprint.collect()
+
+
+def test_large_brackets_are_narrowed_without_rounds(spark, monkeypatch):
+    """Room for 25 values per bracket, where the first sketch leaves 200."""
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.normal(size=40_000), rng.integers(0, 9, 40_000), np.where(rng.random(40_000) < 0.4, 0.1, rng.normal(size=40_000))])
+    df = spark.createDataFrame([(*map(float, r),) for r in x], "a double, b double, c double").repartition(4)
+    monkeypatch.setattr(quantiles, "FEW", 0)
+    monkeypatch.setattr(quantiles, "order_statistics", None)
+    shares = [0.25, 0.5, 0.75, 0.99]
+    got = exact_quantiles(df, {c: F.col(c) for c in df.columns}, shares, kept=300)
+    assert all(np.allclose(got[c], np.quantile(x[:, i], shares), rtol=1e-14) for i, c in enumerate(df.columns))
+
+
 def test_columns_with_dots_reach_all_detectors(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(300, 2)))], "row_id long, `glu.x` double, `b c` double")
