@@ -122,3 +122,11 @@ def test_category_variants_leave_wide_columns_alone(spark):
     few = accuracy.category_variants(one_column(spark, ["Control", "Control(9)", "Case"] * 5), ["x"]).first()
     assert (few["n_variants"], few["example"]) == (2, "Control / Control(9)")
     assert accuracy.category_variants(one_column(spark, [f"w{i}" for i in range(60)]), ["x"]).count() == 0
+
+
+def test_value_counts_keep_every_digit_of_a_number(spark, tmp_path):
+    import __spark_entry__ as registered
+    balances = [711.56, 0.125, 0.126, 1e25, -3.0, 100.0]
+    spark.createDataFrame([(i + 1, i, "A", b) for i, b in enumerate(balances)], "c_custkey long, c_nationkey long, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = registered.queries()["value_counts"](spark, str(tmp_path)).where("column = 'balance_value'").collect()
+    assert sorted((r["token"], r["freq"]) for r in rows) == sorted((t, 1) for t in ("711.56", "0.125", "0.126", "1.0e25", "-3", "100"))
