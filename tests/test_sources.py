@@ -94,3 +94,17 @@ def test_metadata_keeps_json_types(spark, tmp_path):
     (tmp_path / "clinic.json").write_text('{"versioning": "2.0", "license": "true", "standards": ["ICD-10", "LOINC"], "open": true, "title": "T"}')
     m = attached_metadata(spark, ["clinic"], str(tmp_path))["clinic"]
     assert m["versioning"] == "2.0" and m["license"] == "true" and m["standards"] == ["ICD-10", "LOINC"] and m["open"] is True
+
+
+def test_the_ragged_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from tabsift.queries import files
+    for part in range(3):
+        spark.createDataFrame([(k, k, "5-LOW") for k in range(part * 40, part * 40 + 40)], "o_orderkey long, o_custkey long, o_orderpriority string").coalesce(1) \
+             .write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([("FRANCE",)], "n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    monkeypatch.setattr(files, "target", lambda s, name: f"{tmp_path}/{name}")
+    found = {r["dataset"]: (r["status"], r["error"], r["n_rows"]) for r in files._status(spark, str(tmp_path)).collect()}
+    assert found["good.csv"] == ("ok", None, 120)
+    assert found["ragged.csv"] == ("failed", "RaggedFile: ragged.csv: the row that starts with '5' has more than 2 cells", None)
+    texts = [p.read_text().splitlines() for p in (tmp_path / "status" / "ragged.csv").glob("part-*")]
+    assert len(texts) == 3 and all(t[0] == "id,code" for t in texts) and sum(len(t) - 1 for t in texts) == 120
