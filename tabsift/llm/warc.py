@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,14 +24,13 @@ RECORD = "record_id string, type string, concurrent_to array<string>, refers_to
 
 
 def base32_sha1(data: Column) -> Column:
-    """The SHA-1 of bytes in upper-case base32: every five hex digits are four letters."""
-    def letters(digits: Column, group: Column) -> Column:
-        value = F.conv(F.substr(digits, group * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*(F.substr(F.lit(ALPHABET), F.shiftright(value, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)))
+    """The SHA-1 of bytes in upper-case base32: fifteen hex digits are twelve digits to the base of 32, which are then renamed."""
+    def digits(h: Column, start: int, n: int) -> Column:
+        return F.lpad(F.conv(F.substring(h, start, n), 16, 32), n * 4 // 5, "0")
 
-    groups = F.sequence(F.lit(0), F.lit(7))
     # An array of one binds the hash to a name, so that it is computed once.
-    return F.element_at(F.transform(F.array(F.sha1(data)), lambda digits: F.array_join(F.transform(groups, lambda g: letters(digits, g)), "")), 1)
+    plain = F.transform(F.array(F.sha1(data)), lambda h: F.concat(digits(h, 1, 15), digits(h, 16, 15), digits(h, 31, 10)))
+    return F.translate(F.element_at(plain, 1), "0123456789ABCDEFGHIJKLMNOPQRSTUV", ALPHABET)
 
 
 def _urn(*parts: Column) -> Column:
@@ -156,16 +156,19 @@ def read_records(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     return files.mapInArrow(lambda b: _parse(b, payloads), RECORD)
 
 
-def assemble(spark: SparkSession, path: str) -> DataFrame:
+def assemble(spark: SparkSession, path: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """One nested row per capture: capture_id, request, response, revisit, metadata (a list).
 
     A record belongs to the response or revisit that its WARC-Concurrent-To names, or that names it, or that a request named by it belongs
     to. Identifiers are resolved without payloads; responses then meet their other records in one join. Records that no response or revisit
     is concurrent to stand in rows of their own, with the request that they name if there is one. Records that repeat an identifier count once.
+    ``keep`` makes what stands for the payload of a response, where it is read; by default payloads are moved whole.
     """
     links = cut_lineage(read_records(spark, path, False))           # without payloads, so this is small
     rest = links.filter("type != 'response'")
     whole = read_records(spark, path, True)
+    if keep is not None:
+        whole = whole.withColumn("payload", keep(F.col("payload")))
     shape = F.struct("record_id", "target_uri", "date", "http", "refers_to", "payload_digest", "payload")
     named = links.select("record_id", "type", F.explode("concurrent_to").alias("other"))
     answers = links.filter(F.col("type").isin("response", "revisit")).select("record_id").distinct()
@@ -194,10 +197,10 @@ def captured_payloads(spark: SparkSession, path: str) -> DataFrame:
 
     ``page`` and ``refers_to`` are the page ids of metadata records, as text. Digests of responses are those of the payloads that were read.
     """
-    rows = assemble(spark, path)
+    rows = assemble(spark, path, lambda body: F.struct(F.octet_length(body).cast("long").alias("bytes"), base32_sha1(body).alias("digest")))
     page = F.nullif(F.regexp_extract(F.element_at(F.transform("metadata", lambda m: m["payload"].cast("string")), 1), r"page-id: ([^\r\n]*)", 1), F.lit(""))
-    flat = rows.select("capture_id", page.alias("page"), F.octet_length("response.payload").cast("long").alias("bytes"),
-                       F.when(F.col("response").isNotNull(), base32_sha1(F.col("response.payload"))).otherwise(F.col("revisit.payload_digest")).alias("payload_digest"),
+    flat = rows.select("capture_id", page.alias("page"), F.col("response.payload.bytes").alias("bytes"),
+                       F.when(F.col("response").isNotNull(), F.col("response.payload.digest")).otherwise(F.col("revisit.payload_digest")).alias("payload_digest"),
                        F.when(F.col("revisit").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("revisit.refers_to").alias("target"))
     flat = cut_lineage(flat)
     full = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page").alias("refers_to"), F.col("bytes").alias("whole"))

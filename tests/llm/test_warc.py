@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tabsift.llm.warc import assemble, captured_payloads, write_archives
+from tabsift.llm.warc import assemble, base32_sha1, captured_payloads, write_archives
 
 PAGES = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (9, "http://a/9", "same"), (3, None, None), (4, "http://a/ 4\r\nX: y", ""), (5, "http://b", "é\r\n\r\nWARC/1.1\r\n\r\n end"),
          (6, "http://c", "x" * 300_000), (7, "http://d", "ü"), (7, "http://d", "ü"), (None, "http://e", "only"), (8, "http://f", "\r\n")]
@@ -76,3 +76,18 @@ def test_links_either_way_and_orphans(spark, tmp_path):
     assert [m.record_id for m in rows["<r1>"].metadata] == ["<m1>", "<m2>"]
     assert rows["<q2>"].request.record_id == "<q2>" and rows["<q2>"].response is None and [m.record_id for m in rows["<q2>"].metadata] == ["<m3>"]
     assert set(rows) == {"<r1>", "<q2>"}
+
+
+def test_payloads_are_measured_where_they_are_read(spark, tmp_path):
+    """Sizes and digests of payloads are shuffled, not the payloads."""
+    texts = [(i, f"http://a/{i}", "".join(hashlib.sha1(f"{i} {j}".encode()).hexdigest() for j in range(500))) for i in range(20)]
+    write_archives(spark.createDataFrame(texts, "page_id long, url string, html string"), f"{tmp_path}/w")
+    keep = lambda body: F.struct(F.octet_length(body).alias("bytes"), base32_sha1(body).alias("digest"))
+    found = {(r.response.payload.bytes, r.response.payload.digest) for r in assemble(spark, f"{tmp_path}/w", keep).collect()}
+    assert found == {(len(h), digest(h)) for _, _, h in texts}
+
+
+def test_base32_of_any_digest(spark):
+    data = [(str(k).encode(),) for k in range(3000)] + [(b"",)]
+    for r in spark.createDataFrame(data, "data binary").select("data", base32_sha1(F.col("data")).alias("d")).collect():
+        assert r.d == base64.b32encode(hashlib.sha1(bytes(r.data)).digest()).decode()
