@@ -4,29 +4,35 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from tabsift.llm.common import cut_lineage, pick, ship
 from tabsift.llm.packplan import plan
-from tabsift.llm.pieces import cut, encode, runs, tokenizer
+from tabsift.llm.pieces import cut, encode, runs
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 CAPACITY, END_ID = 4096, 1
 #: Ids of pieces that a worker remembers: two generations of at most so many pieces.
 REMEMBERED = 300_000
+#: New pieces are tokenised so many at a time.
+JOINED = 1000
 _latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A word of Latin letters between marks. Pre-tokenisation cuts at both ends of the word, but not always behind an apostrophe.
+_marked = r"""^(?P<lead>[("\[]*)(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-/:-@\[-`{-~]*)$"""
 
-
-def byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, others for the letters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = (b for b in range(256) if b not in plain)
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
-
-
-_letters = byte_letters()
+#: What the short cuts rely on: white space only parts words, letters are lower-cased, a run of letters is one pre-token.
+_normal = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_split = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 class Ids:
@@ -35,71 +41,109 @@ class Ids:
     def __init__(self, path: str, lower: bool):
         self.path, self.lower, self.now, self.before = path, lower, {}, {}
 
-    def _word(self, word: str) -> bytes:
-        """A word of Latin letters alone, which no pre-tokenisation cuts: the merges only."""
-        text = "".join(map(_letters.__getitem__, word.lower().encode()))
-        return np.array([t.id for t in tokenizer(self.path).model.tokenize(text)], dtype="<u4").tobytes()
+    @cached_property
+    def _merges(self) -> tuple[Tokenizer, np.ndarray]:
+        """The tokenizer for words parted by single spaces, and which ids end a word."""
+        from tokenizers import Tokenizer, pre_tokenizers as pre
+        own = Tokenizer.from_file(self.path)
+        own.normalizer = None
+        own.pre_tokenizer = pre.Sequence([pre.Split(" ", "removed"), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+        last = np.zeros(own.get_vocab_size(), dtype=bool)
+        last[[i for name, i in own.get_vocab().items() if name.endswith("</w>")]] = True
+        return own, last
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of lower-case Latin letters alone, which no normalisation changes and no pre-tokenisation cuts: many at a time."""
+        own, last = self._merges
+        joined = (" ".join(words[k:k + JOINED]) for k in range(0, len(words), JOINED))
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for text in joined for e in own.encode_batch_fast([text], add_special_tokens=False)])
+        ends = 4 * (np.flatnonzero(last[ids]) + 1)
+        if len(ends) != len(words):                                     # a letter that the vocabulary lacks
+            return self._any(words)
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist())]
+
+    def _any(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(ids, dtype="<u4").tobytes() for k in range(0, len(pieces), JOINED) for ids in encode(self.path, pieces[k:k + JOINED])]
 
     def of(self, pieces: list[str]) -> list[bytes]:
-        now, before, out, hard = self.now, self.before, [b""] * len(pieces), []
-        for k, piece in enumerate(pieces):
-            ids = now.get(piece)
-            if ids is None:
-                ids = before.get(piece)
-                if ids is None:
-                    bare = piece.strip(" ")
-                    if self.lower and _latin.fullmatch(bare):
-                        ids = self._word(bare)
-                    elif self.lower and bare[-1:] in (".", ",") and _latin.fullmatch(bare[:-1]):
-                        ids = self._word(bare[:-1]) + self.end(bare[-1])
-                    else:
-                        hard.append(k)
-                        continue
-                now[piece] = ids
-            out[k] = ids
-        for k, ids in zip(hard, encode(self.path, [pieces[k] for k in hard]) if hard else ()):
-            out[k] = now[pieces[k]] = np.array(ids, dtype="<u4").tobytes()
+        now, before = self.now, self.before
+        out = list(map(now.get, pieces))
+        easy, bare, hard = [], [], []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            piece = pieces[k]
+            ids = before.get(piece)
+            if ids is not None:
+                out[k] = now[piece] = ids
+            elif self.lower and _latin.fullmatch(word := piece.strip(" ")):
+                easy.append(k)
+                bare.append(word.lower())
+            else:
+                hard.append(k)
+        for k, ids in zip(easy, self._words(bare) if easy else ()):
+            out[k] = now[pieces[k]] = ids
+        for k, ids in zip(hard, self._any([pieces[k] for k in hard])):
+            out[k] = now[pieces[k]] = ids
         if len(now) > REMEMBERED:
             self.now, self.before = {}, now
         return out
 
-    def end(self, mark: str) -> bytes:
-        ids = self.now.get(mark)
-        if ids is None:
-            ids = self.now[mark] = np.array(encode(self.path, [mark])[0], dtype="<u4").tobytes()
-        return ids
-
 
 _workers: dict[str, Ids] = {}
 
 
 def _ids(path: str) -> Ids:
-    """One memory per worker process. Short cuts are for vocabularies that lower-case and end words with a mark."""
+    """One memory per worker process. Short cuts are for vocabularies that normalise and cut by the rules above and end words with a mark."""
     if path not in _workers:
         import json
         lower = False
         if path.endswith(".json"):
             with open(path, encoding="utf-8") as f:
                 kind = json.load(f)
-            steps = [n.get("type") for n in (kind.get("normalizer") or {}).get("normalizers", [])]
-            lower = steps == ["NFC", "Replace", "Lowercase"] and kind["model"].get("end_of_word_suffix") == "</w>"
+            rules = kind["normalizer"], kind["pre_tokenizer"], kind["model"].get("end_of_word_suffix")
+            lower = rules == (_normal, _split, "</w>") and all(re.fullmatch(r"<\S*[a-z]\S*", t["content"]) and not t["lstrip"] | t["rstrip"] for t in kind["added_tokens"])
         _workers[path] = Ids(path, lower)
     return _workers[path]
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray, pa.DictionaryArray]:
+    """How many pieces between ASCII white space each text has, all pieces, coded, and the three parts of each distinct piece, coded:
+    marks, a lower-case word or what else the piece is, and marks."""
+    split = pc.ascii_split_whitespace(texts)
+    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    found = pc.extract_regex(coded.dictionary, _marked)
+    lead, word, mark = (pc.struct_field(found, k) for k in range(3))
+    known = found.is_valid()
+    word, none = pc.if_else(known, pc.utf8_lower(word), coded.dictionary), pa.scalar("", pa.large_string())
+    return counts, coded, pa.concat_arrays([pc.if_else(known, lead, none), word, pc.if_else(known, mark, none)]).dictionary_encode()
+
+
+def _laid(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many of them each piece has."""
+    return np.frombuffer(b"".join(raw), dtype="<u4"), np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+
+
+def _spread(pool: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of pieces in the order of their codes, and where each piece ends."""
+    each = sizes[codes]
+    ends = np.cumsum(each)
+    return pool[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
 def _pieces(batches, path: str, capacity: int):
     memory = _ids(path)
     for batch in batches:
         for row, texts in runs(batch.column("text")):
-            counts, coded = cut(texts)
-            raw = memory.of(coded.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
-            pool = np.frombuffer(b"".join(raw), dtype="<u4")
-            starts = np.cumsum(sizes) - sizes
-            codes = coded.indices.to_numpy()
-            each = sizes[codes]
-            ends = np.cumsum(each)
-            flat = pool[np.repeat(starts[codes] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            if memory.lower:
+                counts, coded, parts = _words(texts)
+                threes = parts.indices.to_numpy().reshape(3, -1).T.ravel()
+                pool, ends = _spread(*_laid(memory.of(parts.dictionary.to_pylist())), threes)
+                sizes = np.diff(ends[2::3], prepend=0)
+            else:
+                counts, coded = cut(texts)
+                pool, sizes = _laid(memory.of(coded.dictionary.to_pylist()))
+            flat, ends = _spread(pool, sizes, coded.indices.to_numpy())
             done = np.concatenate(([0], ends))[np.cumsum(counts)]
             own, piece, start, length, crc = [], [], [], [], []
             begin = 0

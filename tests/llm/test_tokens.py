@@ -120,6 +120,43 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
     assert memory.of([f"word{chr(97 + k)}" for k in range(26)]) == first and len(memory.now) + len(memory.before) <= 60
 
 
+def rows_of(path, texts, capacity=4096):
+    """(id, piece, start, length, ids_crc32) of texts numbered from 0."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+    return [tuple(r.values()) for out in packing._pieces(iter([batch]), path, capacity) for r in out.to_pylist()]
+
+
+def library_rows(path, texts, capacity=4096):
+    own, out = Tokenizer.from_file(path), []
+    for k, text in enumerate(texts):
+        ids = own.encode(text or "", add_special_tokens=False).ids + [1]
+        parts = [np.array(ids[s:s + capacity], dtype="<u4") for s in range(0, len(ids), capacity)]
+        out += [(k, j, j * capacity, len(part), zlib.crc32(part.tobytes())) for j, part in enumerate(parts)]
+    return out
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_rows_of_odd_texts_equal_the_library(path):
+    rng = random.Random(5)
+    bits = [*" \t\n\r\x0b\x0c\x1c\x85\xa0\u2028\u3000\x00\x01", "a", "Be", "É", "e\u0301", "h\u0331", "H\u0331", "\u0301", "ß", "×", "ñÑ", "ǅ", "İ", "K", "Σ", "ﬁ", "½", "日本", "🙂", *".,'\"()[]<>|#-_`^~", "'s", "'S", "'LL", "“", "7",
+            "12", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "w", "word", "Ünder", "straße"]
+    many = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(6000)] + ODD_TEXTS + [None]
+    assert rows_of(path, many) == library_rows(path, many)
+    assert rows_of(path, many, 5) == library_rows(path, many, 5)
+    assert rows_of(path, ["", None, " \n"]) == library_rows(path, ["", None, " \n"]) and rows_of(path, []) == []
+
+
+def test_a_word_is_tokenised_once_whatever_stands_beside_it(monkeypatch):
+    """Case, marks and line breaks beside a word make no new piece, and new words are no calls of their own."""
+    asked = []
+    monkeypatch.setattr(packing, "_workers", {})
+    monkeypatch.setattr(packing, "encode", lambda path, parts: asked.extend(parts) or pieces.encode(path, parts))
+    words = ["".join(random.Random(k).choices("abcdeéüñ", k=9)) for k in range(500)]
+    variants = [f"({w.capitalize()},\n{w}. {w}!!\n\n{w}### [{w}]\t{w.upper()}" for w in words]
+    assert rows_of(WORDS, variants) == library_rows(WORDS, variants)
+    assert len(packing._ids(WORDS).now) <= len(words) + 10 and len(asked) <= 10
+
+
 def test_packing_on_odd_rows(odd, none):
     out = packed_documents(odd, WORDS).collect()
     assert packed_documents(none, WORDS).count() == 0
