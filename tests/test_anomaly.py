@@ -89,6 +89,51 @@ def test_few_distances_are_measured_inside_a_box(monkeypatch):
     assert np.all(found[1] <= 0.05 * (1 + 1e-8)) and sum(measured) < len(x) ** 2 / 3
 
 
+def test_far_points_do_not_choose_where_boxes_are_split():
+    """One point far off along the first axis, while the others spread along the second."""
+    x = np.column_stack([np.linspace(0, 0.1, 400), np.linspace(0, 9, 400)])
+    x[-1, 0] = 1_000.0
+    tree = neighbours.learn_splits(x, 2)
+    assert tree["axis"][0] == 1 and np.bincount(neighbours.assign(tree, x)).tolist() == [200, 200]
+
+
+def test_neighbour_lists_are_not_stored(spark, monkeypatch):
+    """Only points that reach into other boxes have anything of their neighbours written."""
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(gridded(2_500))], "row_id long, a double, b double, c double")
+    entries, plain = [], neighbours.cut_lineage
+
+    def counted(table, folder=None):
+        out = plain(table, folder)
+        found = [F.sum(F.size(f.name)) for f in out.schema.fields if f.dataType.typeName() == "array"]
+        entries.extend(n or 0 for n in (out.agg(*found).first() if found else ()))
+        return out
+
+    monkeypatch.setattr("tabsift.dataset.cut_lineage", counted)
+    got = {}
+    for leaf in (None, 60):
+        entries.clear()
+        got[leaf] = {r["row_id"]: r["lof"] for r in anomaly.outlier_factors(df, ["a", "b", "c"], 12, leaf_points=leaf).collect()}
+        assert len(entries) >= 3 and (sum(entries) == 0 if leaf is None else sum(entries) > 0)
+    assert got[None].keys() == got[60].keys() and np.allclose([got[None][i] for i in got[60]], list(got[60].values()), rtol=1e-12)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e170])
+def test_bounds_from_products_lose_no_neighbour(scale):
+    """Far from the origin, where products round, and so large that their squares overflow."""
+    rng = np.random.default_rng(21)
+    x = np.vstack([np.round(rng.random((900, 4)), 2) + 1e6, rng.normal(size=(100, 4)) * 1e3]) * scale
+    x = x[np.lexsort(x.T[::-1])]
+    ids, plain = np.arange(len(x)), neighbours.squares
+    with np.errstate(over="ignore", invalid="ignore"):
+        row, distance, pid, _ = neighbours.nearest_pairs(x, ids, x, ids, np.ones(len(x), int), 9, None)
+        d = np.sqrt(plain(x, x))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :9]
+    if scale == 1.0:
+        assert np.array_equal(pid.reshape(-1, 9), near)
+    assert np.array_equal(distance[np.isfinite(distance)], np.take_along_axis(d, near, axis=1)[np.isfinite(np.take_along_axis(d, near, axis=1))])
+
+
 def test_both_strictnesses_share_one_measurement(spark, monkeypatch):
     rng = np.random.default_rng(19)
     ds = Dataset.of("t", spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(200, 3)))], "row_id long, a double, b double, c double"), "row_id")
