@@ -97,6 +97,24 @@ def test_far_points_do_not_choose_where_boxes_are_split():
     assert tree["axis"][0] == 1 and np.bincount(neighbours.assign(tree, x)).tolist() == [200, 200]
 
 
+@pytest.mark.parametrize("leaf", [None, 200])
+def test_a_box_is_searched_in_several_tasks(spark, monkeypatch, leaf):
+    """The leaves of a box are dealt out to tasks, with copies, equal distances and questions of other boxes; each point has one factor."""
+    monkeypatch.setattr(neighbours, "FEWEST_POINTS", 30)
+    monkeypatch.setattr(neighbours, "LOCAL_POINTS", 8)
+    x = gridded(700)
+    x = np.vstack([x, x[::7], x[::7], np.repeat(x[:1], 15, axis=0), [[90.0, 0.0, 0.0]]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, a double, b double, c double").repartition(3)
+    points = neighbours.weighted_points(df, ["a", "b", "c"])
+    assert min(neighbours.Search(points, ["x0", "x1", "x2"], 12, leaf_points=leaf).parts.values()) > 1
+    factors = neighbours.local_outlier_factor(df, ["a", "b", "c"], 12, leaf_points=leaf, questions=100).collect()
+    order = np.lexsort(x.T[::-1])
+    lof = brute_force_lof(x[order], 12)
+    want = {tuple(map(float, r)): v for r, v in zip(x[order], lof)}
+    got = {(r["a"], r["b"], r["c"]): r["lof"] for r in factors}
+    assert len(factors) == len(got) and got.keys() == want.keys() and np.allclose([got[r] for r in got], [want[r] for r in got], rtol=1e-9)
+
+
 def test_neighbour_lists_are_not_stored(spark, monkeypatch):
     """Only points that reach into other boxes have anything of their neighbours written."""
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(gridded(2_500))], "row_id long, a double, b double, c double")
