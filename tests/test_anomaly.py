@@ -135,6 +135,12 @@ def test_neighbour_lists_are_not_stored(spark, monkeypatch):
     assert got[None].keys() == got[60].keys() and np.allclose([got[None][i] for i in got[60]], list(got[60].values()), rtol=1e-12)
 
 
+def test_missing_coordinates_are_an_error(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7) if i else None) for i in range(60)], "a double, b double")
+    with pytest.raises(Exception, match="coordinate missing"):
+        neighbours.local_outlier_factor(df, ["a", "b"], 5).collect()
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e170])
 def test_bounds_from_products_lose_no_neighbour(scale):
     """Far from the origin, where products round, and so large that their squares overflow."""
